@@ -2,5 +2,444 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docketry import tables as T
+from docketry.config import Config
+from docketry.functions import text as X
+from docketry.operators import decide, evaluate, resolve, trust
+from docketry.sources import tables_io
+from docketry.streaming import incremental
+
+from . import oracle as O
+from . import pipeline, synth
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _filtered(s: SparkSession, d: str) -> DataFrame:
+    return trust.apply_filters(synth.sources(s, d))
+
+
+def _signals(s: SparkSession, d: str) -> DataFrame:
+    f = _filtered(s, d)
+    return resolve.signals(f, trust.bundles(f))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions(spark, sf_dir)
+
+
+@query(f"{O.TO_BUNDLE} SELECT case_id, source_id, content, len(hits)::BIGINT AS n_dropped, trusted, level::INTEGER AS level FROM f")
+def trust_boundary(s, d):
+    n = F.coalesce(F.regexp_extract(F.array_join("sanitize_audit", " "), r"sanitized_lines:(\d+)", 1).try_cast("long"), F.lit(0))
+    return _filtered(s, d).select("case_id", "source_id", "content", n.cast("long").alias("n_dropped"), "trusted", "level")
+
+
+@query(f"{O.TO_BUNDLE} SELECT case_id, source_id, got::BIGINT AS recognized, total::BIGINT AS total FROM f WHERE kind = 'IMAGE'")
+def legibility_ratio(s, d):
+    src = _filtered(s, d).filter("kind = 'IMAGE'")
+    got, total = trust.legibility(F.col("content"), trust.domain_words())
+    return src.select("case_id", "source_id", got.cast("long").alias("recognized"), total.cast("long").alias("total"))
+
+
+@query(f"{O.TO_BUNDLE} SELECT (floor(got * 20.0 / total) / 20)::DOUBLE AS bin, count(*)::BIGINT AS n, (count(*) FILTER (WHERE got / total >= 0.25 AND got / total < 0.35))::BIGINT AS in_band FROM f WHERE kind = 'IMAGE' AND total > 0 GROUP BY 1")
+def legibility_histogram(s, d):
+    r = F.col("recognized") / F.col("total")
+    x = legibility_ratio(s, d).filter("total > 0")
+    return x.groupBy((F.floor(F.col("recognized") * 20.0 / F.col("total")) / 20).alias("bin")).agg(F.count("*").alias("n"), F.count_if((r >= 0.25) & (r < 0.35)).alias("in_band"))
+
+
+@query(f"{O.TO_BUNDLE} SELECT level::INTEGER AS level, kind, count(*)::BIGINT AS n, count(DISTINCT case_id)::BIGINT AS cases FROM f GROUP BY 1, 2")
+def level_coverage(s, d):
+    return _filtered(s, d).groupBy("level", "kind").agg(F.count("*").alias("n"), F.countDistinct("case_id").alias("cases"))
+
+
+@query(f"{O.TO_BUNDLE} SELECT case_id, combined_text, ocr_text, any_illegible FROM bundle")
+def trusted_bundle(s, d):
+    return trust.bundles(_filtered(s, d)).select("case_id", "combined_text", "ocr_text", "any_illegible")
+
+
+@query("WITH " + O.SRC + ", x AS (SELECT case_id, source_id, content FROM src) SELECT case_id, source_id, " + ", ".join(f"{e} AS {k}" for k, e in O.fields("content").items()) + f", {O.FINDING('content')} AS finding FROM x")
+def extract_fields(s, d):
+    return X.with_fields(synth.sources(s, d), "content").select("case_id", "source_id", "fields.*")
+
+
+@query("WITH " + O.SRC + f" SELECT case_id, {O.fee('content')} AS fee_status FROM src WHERE source_id = 'text_stream_1'")
+def fee_triangulation(s, d):
+    return synth.sources(s, d).filter("source_id = 'text_stream_1'").select("case_id", X.fee(F.col("content")).alias("fee_status"))
+
+
+@query("WITH " + O.SRC + f" SELECT case_id, {O.corrected('content', 'sponsor', 'regexp_full_match(v, ' + O.q(T.P['sponsor']) + ')')} AS sponsor_id FROM src WHERE source_id = 'text_stream_3'")
+def manual_corrections(s, d):
+    src = synth.sources(s, d).filter("source_id = 'text_stream_3'")
+    return src.select("case_id", F.try_element_at(X.corrections(F.col("content")), F.lit("sponsor_id")).alias("sponsor_id"))
+
+
+@query("WITH " + O.SRC + f" SELECT case_id, {O.flag_list('content', O.loose)} AS flags FROM src WHERE source_id = 'image_1'")
+def fuzzy_flags(s, d):
+    return synth.sources(s, d).filter("source_id = 'image_1'").select("case_id", X.fuzzy_flags(F.col("content")).alias("flags"))
+
+
+@query("WITH " + O.SRC + f" SELECT case_id, CASE WHEN regexp_extract(content, {O.q(O._LOOK)}, 1) = '' OR regexp_full_match(regexp_extract(content, {O.q(O._LOOK)}, 1), '[0-9]+') OR NOT regexp_full_match({O._DIGITS}, '[0-9]+') THEN '' ELSE 'SPN-' || {O._DIGITS} END AS sponsor_id FROM src WHERE source_id = 'image_1'")
+def sponsor_lookalike_repair(s, d):
+    return synth.sources(s, d).filter("source_id = 'image_1'").select("case_id", X.lookalike_sponsor(F.col("content")).alias("sponsor_id"))
+
+
+@query("""WITH y AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS raw FROM orders),
+c AS (SELECT k, raw, [substr(raw, 1, p) || dg || substr(raw, p + 2) FOR p IN [0, 1, 2, 3] FOR dg IN ['0','1','2','3','4','5','6','7','8','9']] AS m FROM (SELECT * FROM y)),
+g AS (SELECT k, raw, list_filter(m, lambda x: substr(x, 1, 4) BETWEEN '2020' AND '2030' AND try_cast(x AS DATE) IS NOT NULL) AS ok FROM c)
+SELECT k, raw, CASE WHEN substr(raw, 1, 4) BETWEEN '2020' AND '2030' THEN raw ELSE coalesce(ok[1], raw) END AS repaired FROM g""".replace("[substr(raw, 1, p) || dg || substr(raw, p + 2) FOR p IN [0, 1, 2, 3] FOR dg IN ['0','1','2','3','4','5','6','7','8','9']]", "[substr(raw, 1, (i // 10)::INT) || (i % 10)::VARCHAR || substr(raw, (i // 10)::INT + 2) FOR i IN range(40)]"))
+def year_repair(s, d):
+    raw = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return _t(s, d, "orders").select(F.col("o_orderkey").alias("k"), raw.alias("raw"), X.repaired_year(raw).alias("repaired"))
+
+
+@query("""WITH v AS (SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN ' xw_1.' WHEN 1 THEN 'dip 1' WHEN 2 THEN 'MED-3' WHEN 3 THEN 'XW.2' WHEN 4 THEN 'transit_7;' ELSE ' other ' END AS raw FROM orders),
+s AS (SELECT k, raw, regexp_replace(trim(raw), '[.,;:]+$', '') AS x FROM v), e AS (SELECT unnest(['XW-1','XW-2','DIP-1','MED-3','TRANSIT-7']) AS v)
+SELECT k, raw, coalesce((SELECT max(v) FROM e WHERE v = x), (SELECT max(v) FROM e WHERE v = replace(x, '_', '-')), (SELECT max(v) FROM e WHERE v = replace(x, ' ', '-')), (SELECT max(v) FROM e WHERE v = replace(x, '.', '-')), (SELECT max(v) FROM e WHERE upper(v) = upper(x)), trim(raw)) AS snapped FROM s""")
+def enum_snap(s, d):
+    k = F.col("o_orderkey") % 6
+    raw = F.when(k == 0, " xw_1.").when(k == 1, "dip 1").when(k == 2, "MED-3").when(k == 3, "XW.2").when(k == 4, "transit_7;").otherwise(" other ")
+    return _t(s, d, "orders").select(F.col("o_orderkey").alias("k"), raw.alias("raw"), X.snapped(raw, T.VISAS).alias("snapped"))
+
+
+@query(f"{O.TO_SIGNALS} SELECT case_id, key, value, source_id, confidence FROM sig")
+def signals_long(s, d):
+    return _signals(s, d).filter("type = 'FIELD_VALUE'").select("case_id", "key", "value", "source_id", "confidence")
+
+
+@query(f"{O.TO_SIGNALS} SELECT case_id, key, value, confidence, n_sources, n_agreeing, array_to_string(vals, '/') AS unique_values, has_conflict, source_class FROM agree")
+def consolidate_winner(s, d):
+    w = resolve.winners(_signals(s, d)).withColumn("unique_values", F.array_join("unique_values", "/"))
+    return w.select("case_id", "key", "value", "confidence", "n_sources", "n_agreeing", "unique_values", "has_conflict", "source_class")
+
+
+@query(f"{O.TO_SIGNALS}, p AS (SELECT case_id, bool_or(has_conflict) AS a, bool_or(has_conflict AND list_contains({O.lst(T.APPROVE_RELEVANT)}, key)) AS r FROM agree GROUP BY 1) SELECT count(*)::BIGINT AS cases, (count(*) FILTER (WHERE a))::BIGINT AS any_conflict, (count(*) FILTER (WHERE r))::BIGINT AS relevant FROM p")
+def conflict_census(s, d):
+    p = resolve.winners(_signals(s, d)).groupBy("case_id").agg(F.bool_or("has_conflict").alias("a"), F.bool_or(F.col("has_conflict") & F.col("key").isin(*T.APPROVE_RELEVANT)).alias("r"))
+    return p.agg(F.count("*").alias("cases"), F.count_if("a").alias("any_conflict"), F.count_if("r").alias("relevant"))
+
+
+@query(f"{O.TO_SIGNALS}, m AS (SELECT case_id, key, value, confidence, max(confidence) OVER (PARTITION BY case_id, key) AS top FROM sig), t AS (SELECT case_id, key, count(DISTINCT value) AS v FROM m WHERE confidence = top GROUP BY 1, 2) SELECT key, count(*)::BIGINT AS n, (count(*) FILTER (WHERE v > 1))::BIGINT AS decisive FROM t GROUP BY 1")
+def tiebreak_census(s, d):
+    sig = _signals(s, d).filter("type = 'FIELD_VALUE'")
+    # the distinct values at each confidence, then those at the highest: two aggregations on nested keys, no window
+    v = sig.groupBy("case_id", "key", "confidence").agg(F.countDistinct("value").alias("v"))
+    top = v.groupBy("case_id", "key").agg(F.max_by("v", "confidence").alias("v"))
+    return top.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("v") > 1).alias("decisive"))
+
+
+@query(f"{O.TO_SIGNALS}, w AS (SELECT case_id, key, arg_max(source_id, {{'a': confidence, 'b': source_id, 'c': -seq}}) AS src FROM sig GROUP BY 1, 2) SELECT key, CASE WHEN src = 'combined_text' THEN 'combined' WHEN src LIKE 'text%' THEN 'stream' ELSE 'image' END AS family, count(*)::BIGINT AS n FROM w GROUP BY 1, 2")
+def winner_by_family(s, d):
+    w = _signals(s, d).filter("type = 'FIELD_VALUE'").groupBy("case_id", "key").agg(F.max_by("source_id", F.struct("confidence", "source_id", -F.col("seq"))).alias("src"))
+    fam = F.when(F.col("src") == "combined_text", "combined").when(F.col("src").startswith("text"), "stream").otherwise("image")
+    return w.groupBy("key", fam.alias("family")).agg(F.count("*").alias("n"))
+
+
+@query(f"{O.TO_BUNDLE}, b AS (SELECT case_id, combined_text, images FROM bundle) SELECT case_id, coalesce({O.CLEAN_BIO}, false) AS clean FROM b")
+def biometric_clean(s, d):
+    return trust.bundles(_filtered(s, d)).select("case_id", decide.clean_biometric().alias("clean"))
+
+
+@query(f"{O.TO_BUNDLE}, g AS (SELECT case_id, {O.grade('ocr_text')} AS g FROM bundle) SELECT case_id, g.adj AS adj, g.conf AS conf, g.tag AS tag FROM g WHERE g IS NOT NULL")
+def ocr_risk_grade(s, d):
+    g = trust.bundles(_filtered(s, d)).select("case_id", X.ocr_grade(F.col("ocr_text")).alias("g")).filter("g is not null")
+    return g.select("case_id", "g.adj", "g.conf", "g.tag")
+
+
+@query(f"{O.TO_FINAL} SELECT case_id, verdict.adj AS adj, verdict.conf AS conf, verdict.tag AS tag FROM final")
+def adjudicate_rules(s, d):
+    return pipeline.synthetic(s, d).select("case_id", "verdict.adj", "verdict.conf", "verdict.tag")
+
+
+@query(f"{O.TO_FINAL} SELECT case_id, final.adj AS adj, final.conf AS conf, final.tag AS tag FROM final")
+def adjudicate_final(s, d):
+    return pipeline.synthetic(s, d).select("case_id", "final.adj", "final.conf", "final.tag")
+
+
+@query(f"{O.TO_FINAL} SELECT * FROM preds")
+def predictions(s, d):
+    return decide.predictions(pipeline.synthetic(s, d))
+
+
+_KEYS = ", ".join(f"({O.q(k)}, {v}::DOUBLE)" for k, v in T.CONFIDENCE.items())
+
+
+@query(f"{O.TO_FINAL}, r(key, value) AS (VALUES {_KEYS}), t AS (SELECT DISTINCT final.tag AS tag, final.conf AS conf FROM final), m AS (SELECT tag, conf, CASE WHEN tag = 'R_A1_non_dip_waived_TO_REVIEW' THEN 'R_A1_non_dip_waived' WHEN tag LIKE 'ocr_finding:%' OR tag LIKE 'ocr_reason:%' THEN tag ELSE regexp_extract(tag, '^[^:\\[]+') END AS key FROM t) SELECT tag, m.key, value, conf = value AS agrees FROM m JOIN r ON m.key = r.key")
+def tag_registry_join(s, d):
+    reg = s.createDataFrame([(k, v) for k, v in T.CONFIDENCE.items()], "key string, value double")
+    t = pipeline.synthetic(s, d).select("final.tag", "final.conf").distinct().withColumn("key", X.registry_key(F.col("tag")))
+    return t.join(F.broadcast(reg), "key").select("tag", "key", "value", (F.col("conf") == F.col("value")).alias("agrees"))
+
+
+_TRUE = "truth AS (SELECT case_id, verdict.adj AS truth FROM final)"
+
+
+@query(f"{O.TO_FINAL} SELECT split_part(verdict.tag, '[', 1) AS family, count(*)::BIGINT AS fires, (count(*) FILTER (WHERE verdict.adj = final.adj))::BIGINT AS kept FROM final GROUP BY 1")
+def rule_fires(s, d):
+    x = pipeline.synthetic(s, d)
+    return x.groupBy(X.base_tag(F.col("verdict.tag")).alias("family")).agg(F.count("*").alias("fires"), F.count_if(F.col("verdict.adj") == F.col("final.adj")).alias("kept"))
+
+
+@query(f"{O.TO_FINAL} SELECT verdict.adj AS truth, (count(*) FILTER (WHERE final.adj = 'APPROVED'))::BIGINT AS \"APPROVED\", (count(*) FILTER (WHERE final.adj = 'DENIED'))::BIGINT AS \"DENIED\", (count(*) FILTER (WHERE final.adj = 'NEEDS_REVIEW'))::BIGINT AS \"NEEDS_REVIEW\" FROM final GROUP BY 1")
+def confusion(s, d):
+    return evaluate.confusion(pipeline.synthetic(s, d).select(F.col("verdict.adj").alias("truth"), F.col("final.adj").alias("pred")))
+
+
+@query(f"{O.TO_FINAL}, x AS (SELECT final.conf AS c, (verdict.adj = final.adj)::INT::DOUBLE AS h FROM final) SELECT count(*)::BIGINT AS n, round(avg((c - h) * (c - h)), 9) AS brier, round(20 * greatest(0.0, 1 - 2 * avg((c - h) * (c - h))), 9) AS calibration FROM x")
+def brier_score(s, d):
+    x = pipeline.synthetic(s, d).select(F.col("final.conf").alias("confidence"), F.col("verdict.adj").alias("truth"), F.col("final.adj").alias("verdict"))
+    return evaluate.brier(x).select("n", F.round("brier", 9).alias("brier"), F.round("calibration", 9).alias("calibration"))
+
+
+_PAY = "CASE " + " ".join(f"WHEN verdict.adj = '{a}' AND final.adj = '{b}' THEN {v}" for (a, b), v in T.PAYOFF.items()) + " END"
+
+
+@query(f"{O.TO_FINAL} SELECT (substr(case_id, 9, 1))::VARCHAR AS split, count(*)::BIGINT AS n, sum({_PAY})::BIGINT AS points, (count(*) FILTER (WHERE verdict.adj = 'DENIED' AND final.adj = 'APPROVED'))::BIGINT AS false_approvals FROM final GROUP BY 1")
+def section_points(s, d):
+    x = pipeline.synthetic(s, d).select(F.substring("case_id", 9, 1).alias("split"), F.col("verdict.adj").alias("t"), F.col("final.adj").alias("p"))
+    return x.groupBy("split").agg(F.count("*").alias("n"), F.sum(evaluate.payoff(F.col("t"), F.col("p"))).alias("points"), F.count_if((F.col("t") == "DENIED") & (F.col("p") == "APPROVED")).alias("false_approvals"))
+
+
+@query(f"{O.TO_FINAL}, g AS (SELECT list_sort(list_filter([CASE WHEN g IS NOT NULL THEN 'ocr_risk' END, CASE WHEN len({O._OCR_ONLY}) > 0 THEN 'ocr_only' END, CASE WHEN len({O._CONFLICT}) > 0 THEN 'conflict' END, CASE WHEN len({O._LACKS}) > 0 THEN 'missing' END], lambda x: x IS NOT NULL)) AS f FROM final WHERE verdict.adj = 'APPROVED') SELECT array_to_string(f, '+') AS fired, count(*)::BIGINT AS n FROM g GROUP BY 1")
+def guard_cofire(s, d):
+    x = pipeline.synthetic(s, d).filter("verdict.adj = 'APPROVED'")
+    fired = evaluate.cofire(x, [(n, g.isNotNull()) for n, g in decide.guards()])
+    return fired.groupBy(F.array_join("fired", "+").alias("fired")).agg(F.count("*").alias("n"))
+
+
+@query(f"{O.TO_FINAL}, c AS (SELECT [CASE WHEN list_contains({O.lst(T.HARD_EMBARGO)}, home_world) THEN 'R0' END, CASE WHEN visa_class = 'TRANSIT-7' THEN 'R1' END, CASE WHEN fee_status = 'unpaid' THEN 'R3' END, CASE WHEN list_contains({O.lst(T.REVOKED)}, sponsor_id) AND visa_class NOT IN ('', 'DIP-1') THEN 'R4' END] AS f FROM final), e AS (SELECT list_filter(f, lambda x: x IS NOT NULL) AS f FROM c), u AS (SELECT f[1] AS first, unnest(f) AS other FROM e WHERE len(f) > 0) SELECT first, other, count(*)::BIGINT AS n FROM u WHERE first <> other GROUP BY 1, 2")
+def shadow_matrix(s, d):
+    hit = {n: v for n, v in decide.rules()}
+    x = pipeline.synthetic(s, d)
+    f = F.filter(F.array(*[F.when(hit[n].isNotNull(), F.lit(n)) for n in ("R0", "R1", "R3", "R4")]), lambda v: v.isNotNull())
+    e = x.select(f.alias("f")).filter(F.size("f") > 1).select(F.col("f")[0].alias("first"), F.explode("f").alias("other"))
+    return e.filter("first <> other").groupBy("first", "other").agg(F.count("*").alias("n"))
+
+
+@query(f"{O.TO_FINAL} SELECT CASE WHEN visa_class = '' AND fee_status = '' THEN 'both' WHEN visa_class = '' THEN 'visa' ELSE 'fee' END AS missing, count(*)::BIGINT AS n FROM final WHERE verdict.tag = 'FALLBACK_extraction_fail' GROUP BY 1")
+def fallback_partition(s, d):
+    x = pipeline.synthetic(s, d).filter("verdict.tag = 'FALLBACK_extraction_fail'")
+    m = F.when((F.col("visa_class") == "") & (F.col("fee_status") == ""), "both").when(F.col("visa_class") == "", "visa").otherwise("fee")
+    return x.groupBy(m.alias("missing")).agg(F.count("*").alias("n"))
+
+
+@query(f"{O.TO_FINAL} SELECT verdict.adj AS was, final.adj AS now, count(*)::BIGINT AS n FROM final WHERE verdict.adj <> final.adj GROUP BY 1, 2")
+def verdict_flow(s, d):
+    x = pipeline.synthetic(s, d)
+    off = x.select("case_id", F.col("verdict.adj").alias("adjudication"))
+    on = x.select("case_id", F.col("final.adj").alias("adjudication"))
+    truth = off.withColumnRenamed("adjudication", "truth")
+    return evaluate.flow(off, on, truth).groupBy("was", "now").agg(F.sum("n").alias("n"))
+
+
+@query(f"{O.TO_FINAL} SELECT rule, (sum(hit))::BIGINT AS n FROM (SELECT unnest([{{'rule': 'hard_embargo', 'hit': (list_contains({O.lst(T.HARD_EMBARGO)}, home_world))::INT}}, {{'rule': 'transit', 'hit': (visa_class = 'TRANSIT-7')::INT}}, {{'rule': 'disqualifier', 'hit': (regexp_matches(risk_flags, '{'|'.join(T.DISQUALIFYING)}'))::INT}}, {{'rule': 'revoked', 'hit': (list_contains({O.lst(T.REVOKED)}, sponsor_id) AND visa_class <> 'DIP-1')::INT}}, {{'rule': 'unpaid', 'hit': (fee_status = 'unpaid')::INT}}], recursive := true) FROM preds WHERE adjudication = 'APPROVED') GROUP BY rule")
+def emission_violations(s, d):
+    return evaluate.emission_violations(predictions(s, d))
+
+
+@query(f"{O.TO_FINAL}, p AS (SELECT case_id, home_world, fee_status FROM preds), x AS (SELECT case_id, fee_status AS v FROM p), e AS (SELECT v, count(*) AS n FROM x GROUP BY 1) SELECT v AS value, n::BIGINT AS n FROM e")
+def enum_profile(s, d):
+    return predictions(s, d).groupBy(F.col("fee_status").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query(f"{O.TO_FINAL}, u AS (SELECT unnest(string_split(risk_flags, '|')) AS flag FROM preds) SELECT flag, count(*)::BIGINT AS n FROM u GROUP BY 1")
+def multivalue_explode(s, d):
+    return predictions(s, d).select(F.explode(F.split("risk_flags", r"[|]")).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+
+
+@query(f"{O.TO_FINAL} SELECT (count(*) FILTER (WHERE regexp_full_match(sponsor_id, 'SPN-[0-9]+')))::BIGINT AS fits, (count(*) FILTER (WHERE NOT regexp_full_match(sponsor_id, 'SPN-[0-9]+')))::BIGINT AS misfits, min(right(sponsor_id, 4)) AS low, max(right(sponsor_id, 4)) AS high FROM preds")
+def format_conformance(s, d):
+    fit = F.col("sponsor_id").rlike(r"^SPN-\d+$")
+    return predictions(s, d).agg(F.count_if(fit).alias("fits"), F.count_if(~fit).alias("misfits"), F.min(F.right("sponsor_id", F.lit(4))).alias("low"), F.max(F.right("sponsor_id", F.lit(4))).alias("high"))
+
+
+# ---- analytics over the given tables ----
+
+_PROBE_SQL = {"email": r"[A-Za-z0-9._]+@[a-z0-9]+\.", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "secret": r"(?:password|token) ?=", "licence": r"(?i)licen[sc]e"}
+_FEAT = "ft AS (SELECT d.doc_id, lang, source, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 3000 THEN 'mid' ELSE 'long' END AS size, quality::VARCHAR AS class FROM documents d JOIN labels l ON d.doc_id = l.doc_id), tab AS (SELECT feature, value, class, count(*)::BIGINT AS n FROM (SELECT class, unnest([{'feature': 'lang', 'value': lang}, {'feature': 'source', 'value': source}, {'feature': 'size', 'value': size}], recursive := true) FROM ft) GROUP BY 1, 2, 3), rates AS (SELECT class, count(*)::BIGINT AS n, count(*) / sum(count(*)) OVER () AS rate FROM ft GROUP BY 1)"
+
+
+def _features(s, d):
+    docs = _t(s, d, "documents").select("doc_id", "lang", "source", F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 3000, "mid").otherwise("long").alias("size"))
+    return docs.join(_t(s, d, "labels").select("doc_id", F.col("quality").cast("string").alias("class")), "doc_id")
+
+
+@query(f"WITH {_FEAT} SELECT * FROM tab")
+def crosstab(s, d):
+    return evaluate.crosstab(_features(s, d), ["lang", "source", "size"], "class")
+
+
+@query(f"WITH {_FEAT} SELECT class, n, round(rate, 9) AS rate FROM rates")
+def base_rates(s, d):
+    return evaluate.base_rates(_features(s, d), "class").withColumn("rate", F.round("rate", 9))
+
+
+@query(f"WITH {_FEAT}, tot AS (SELECT feature, value, sum(n) AS t FROM tab GROUP BY 1, 2 HAVING sum(n) >= 5), c AS (SELECT tot.feature, tot.value, t, r.class, rate, coalesce(n, 0) / t AS p FROM tot CROSS JOIN (SELECT class, rate FROM rates) r LEFT JOIN tab ON tab.feature = tot.feature AND tab.value = tot.value AND tab.class = r.class) SELECT feature, round(max(abs(p - rate) * sqrt(t)), 9) AS score FROM c GROUP BY 1 ORDER BY 2 DESC LIMIT 25")
+def discrimination_topk(s, d):
+    f = _features(s, d)
+    out = evaluate.discrimination(evaluate.crosstab(f, ["lang", "source", "size"], "class"), evaluate.base_rates(f, "class"))
+    return out.select("feature", F.round("score", 9).alias("score")).orderBy(F.desc("score"), F.desc("feature")).limit(25)
+
+
+@query(f"WITH {_FEAT}, tot AS (SELECT feature, value, sum(n) AS t FROM tab GROUP BY 1, 2 HAVING sum(n) >= 3), l AS (SELECT tot.feature, tot.value, max(t)::BIGINT AS n, max(abs(n / t - rate)) AS m FROM tot JOIN tab USING (feature, value) JOIN (SELECT class, rate FROM rates) USING (class) GROUP BY 1, 2) SELECT feature, value, n, round(m, 9) AS max_lift, m > 0.3 AS starred FROM l")
+def lift_table(s, d):
+    f = _features(s, d)
+    out = evaluate.lift(evaluate.crosstab(f, ["lang", "source", "size"], "class"), evaluate.base_rates(f, "class"))
+    return out.withColumn("max_lift", F.round("max_lift", 9))
+
+
+_PROBED = "pr AS (SELECT d.doc_id, quality, list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {O.q(p)}) THEN '{n}' END" for n, p in _PROBE_SQL.items()) + "], lambda x: x IS NOT NULL)) AS fired FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+
+
+def _probed(s, d):
+    docs = _t(s, d, "documents").select("doc_id", "text").join(_t(s, d, "labels").select("doc_id", "quality"), "doc_id")
+    return evaluate.cofire(docs, [(n, F.col("text").rlike(p)) for n, p in _PROBE_SQL.items()]).drop("text")
+
+
+@query(f"WITH {_PROBED} SELECT p AS signal, count(*)::BIGINT AS n, (count(*) FILTER (WHERE quality = 1))::BIGINT AS good FROM (SELECT unnest(fired) AS p, quality FROM pr) GROUP BY 1")
+def probe_marginal(s, d):
+    return _probed(s, d).select(F.explode("fired").alias("signal"), "quality").groupBy("signal").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"))
+
+
+@query(f"WITH {_PROBED} SELECT fired[1] AS signal, count(*)::BIGINT AS n FROM pr WHERE len(fired) = 1 GROUP BY 1")
+def probe_solo(s, d):
+    return _probed(s, d).filter(F.size("fired") == 1).groupBy(F.col("fired")[0].alias("signal")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_PROBED}, u AS (SELECT doc_id, unnest(fired) AS p FROM pr) SELECT a.p AS a, b.p AS b, count(*)::BIGINT AS n FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.p < b.p GROUP BY 1, 2")
+def probe_pairs(s, d):
+    return evaluate.pairs(_probed(s, d))
+
+
+@query("SELECT role, count(*)::BIGINT AS n, min(length(text))::BIGINT AS shortest, max(length(text))::BIGINT AS longest, round(avg(length(text)), 6) AS mean FROM conversations WHERE coalesce(text, '') <> '' GROUP BY 1")
+def length_stats(s, d):
+    r = evaluate.length_stats(_t(s, d, "conversations"), "text", ["role"])
+    return r.select("role", "n", F.col("shortest").cast("long").alias("shortest"), F.col("longest").cast("long").alias("longest"), F.round("mean", 6).alias("mean"))
+
+
+@query("WITH e AS (SELECT unnest([{'side': 'prefix', 'gram': left(p_name, 3)}, {'side': 'suffix', 'gram': right(p_name, 3)}], recursive := true) FROM part WHERE length(p_name) >= 3), c AS (SELECT side, gram, count(*)::BIGINT AS n FROM e GROUP BY 1, 2) SELECT side, gram, n FROM c QUALIFY row_number() OVER (PARTITION BY side ORDER BY n DESC, gram) <= 15")
+def ngram_edges(s, d):
+    return evaluate.edges(_t(s, d, "part"), "p_name", 3, 15)
+
+
+@query("SELECT source, sum(len(regexp_extract_all(text, '[A-Za-z]')))::BIGINT AS letters, sum(len(regexp_extract_all(text, '[0-9]')))::BIGINT AS digits, sum(len(regexp_extract_all(text, ' ')))::BIGINT AS spaces, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
+def charclass_counts(s, d):
+    n = lambda p: F.sum(F.regexp_count("text", F.lit(p)))
+    return _t(s, d, "documents").groupBy("source").agg(n("[A-Za-z]").alias("letters"), n("[0-9]").alias("digits"), n(" ").alias("spaces"), F.sum(F.length("text").cast("long")).alias("chars"))
+
+
+@query("SELECT len(string_split(text, ' '))::BIGINT AS words, count(*)::BIGINT AS n FROM conversations GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def wordcount_hist(s, d):
+    c = _t(s, d, "conversations").groupBy(F.size(F.split("text", " ", -1)).cast("long").alias("words")).agg(F.count("*").alias("n"))
+    return c.orderBy(F.desc("n"), "words").limit(5)
+
+
+@query("SELECT CASE WHEN n_chars < 100 THEN 0 WHEN n_chars < 1000 THEN 1 WHEN n_chars < 10000 THEN 2 ELSE 3 END::INTEGER AS bucket, count(*)::BIGINT AS n, (count(*) FILTER (WHERE regexp_matches(text, '[0-9]')))::BIGINT AS hits FROM documents GROUP BY 1")
+def bucket_rates(s, d):
+    b = F.when(F.col("n_chars") < 100, 0).when(F.col("n_chars") < 1000, 1).when(F.col("n_chars") < 10000, 2).otherwise(3)
+    return _t(s, d, "documents").groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike("[0-9]")).alias("hits"))
+
+
+@query("SELECT doc_id, substr(trim(coalesce(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], '')), 1, 80) AS line FROM documents")
+def first_lines(s, d):
+    return _t(s, d, "documents").select("doc_id", X.first_line(F.col("text")).alias("line"))
+
+
+@query("SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS k, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def json_scan_rollup(s, d):
+    e = _t(s, d, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return e.groupBy("event_type").agg(F.sum("k").alias("k"), F.count("*").alias("n"))
+
+
+@query("SELECT date_trunc('day', ts)::VARCHAR AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def event_windows(s, d):
+    w = incremental.event_windows(_t(s, d, "events"))
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n")
+
+
+@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def dedup_last_wins(s, d):
+    e = _t(s, d, "events").select("user_id", "event_id", "event_type", F.col("event_id").alias("o"))
+    return tables_io.last_wins(e, "user_id", "o").drop("o")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_resume(s, d):
+    return _t(s, d, "documents").select("doc_id").join(_t(s, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def semi_split(s, d):
+    return _t(s, d, "documents").select("doc_id", "lang").join(_t(s, d, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
+
+
+@query("SELECT d.doc_id, source, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def truth_join(s, d):
+    return _t(s, d, "documents").select("doc_id", "source").join(_t(s, d, "labels"), "doc_id")
+
+
+@query("SELECT source, lang, 'left' AS side FROM ((SELECT source, lang FROM documents) EXCEPT ALL (SELECT source, lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id))")
+def except_diff(s, d):
+    a = _t(s, d, "documents").select("source", "lang")
+    return tables_io.differences(a, truth_pairs(s, d))
+
+
+def truth_pairs(s, d):
+    return _t(s, d, "documents").join(_t(s, d, "labels"), "doc_id").select("source", "lang")
+
+
+_CAL = "SELECT source, lang, count(*)::BIGINT AS n, (count(*) FILTER (WHERE quality = 1))::BIGINT AS correct, round(greatest(0.5, count(*) FILTER (WHERE quality = 1) / count(*)), 9) AS confidence FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1, 2 HAVING count(*) >= 5"
+
+
+@query(_CAL)
+def calibration_cube(s, d):
+    rows = _t(s, d, "documents").select("doc_id", "source", "lang").join(_t(s, d, "labels").select("doc_id", (F.col("quality") == 1).alias("is_correct")), "doc_id")
+    return evaluate.calibration_cube(rows, ["source", "lang"]).select("source", "lang", "n", "correct", F.round("confidence", 9).alias("confidence"))
+
+
+@query("WITH r AS (SELECT lang AS f, source AS s, CASE WHEN n_chars < 1000 THEN 'a' ELSE 'b' END AS b, quality = 1 AS ok FROM documents d JOIN labels l ON d.doc_id = l.doc_id) SELECT f AS lang, coalesce(s, 'all') AS source, coalesce(b, 'all') AS bucket, count(*)::BIGINT AS n, (count(*) FILTER (WHERE ok))::BIGINT AS correct FROM r GROUP BY GROUPING SETS ((f), (f, s, b))")
+def correctness_cube(s, d):
+    docs = _t(s, d, "documents").select("doc_id", "lang", "source", F.when(F.col("n_chars") < 1000, "a").otherwise("b").alias("bucket"))
+    rows = docs.join(_t(s, d, "labels").select("doc_id", (F.col("quality") == 1).alias("is_correct")), "doc_id")
+    return evaluate.correctness_cube(rows, "lang", "source", "bucket")
+
+
+# ---- what SQL can't say ----
+
+
+@query()
+def fuzzy_label_search(s, d):
+    images = _filtered(s, d).filter("kind = 'IMAGE' and trusted")
+    return resolve.fuzzy_label_signals(images, Config(fee_fuzzy_recovery=True)).select("case_id", "source_id", "key", "value", "confidence")
+
+
+@query()
+def event_windows_stream(s, d):
+    """The windowed count as a file stream run to its end."""
+    at = tempfile.mkdtemp(prefix="docketry-stream-")
+    schema = _t(s, d, "events").schema
+    q = incremental.event_windows(s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d), late="0 seconds")
+    name = f"events_{os.path.basename(at).replace('-', '_')}"
+    q.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return s.table(name)
