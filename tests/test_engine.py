@@ -27,7 +27,7 @@ def values(spark, expr, texts):
         (X.fuzzy_flags, {"biohazard red": "biohazard_red", "biohazardred": "biohazard_red", "biohazard_red_x": ""}),
         (X.lookalike_sponsor, {"SPN-O0l7": "SPN-0017", "SPN-1234": "", "SPN-OOOOO": "", "SPN–B8B8": "SPN-8888"}),
         (X.repaired_year, {"2026-05-01": "2026-05-01", "2016-05-01": "2026-05-01", "1026-02-30": "1026-02-30", "x": "x", "2126-01-01": "2026-01-01"}),
-        (lambda c: X.snapped(c, T.VISAS), {" xw_1.": "XW-1", "dip 1": "dip 1", "DIP 1": "DIP-1", "med-3": "MED-3", " ? ": "?"}),
+        (lambda c: X.snapped(c, T.VISAS), {" XW_1.": "XW-1", " xw_1.": "xw_1.", "dip 1": "dip 1", "DIP 1": "DIP-1", "med-3": "MED-3", " ? ": "?"}),
         (X.finding, {"Finding: needs review": "NEEDS_REVIEW", "Finding: DENIED": "DENIED", "": ""}),
         (X.registry_key, {"R2_disqualifier[x]": "R2_disqualifier", "ocr_finding:DENIED": "ocr_finding:DENIED", "R_A1_non_dip_waived_TO_REVIEW": "R_A1_non_dip_waived", "field_conflict:a": "field_conflict", "zz": None}),
         (X.first_line, {"\n  \n a b \nc": "a b", "": ""}),
