@@ -57,6 +57,42 @@ def brier(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), b.alias("brier"), (20 * F.greatest(F.lit(0.0), 1 - 2 * b)).alias("calibration"))
 
 
+def brier_delta(rows: DataFrame) -> DataFrame:
+    """rows: key, confidence, is_correct. Mean squared error over all rows with each key's confidence, and with its accuracy (0.99 at most) instead."""
+    per = rows.groupBy("key", "confidence").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("hit"))
+    # a key's rows may differ in confidence, its accuracy is one
+    acc = per.groupBy("key").agg((F.sum("hit") / F.sum("n")).alias("acc"), F.collect_list(F.struct("confidence", "n", "hit")).alias("c"))
+    x = acc.select(F.least(F.lit(0.99), "acc").alias("e"), F.explode("c").alias("c")).select("e", "c.*")
+    loss = lambda c: F.sum(F.col("hit") * (c - 1) * (c - 1) + (F.col("n") - F.col("hit")) * c * c) / F.sum("n")
+    out = x.agg(F.sum("n").alias("n"), loss(F.col("confidence")).alias("before"), loss(F.col("e")).alias("after"))
+    return out.withColumn("delta", F.col("after") - F.col("before"))
+
+
+def weighted_loss(preds: DataFrame, truth: DataFrame) -> DataFrame:
+    """(field, wrong, wrong_default, lost): rows that differ from the truth, those of them that show the default, and the points they cost of 50."""
+    p = preds.select("case_id", *[F.col(f).alias(f"p_{f}") for f in T.FIELDS]).join(truth.select("case_id", *T.FIELDS), "case_id")
+    cell = [
+        F.struct(F.lit(f).alias("field"), (F.col(f"p_{f}") != F.col(f)).alias("bad"), (F.col(f"p_{f}") == T.DEFAULTS[f]).alias("default"), F.lit(float(T.WEIGHTS[f])).alias("w"))
+        for f in T.FIELDS
+    ]
+    x = p.select(F.explode(F.array(*cell)).alias("x")).select("x.*")
+    out = x.groupBy("field").agg(F.count_if("bad").alias("wrong"), F.count_if(F.col("bad") & F.col("default")).alias("wrong_default"), F.max("w").alias("w"), F.count("*").alias("n"))
+    lost = F.col("wrong") / F.col("n") * F.col("w") / float(sum(T.WEIGHTS.values())) * 50
+    return out.select("field", "wrong", "wrong_default", lost.alias("lost"))
+
+
+def case_scores(preds: DataFrame, truth: DataFrame) -> DataFrame:
+    """What section_scores takes, and case_id: weights of the right fields, points of the verdict, squared error of the confidence."""
+    p = preds.select("case_id", *[F.col(f).alias(f"p_{f}") for f in T.FIELDS], F.col("adjudication").alias("pred"), "confidence")
+    j = truth.select("case_id", *T.FIELDS, "truth").join(p, "case_id", "left")
+    right = reduce(lambda a, b: a + b, [F.when(F.col(f"p_{f}") == F.col(f), w).otherwise(0) for f, w in T.WEIGHTS.items()])
+    miss = F.col("confidence") - (F.col("pred") == F.col("truth")).cast("double")
+    return j.select(
+        "case_id", F.col("pred").isNotNull().alias("present"), right.alias("extraction_raw"), F.lit(sum(T.WEIGHTS.values())).alias("extraction_max"),
+        payoff(F.col("truth"), F.col("pred")).alias("classification_raw"), F.lit(8).alias("classification_max"), (miss * miss).alias("confidence_brier"), "truth", "pred",
+    )
+
+
 def payoff(truth: Column, verdict: Column) -> Column:
     return reduce(lambda a, kv: a.when((truth == kv[0][0]) & (verdict == kv[0][1]), kv[1]), T.PAYOFF.items(), F.when(F.lit(False), 0)).otherwise(0)
 

@@ -12,7 +12,7 @@ from docketry import tables as T
 from docketry.config import Config
 from docketry.functions import text as X
 from docketry.operators import decide, evaluate, resolve, trust
-from docketry.sources import tables_io
+from docketry.sources import pdf, tables_io
 from docketry.streaming import incremental
 
 from . import oracle as O
@@ -274,6 +274,116 @@ def format_conformance(s, d):
     return predictions(s, d).agg(F.count_if(fit).alias("fits"), F.count_if(~fit).alias("misfits"), F.min(F.right("sponsor_id", F.lit(4))).alias("low"), F.max(F.right("sponsor_id", F.lit(4))).alias("high"))
 
 
+# ---- against the packets' truth ----
+
+
+@query(f"{O.TO_BUNDLE} SELECT case_id, source_id, 'sanitized_lines:' || len(hits) || ':' || array_to_string(list_sort(list_distinct(hits)), ',') AS audit FROM f WHERE len(hits) > 0")
+def sanitize_injection_lines(s, d):
+    return _filtered(s, d).select("case_id", "source_id", F.explode("sanitize_audit").alias("audit")).filter(F.col("audit").startswith("sanitized_lines"))
+
+
+@query(f"{O.TO_BUNDLE} SELECT case_id, source_id, content, gone::BIGINT AS gone FROM f WHERE gone > 0")
+def sanitize_redactions(s, d):
+    gone = F.regexp_extract(F.array_join("sanitize_audit", " "), r"sanitized_redactions:(\d+)_chars", 1).try_cast("long")
+    return _filtered(s, d).select("case_id", "source_id", "content", gone.alias("gone")).filter("gone is not null")
+
+
+@query("WITH " + O.SRC + f" SELECT case_id, source_id, {O.fields('content')['risk_flags']} AS flags FROM src")
+def flag_sets(s, d):
+    return synth.sources(s, d).select("case_id", "source_id", X.flags(F.col("content")).alias("flags"))
+
+
+@query(f"{O.TO_SIGNALS} SELECT key, (count(*) FILTER (WHERE value <> ''))::BIGINT AS filled, (count(*) FILTER (WHERE {O.VALID}))::BIGINT AS valid FROM raw WHERE source_id <> 'combined_text' GROUP BY 1")
+def valid_values(s, d):
+    live = _filtered(s, d).filter(F.col("trusted") & (X.strip(F.col("content")) != ""))
+    keyed = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"fields.{k}").alias("value")) for k in T.FIELDS])
+    x = X.with_fields(live, "content").select(F.explode(keyed).alias("f"))
+    return x.groupBy("f.key").agg(F.count_if(F.col("f.value") != "").alias("filled"), F.count_if(X.valid(F.col("f.key"), F.col("f.value"))).alias("valid"))
+
+
+_MESSY = {"sponsor_id": "' SPN- ' || CAST(1000 + k % 9000 AS STRING) || ' .,'", "home_world": "' Kepler-' || CAST(k % 900 AS STRING) || ' f;'", "fee_status": "CASE WHEN k % 2 = 0 THEN ' Paid.' ELSE 'WAIVED ;' END"}
+_TIDY = {
+    "sponsor_id": r"regexp_replace(regexp_replace(trim(raw), '[.,;:]+$', ''), '\s+', '', 'g')",
+    "home_world": f"regexp_replace(regexp_replace(trim(raw), '[.,;:]+$', ''), {O.q(T.P['split_home'])}, '\\1\\2')",
+    "fee_status": "CASE WHEN lower(raw) LIKE '%paid%' THEN 'paid' ELSE trim(raw) END",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT k, '{f}' AS key, {_TIDY[f]} AS value FROM (SELECT k, {x} AS raw FROM (SELECT o_orderkey AS k FROM orders))" for f, x in _MESSY.items()))
+def normalize_values(s, d):
+    k = _t(s, d, "orders").select(F.col("o_orderkey").alias("k"))
+    rows = F.array(*[F.struct(F.lit(f).alias("key"), F.expr(x).alias("raw")) for f, x in _MESSY.items()])
+    return k.select("k", F.explode(rows).alias("r")).select("k", "r.key", X.normalized(F.col("r.key"), F.col("r.raw")).alias("value"))
+
+
+@query(f"{O.TO_CASES}, u AS (SELECT unnest([" + ", ".join(f"{{'key': '{k}', 'source_class': c_{k}}}" for k in T.FIELDS) + "], recursive := true) FROM cons) SELECT key, source_class, count(*)::BIGINT AS n FROM u GROUP BY 1, 2")
+def provenance(s, d):
+    x = pipeline.synthetic(s, d).select(F.explode("source_class").alias("key", "source_class"))
+    return x.groupBy("key", "source_class").agg(F.count("*").alias("n"))
+
+
+_JUDGED = f"{O.TO_FINAL}, {O.TRUE}, jt AS (SELECT case_id, verdict.adj AS truth FROM judged)"
+
+
+def _judged(s, d):
+    x = pipeline.synthetic(s, d).select("case_id", "verdict", "final")
+    return x.join(pipeline.synthetic_truth(s, d).select("case_id", "truth"), "case_id")
+
+
+@query(f"{_JUDGED}, a AS (SELECT split_part(f.verdict.tag, '[', 1) AS family, count(*)::BIGINT AS fires, (count(*) FILTER (WHERE f.verdict.adj = f.final.adj))::BIGINT AS kept, (count(*) FILTER (WHERE f.verdict.adj = f.final.adj AND f.final.adj = truth))::BIGINT AS correct, (count(*) FILTER (WHERE f.verdict.adj = f.final.adj AND f.final.adj <> truth))::BIGINT AS wrong FROM final f JOIN jt USING (case_id) GROUP BY 1) SELECT *, round(coalesce(correct / nullif(kept, 0), 0), 9) AS accuracy, round(least(0.99, coalesce(correct / nullif(kept, 0), 0)), 9) AS empirical FROM a")
+def rule_accuracy(s, d):
+    x = _judged(s, d).select(F.col("verdict.tag").alias("tag"), F.col("verdict.adj").alias("rule_adj"), F.col("final.adj").alias("final_adj"), "truth")
+    return evaluate.rule_accuracy(x).withColumn("accuracy", F.round("accuracy", 9)).withColumn("empirical", F.round("empirical", 9))
+
+
+@query(f"{_JUDGED}, a AS (SELECT split_part(split_part(f.final.tag, '[', 1), ':', 1) AS key, f.final.conf AS c, (f.final.adj = truth)::INT::DOUBLE AS h FROM final f JOIN jt USING (case_id)), e AS (SELECT key, least(0.99, avg(h)) AS e FROM a GROUP BY 1), b AS (SELECT count(*)::BIGINT AS n, avg((c - h) * (c - h)) AS x, avg((e - h) * (e - h)) AS y FROM a JOIN e USING (key)) SELECT n, round(x, 9) AS before, round(y, 9) AS after, round(y - x, 9) AS delta FROM b")
+def brier_delta(s, d):
+    key = F.substring_index(X.base_tag(F.col("final.tag")), ":", 1)
+    x = _judged(s, d).select(key.alias("key"), F.col("final.conf").alias("confidence"), (F.col("final.adj") == F.col("truth")).alias("is_correct"))
+    return evaluate.brier_delta(x).select("n", *[F.round(c, 9).alias(c) for c in ("before", "after", "delta")])
+
+
+_LOSS = " UNION ALL ".join(f"SELECT '{f}' AS field, (count(*) FILTER (WHERE p.{f} <> t.{f}))::BIGINT AS wrong, (count(*) FILTER (WHERE p.{f} <> t.{f} AND p.{f} = {O.q(T.DEFAULTS[f])}))::BIGINT AS wrong_default, round((count(*) FILTER (WHERE p.{f} <> t.{f})) / count(*) * {w} / {sum(T.WEIGHTS.values())} * 50, 9) AS lost FROM preds p JOIN tr t USING (case_id)" for f, w in T.WEIGHTS.items())
+
+
+@query(f"{O.TO_FINAL}, {O.TRUE} {_LOSS}")
+def weighted_loss(s, d):
+    return evaluate.weighted_loss(predictions(s, d), synth.truth(s, d)).withColumn("lost", F.round("lost", 9))
+
+
+_RIGHT = " + ".join(f"CASE WHEN p.{f} = t.{f} THEN {w} ELSE 0 END" for f, w in T.WEIGHTS.items())
+_POINTS = "CASE " + " ".join(f"WHEN truth = '{a}' AND p.adjudication = '{b}' THEN {v}" for (a, b), v in T.PAYOFF.items()) + " END"
+
+
+@query(f"{_JUDGED}, x AS (SELECT substr(case_id, 9, 1) AS split, {_RIGHT} AS r, {_POINTS} AS v, p.confidence - (truth = p.adjudication)::INT::DOUBLE AS m, truth = 'DENIED' AND p.adjudication = 'APPROVED' AS bad FROM preds p JOIN tr t USING (case_id) JOIN jt USING (case_id)), y AS (SELECT split, count(*)::BIGINT AS n, 50 * sum(r) / (count(*) * {sum(T.WEIGHTS.values())}) AS a, 80 * sum(v) / (count(*) * 8) AS b, 20 * greatest(0.0, 1 - 2 * avg(m * m)) AS c, (count(*) FILTER (WHERE bad))::BIGINT AS false_approvals FROM x GROUP BY 1) SELECT split, n, round(a, 6) AS extraction, round(b, 6) AS classification, round(c, 6) AS calibration, 0.0::DOUBLE AS penalty, false_approvals, round(a + b + c, 6) AS total FROM y")
+def section_scores(s, d):
+    scores = evaluate.case_scores(predictions(s, d), pipeline.synthetic_truth(s, d)).withColumn("split", F.substring("case_id", 9, 1))
+    out = evaluate.section_scores(scores)
+    return out.select("split", "n", *[F.round(c, 6).alias(c) for c in ("extraction", "classification", "calibration", "penalty")], "false_approvals", F.round("total", 6).alias("total"))
+
+
+_ARG = "arg_max(value, {'a': confidence, 'b': source_id, 'c': -seq})"
+_OLD_NEW = f"{O.TO_SIGNALS}, {O.TRUE}, o AS (SELECT case_id, key, {_ARG} AS v FROM sig0 GROUP BY 1, 2), w AS (SELECT case_id, key, {_ARG} AS v FROM sig GROUP BY 1, 2), tl AS (" + " UNION ALL ".join(f"SELECT case_id, '{f}' AS key, {f} AS t, '{'none' if f == 'risk_flags' else ''}' AS d FROM tr" for f in T.FIELDS) + "), x AS (SELECT tl.key AS field, coalesce(o.v, d) AS a, coalesce(w.v, d) AS b, t FROM tl JOIN bundle USING (case_id) LEFT JOIN o USING (case_id, key) LEFT JOIN w USING (case_id, key))"
+
+
+@query(f"{_OLD_NEW} SELECT field, CASE WHEN b = t THEN 'right' WHEN a = t THEN 'was_right_now_wrong' ELSE 'wrong_to_wrong' END AS outcome, count(*)::BIGINT AS n FROM x WHERE a <> b GROUP BY 1, 2")
+def field_changes(s, d):
+    """What reading misread flags and sponsors changes."""
+    f = _filtered(s, d).persist()
+    bundle = trust.bundles(f).persist()
+    run = lambda config: resolve.consolidate(resolve.signals(f, bundle, config), bundle)
+    return evaluate.field_changes(run(Config(fuzzy_flags=False, fuzzy_sponsor=False)), run(Config()), synth.truth(s, d))
+
+
+_NUMBERED = "SELECT case_id, 'text_stream_' || (row_number() OVER (PARTITION BY case_id ORDER BY ordinal) - 1) AS source_id, content FROM src WHERE kind = 'TEXT_STREAM'"
+
+
+@query(f"WITH {O.SRC} {_NUMBERED}")
+def pdf_scan(s, d):
+    """Every case's text streams written as a PDF file's bytes and scanned back."""
+    return pdf.read_sources(synth.packets(s, d)).select("case_id", "source_id", "content")
+
+
 # ---- analytics over the given tables ----
 
 _PROBE_SQL = {"email": r"[A-Za-z0-9._]+@[a-z0-9]+\.", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "secret": r"(?:password|token) ?=", "licence": r"(?i)licen[sc]e"}

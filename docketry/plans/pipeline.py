@@ -25,7 +25,5 @@ def synthetic(spark: SparkSession, sf_dir: str, config: Config = CONFIG) -> Data
 
 
 def synthetic_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """case_id, the true fields and verdict: what the rules say of the clean combined text alone."""
-    sources = synth.sources(spark, sf_dir).filter("kind = 'TEXT_STREAM'")
-    d = decided(sources)
-    return decide.predictions(d.withColumn("final", F.col("verdict"))).withColumnRenamed("adjudication", "truth").drop("confidence")
+    """case_id, the true fields and the rules' verdict of them as truth."""
+    return decide.adjudicate(synth.truth(spark, sf_dir)).withColumn("truth", F.col("verdict.adj")).drop("verdict", "finding")

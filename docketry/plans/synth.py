@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +64,43 @@ SOURCES = [
 #: One row for each order, one column for each source, null where it is absent.
 WIDE_SQL = "SELECT k, 'C-' || lpad(CAST(k AS STRING), 7, '0') AS case_id, " + ", ".join(f"CASE WHEN {cond} THEN {text} END AS {sid}" for sid, _, _, cond, text in SOURCES) + " FROM (SELECT o_orderkey AS k, o_custkey AS cust FROM orders)"
 
+#: What a packet would say if nothing were cut out, misread or missing.
+TRUTH = {
+    "applicant_name": _NAME, "species_code": _pick("k % 12", T.SPECIES), "home_world": _HOME, "visa_class": _VISA, "sponsor_id": _SPONSOR, "arrival_date": _DATE,
+    "declared_purpose": _pick("k % 4", PURPOSES), "risk_flags": f"CASE WHEN k % 13 = 5 THEN {_FLAG} ELSE 'none' END", "fee_status": _STATED,
+}
+TRUTH_SQL = "SELECT 'C-' || lpad(CAST(k AS STRING), 7, '0') AS case_id, '' AS finding, " + ", ".join(f"{x} AS {f}" for f, x in TRUTH.items()) + " FROM (SELECT o_orderkey AS k, o_custkey AS cust FROM orders)"
+
+
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id, the true fields and an empty finding."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    return spark.sql(TRUTH_SQL.replace("FROM orders", "FROM {orders}"), orders=orders)
+
+
+def _pdf(texts: list[str]) -> bytes:
+    """A file with one compressed, ASCII85-coded content stream for each text, a text operator for each line."""
+    out = [b"%PDF-1.4"]
+    for t in texts:
+        lines = (x.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)") for x in t.split("\n"))
+        body = base64.a85encode(zlib.compress("\n".join(f"({x}) Tj" for x in lines).encode("latin-1"))) + b"~>"
+        out.append(b"<< /Filter [/ASCII85Decode /FlateDecode] /Length %d >>\nstream\n%s\nendstream" % (len(body), body))
+    return b"\n".join(out)
+
+
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id, content: the text streams of each case as a PDF file's bytes."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files = [_pdf(texts) for texts in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(files, pa.binary())], ["case_id", "content"])
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    wide = spark.sql(WIDE_SQL.replace("FROM orders", "FROM {orders}"), orders=orders)
+    texts = F.filter(F.array(*[sid for sid, kind, *_ in SOURCES if kind == "TEXT_STREAM"]), lambda x: x.isNotNull())
+    return wide.select("case_id", texts.alias("texts")).mapInArrow(write, "case_id string, content binary")
+
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """case_id, source_id, kind, ordinal, content: one scan of orders, unpivoted in place."""
