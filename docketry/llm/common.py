@@ -78,7 +78,7 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], size: str, total
 def components(edges: DataFrame, total: int | None = None) -> DataFrame:
     """(node, component) of every node of the edges (a, b: long); component is the smallest node reached.
 
-    Large-star and small-star steps alternate until nothing moves; each step's edges go to a
+    Large-star and small-star steps alternate until all edges are stars; each step's edges go to a
     scratch table. The number of edges never grows, and a hub's edges are spread by skew_join.
     """
     e = store(
@@ -99,17 +99,18 @@ def components(edges: DataFrame, total: int | None = None) -> DataFrame:
         return out.filter("a > b").distinct()
 
     def state(e: DataFrame) -> tuple:
-        return tuple(
-            e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("a")).first()
-        )
-
-    now = state(e)
-    while now[0]:
-        rows = 2 * now[0]
-        e = store(star(store(star(e, True), "large"), False), "small")
-        then, now = now, state(e)
-        if then == now:
+        """Edges, and whether each is part of a star around its smallest node, which is what the steps end in."""
+        ends = F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        seen = e.select(F.inline(ends)).groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        count, most = seen.agg(F.sum("up"), F.max(F.col("up") + F.col("down"))).first()
+        return count or 0, (most or 0) < 2
+
+    while True:
+        count, done = state(e)
+        if done:
             break
+        rows = 2 * count
+        e = store(star(store(star(e, True), "large"), False), "small")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).distinct()
 
