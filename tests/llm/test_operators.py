@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from docketry.llm import op01_pii, op02_mixing, op03_langid, op04_lines, op05_exact, op06_minhash, op07_html, op08_embeddings, op09_chat, op10_packing
+from docketry.llm import common, op01_pii, op02_mixing, op03_langid, op04_lines, op05_exact, op06_minhash, op07_html, op08_embeddings, op09_chat, op10_packing
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size long, key string"
@@ -206,6 +206,30 @@ def test_near(spark, monkeypatch):
     assert got() == want
 
 
+def test_near_apart(spark, monkeypatch):
+    """Pairs of near copies among documents that share a passage but aren't linked by it, in nodes that tiles cut."""
+    r = random.Random(5)
+    passage, rows = [f"p{k}" for k in range(90)], []
+    for k in range(40):
+        own = [f"o{k}-{j}" for j in range(40)]
+        rows += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join([*passage, *own[:-1], f"z{r.random()}"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in (("NODE", 4), ("BLOCK", 16), ("FAMILY", 16)):
+        monkeypatch.setattr(op06_minhash, name, value)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in op06_minhash.near_groups(df).collect()) == brute_near(df.collect())
+
+
+@pytest.mark.parametrize("edges", [[], [(5, 5)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 1500)] + [(7, 3000), (3000, 3001), (9001, 9000)], [(2, 1), (3, 1), (3, 2), (3, 2)]])
+def test_components(spark, edges):
+    parent = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in parent if len(parent) < 100 else range(4):
+        for a, b in edges:
+            if a != b:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    got = common.components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted((r.node, r.component) for r in got.collect()) == sorted(parent.items())
+
+
 def test_html():
     field, r = op07_html.train(), random.Random(123)
     pages = [op07_html.labelled_page(r) for _ in range(200)]
