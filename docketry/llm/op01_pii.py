@@ -129,12 +129,15 @@ def _phone(m: Column, key: str) -> Column:
     d = F.right(_digits(m), F.lit(10))
     at = lambda lo, n: F.substr(d, F.lit(lo), F.lit(n)).cast("int")
     area, swap, line = at(1, 3), at(4, 3), at(7, 4)
-    p = feistel((area - 200) * 100 + F.floor(line / 100), (swap - 200) * 100 + line % 100, 80_000, 80_000, key, "phone")
+    # codes from 200 on are permuted among themselves, and so are those below, which no exchange gives out but texts hold
+    low = lambda code: F.when(code >= 200, 200).otherwise(0)
+    many = lambda code: F.when(code >= 200, 80_000).otherwise(20_000).cast("long")
+    p = feistel((area - low(area)) * 100 + F.floor(line / 100), (swap - low(swap)) * 100 + line % 100, many(area), many(swap), key, "phone")
     made = _let(p, lambda s: F.concat(
-        _pad(F.floor(s["l"] / 100) + 200, 3), _pad(F.floor(s["r"] / 100) + 200, 3), _pad(s["l"] % 100, 2), _pad(s["r"] % 100, 2)
+        _pad(F.floor(s["l"] / 100) + low(area), 3), _pad(F.floor(s["r"] / 100) + low(swap), 3), _pad(s["l"] % 100, 2), _pad(s["r"] % 100, 2)
     ))
     lead = F.substr(_digits(m), F.lit(1), F.length(_digits(m)) - 10)
-    return F.when((area >= 200) & (swap >= 200), _refill(m, F.concat(lead, made))).otherwise(m)
+    return _refill(m, F.concat(lead, made))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -185,7 +188,8 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id"
     """One row for each row of docs: doc_id, n_found, text.
 
     n_found counts values of the patterns that were changed; what fails its validation stays as it
-    is. Null text stays null with 0. Texts of any length are read whole. An empty table gives an
+    is. Phone numbers have none: whatever has their form gets a pseudonym, with codes from 200 on
+    for such codes and lower ones for lower ones. Null text stays null with 0. Texts of any length are read whole. An empty table gives an
     empty result; repeated rows are treated alike.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -57,6 +57,19 @@ def test_pii(spark):
     assert many.distinct().count() == 65536
 
 
+def test_pii_phones_of_any_area(spark):
+    old = ["+1 (017) 555-7713", "+1 (136) 555-7479", "(988) 017-0001", "000-000-0000", "988-555-2485"]
+    got = [r for r in op01_pii.pseudonymise(spark.createDataFrame([(k, f"call {t}.") for k, t in enumerate(old)], "doc_id long, text string")).collect()]
+    for r in got:
+        assert r.n_found == 1 and old[r.doc_id] not in r.text
+        assert re.sub(r"\d", "9", r.text) == re.sub(r"\d", "9", f"call {old[r.doc_id]}.")
+        new, was = (re.sub(r"\D", "", t)[-10:] for t in (r.text, old[r.doc_id]))
+        assert [new[k] >= "2" for k in (0, 3)] == [was[k] >= "2" for k in (0, 3)]
+    # numbers of low codes meet no others: as many pseudonyms as numbers
+    many = spark.range(3000).select("id", F.format_string("%03d-%03d-%04d", F.col("id") % 400, F.col("id") % 399, F.col("id")).alias("text"))
+    assert op01_pii.pseudonymise(many, id_col="id").filter("n_found = 1").select("text").distinct().count() == 3000
+
+
 def test_mixing(spark):
     for df in (hard(spark), docs(spark)):
         rows, got = df.collect(), op02_mixing.mix(df).collect()
