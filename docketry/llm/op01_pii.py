@@ -25,9 +25,16 @@ PATTERNS = {
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d|[/.-]\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
+#: A run of digit groups with 13 digits or more, up to a group that starts a value of dots, slashes or letters.
+_OTHER = "|".join([PATTERNS["email"], PATTERNS["ip"], r"\d\d[./]\d\d[./]\d{4}(?!\d)", r"(?:1[ -]?)?\d{3}(?:[ -]\d{3}\.|\.\d{3}[ .-])\d{4}(?!\d)"])
+PATTERNS["card"] = rf"(?<!\d)(?=\d(?:[ -]?\d){{12}})\d++(?:(?![ -](?:{_OTHER}))[ -]\d++)*+"
+#: Groups that cards are written in, and how the numbers in use begin.
+LAYOUT = r"^[ -]?(?:\d{13,19}|(?:\d{4}[ -]){3}\d{4}(?:[ -]\d{1,3})?|(?:\d{4}[ -]){3}\d{1,3}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{6}[ -]\d{7,13}|\d{8}[ -]\d{8})$"
+ISSUED = r"^[ -]?(?:[3-6]|2[2-7])"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What can stand between the cards of a run.
+BESIDE = "|".join(f"(?:{PATTERNS[k]})" for k in ("date", "ssn", "phone"))
 
 
 def _prf(key: str, kind: str, i: Column, x: Column) -> Column:
@@ -108,7 +115,12 @@ def _pad(x: Column, n: Column | int) -> Column:
     return F.lpad(x.cast("string"), n, "0")
 
 
+def _is_card(d: Column) -> Column:
+    return luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)).cast("string") == F.right(d, F.lit(1))
+
+
 def _card(m: Column, key: str) -> Column:
+    """The pseudonym of a card."""
     d = _digits(m)
     body = F.substr(d, F.lit(1), F.length(d) - 1)
     n = F.floor(F.length(body) / 2).cast("int")
@@ -117,7 +129,56 @@ def _card(m: Column, key: str) -> Column:
     p = feistel(F.substr(body, F.lit(1), n), F.substr(body, n + 1), power(n), power(k), key, "card")
     made = _let(p, lambda s: F.concat(_pad(s["l"], n), _pad(s["r"], k)))
     whole = _let(made, lambda b: F.concat(b, luhn_digit(b).cast("string")))
-    return F.when(luhn_digit(body).cast("string") == F.right(d, F.lit(1)), _refill(m, whole)).otherwise(m)
+    return _refill(m, whole)
+
+
+def _in_run(groups: Column) -> Column:
+    """The cards in a run, as structs (i, k) of the first group and the number of groups, in order.
+
+    A card is some whole groups with 13 to 19 digits in all that pass the Luhn test. Such are the
+    run itself, groups in a card's layout, groups of 4 digits or more that begin like a card, and
+    from any group on as many as fit in 19 digits. Where they overlap, the earlier of these kinds comes first, then the earlier and the longer.
+    """
+    n = F.size(groups)
+
+    def window(i: Column, j: Column) -> Column:
+        x = F.array_join(F.slice(groups, i, j - i + 1), "")
+        fills = (j == n) | (F.length(_digits(x)) + F.length(_digits(F.get(groups, j))) > 19)
+        kind = (
+            F.when(fills & (i == 1) & (j == n), 0).when(x.rlike(LAYOUT) & x.rlike(ISSUED), 1).when(x.rlike(LAYOUT), 2)
+            .when(x.rlike(r"^[ -]?\d{4,}(?:[ -]\d{4,})*$") & x.rlike(ISSUED), 3).when(fills, 4)
+        )
+        return F.struct(kind.alias("kind"), i.alias("i"), (-F.length(_digits(x))).alias("less"), (j - i + 1).alias("k"), _digits(x).alias("d"))
+
+    of = lambda i: F.transform(F.sequence(i, F.least(i + 18, n)), lambda j: window(i, j))
+    fit = lambda w: w["less"].between(-19, -13) & w["kind"].isNotNull() & _is_card(w["d"])
+    all_ = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.filter(of(i), fit))))
+    place = F.transform(all_, lambda w: F.struct(w["i"].alias("i"), w["k"].alias("k")))
+    none = F.array().cast("array<struct<i:int,k:int>>")
+    apart = lambda s, w: ~F.exists(s, lambda o: (w["i"] < o["i"] + o["k"]) & (o["i"] < w["i"] + w["k"]))
+    return F.array_sort(F.aggregate(place, none, lambda s, w: F.when(apart(s, w), F.array_append(s, w)).otherwise(s)))
+
+
+def _run(m: Column, key: str) -> Column:
+    """A run as struct(text, n): its cards, and dates and other numbers beside them, replaced."""
+
+    def beside(x: Column) -> Column:
+        hits = F.regexp_extract_all(x, F.lit(BESIDE), F.lit(0))
+        put = F.transform(hits, lambda v: _number(v, key))
+        text = F.array_join(F.zip_with(F.split(x, BESIDE, -1), F.concat(put, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+        return F.struct(text.alias("text"), F.size(F.filter(F.arrays_zip(hits.alias("a"), put.alias("b")), lambda v: v["a"] != v["b"])).alias("n"))
+
+    def pieces(groups: Column, cards: Column) -> Column:
+        text = lambda i, k: F.array_join(F.slice(groups, i, k), "")
+        end = lambda x: F.when(x > 0, F.get(cards, x - 1)["i"] + F.get(cards, x - 1)["k"]).otherwise(1)
+        to = lambda x: F.coalesce(F.get(cards, x)["i"], F.size(groups) + 1)
+        between = F.transform(F.sequence(F.lit(0), F.size(cards)), lambda x: beside(text(end(x), to(x) - end(x))))
+        made = F.transform(cards, lambda c: _let(text(c["i"], c["k"]), lambda o: _let(_card(o, key), lambda v: F.struct(v.alias("text"), (v != o).cast("int").alias("n")))))
+        all_ = F.flatten(F.zip_with(between, made, lambda a, b: F.when(b.isNull(), F.array(a)).otherwise(F.array(a, b))))
+        return F.struct(F.array_join(F.transform(all_, lambda p: p["text"]), "").alias("text"), F.aggregate(all_, F.lit(0), lambda s, p: s + p["n"]).alias("n"))
+
+    # each group goes with the separator before it
+    return _let(F.regexp_extract_all(m, F.lit(r"[ -]?\d+"), F.lit(0)), lambda g: _let(_in_run(g), lambda c: pieces(g, c)))
 
 
 def _let(value: Column, body) -> Column:
@@ -170,18 +231,21 @@ def _date(m: Column, key: str) -> Column:
     return F.when(m.rlike("^\\d{4}-"), of("yyyy-MM-dd")).when(F.contains(m, F.lit(".")), of("dd.MM.yyyy")).otherwise(us)
 
 
-def _pseudonym(m: Column, key: str) -> Column:
+def _number(m: Column, key: str) -> Column:
+    """The pseudonym of an address, date, security or phone number, null for other runs of digits."""
     kind = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
+    return F.when(kind("ip"), _ip(m, key)).when(kind("date"), _date(m, key)).when(kind("ssn"), _ssn(m, key)).when(kind("phone"), _phone(m, key))
+
+
+def _pseudonym(m: Column, key: str) -> Column:
+    """What replaces a match, as struct(text, n): n values in it were changed."""
     local, keep = F.substring_index(m, "@", 1), F.regexp_extract(m, r'^(AKIA|[^=:]*[=:]\s*"?)', 1)
-    return (
+    one = (
         F.when(F.contains(m, F.lit("@")), F.concat(feistel_text(local, key, "email"), F.substr(m, F.length(local) + 1)))
         .when(m.rlike("^[A-Za-z]"), F.concat(keep, feistel_text(F.substr(m, F.length(keep) + 1), key, "secret")))
-        .when(kind("ip"), _ip(m, key))
-        .when(kind("date"), _date(m, key))
-        .when(kind("ssn"), _ssn(m, key))
-        .when(kind("phone"), _phone(m, key))
-        .otherwise(_card(m, key))
+        .otherwise(_number(m, key))
     )
+    return _let(one, lambda v: F.when(v.isNull(), _run(m, key)).otherwise(F.struct(v.alias("text"), (v != m).cast("int").alias("n"))))
 
 
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,14 +253,15 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id"
 
     n_found counts values of the patterns that were changed; what fails its validation stays as it
     is. Phone numbers have none: whatever has their form gets a pseudonym, with codes from 200 on
-    for such codes and lower ones for lower ones. Null text stays null with 0. Texts of any length are read whole. An empty table gives an
+    for such codes and lower ones for lower ones. Cards are looked for in whole runs of
+    digit groups, so numbers beside them don't hide them. Null text stays null with 0. Texts of any length are read whole. An empty table gives an
     empty result; repeated rows are treated alike.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = source.select("*", F.when(F.col("text").rlike("[0-9@]|AKIA|[=:]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("hits"))
     put = found.select("*", F.transform("hits", lambda m: _pseudonym(m, key)).alias("put"))
     between = F.split("text", ANY, -1)
-    text = F.array_join(F.zip_with(between, F.concat("put", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    changed = F.size(F.filter(F.arrays_zip("hits", "put"), lambda x: x["hits"] != x["put"])).cast("long")
+    text = F.array_join(F.zip_with(between, F.concat("put.text", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    changed = F.aggregate("put", F.lit(0), lambda s, p: s + p["n"]).cast("long")
     has = F.coalesce(F.size("hits") > 0, F.lit(False))
     return put.select("doc_id", F.when(has, changed).otherwise(F.lit(0).cast("long")).alias("n_found"), F.when(has, text).otherwise(F.col("text")).alias("text"))

@@ -70,6 +70,32 @@ def test_pii_phones_of_any_area(spark):
     assert op01_pii.pseudonymise(many, id_col="id").filter("n_found = 1").select("text").distinct().count() == 3000
 
 
+def test_pii_cards_beside_numbers(spark):
+    """Each text with its cards and other values marked by brackets: they change, all else stays."""
+    marked = [
+        "[4111 1111 1111 1111] 12/25", "[4111111111111111] 123", "qty 2 [4111111111111111]", "12345 [4111 1111 1111 1111]", "[3782 822463 10005] 1234",
+        "[4111-1111-1111-1111]-123", "[4111 1111 1111 1111] [5500 0000 0000 0004] 7", "2024 [4111 1111 1111 1111] 12", "[4111 1111 1111 1111] [123-45-6789]",
+        "[4111 1111 1111 1111] [10.0.0.1]", "[4111 1111 1111 1111] [2024-02-29]", "[4111 1111 1111 1111] [01/02/2024]", "12 [988-555-2485] [4111 1111 1111 1111]",
+        "1234 5678 9012 3456", "12345678901234567890 1", "[41111 11111 111111] 999", "[4111 1111 1111 1111] [988.555.2485]",
+    ]
+    text = [re.sub(r"[\[\]]", "", t) for t in marked]
+    got = {r.doc_id: r for r in op01_pii.pseudonymise(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")).collect()}
+    whole = op01_pii.pseudonymise(spark.createDataFrame([(0, "4111111111111111")], "doc_id long, text string")).first().text
+    for k, t in enumerate(marked):
+        new, at = got[k].text, 0
+        assert len(new) == len(text[k]) or "10.0.0.1" in text[k], (t, new)
+        assert got[k].n_found == t.count("["), (t, new)
+        for j, part in enumerate(re.split(r"[\[\]]", t)):
+            if "." not in part or "988" in part:
+                assert (new[at : at + len(part)] != part) == (j % 2 == 1), (t, new)
+            at += len(part)
+        if "4111" in t and "41111 " not in t:
+            assert whole in re.sub(r"[ -]", "", new), (t, new)
+    long = " ".join(["4111 1111 1111 1111 7"] * 300 + ["1"] * 3000)
+    r = op01_pii.pseudonymise(spark.createDataFrame([(0, long)], "doc_id long, text string")).first()
+    assert r.n_found >= 300 and "4111 1111" not in r.text and len(r.text) == len(long)
+
+
 def test_mixing(spark):
     for df in (hard(spark), docs(spark)):
         rows, got = df.collect(), op02_mixing.mix(df).collect()
