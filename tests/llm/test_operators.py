@@ -245,6 +245,18 @@ def test_near(spark, monkeypatch):
     assert got() == want
 
 
+def test_near_small_sets(spark):
+    # 3 of 4 shingles in common, two of them in the buckets of others: sketches put these pairs at 0.5
+    rows = []
+    for k in (10155, 10948, 11680, 12844, 22765):
+        w = [f"w{k}x{i}" for i in range(8)]
+        rows += [(2 * k, " ".join(w[:7])), (2 * k + 1, " ".join(w)), (-k, " ".join(w[:3]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op06_minhash.near_groups(df).collect())
+    assert got == brute_near(df.collect())
+    assert sum(c == d for d, _, c in got) == 10
+
+
 def test_near_apart(spark, monkeypatch):
     """Pairs of near copies among documents that share a passage but aren't linked by it, in nodes that tiles cut."""
     r = random.Random(5)
