@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
@@ -53,6 +54,23 @@ def release() -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def with_ids(docs: DataFrame, id_col: str = "doc_id", last: bool = True) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """docs with an id of its own for each row that has none, and a function that makes these ids null again.
+
+    The new ids are after all others, or before them if not `last`. Ids at the very end of the long
+    range leave no room, which is an error and no silent loss.
+    """
+    none = docs.filter(F.col(id_col).isNull())
+    if not none.take(1):
+        return docs, lambda c: c
+    end = docs.agg(F.max(id_col) if last else F.min(id_col)).first()[0] or 0
+    n = F.monotonically_increasing_id()
+    made = F.lit(end).cast("long") + 1 + n if last else F.lit(end).cast("long") - 1 - n
+    # stored, so that a row keeps its id
+    own = store(none.withColumn(id_col, made), "ids")
+    return docs.filter(F.col(id_col).isNotNull()).unionByName(own), lambda c: F.when(c <= end if last else c >= end, c)
+
+
 def hot_limit(total: int) -> int:
     """More rows than this make a key hot; fewer than 1 / HOT_SHARE keys can have so many."""
     return max(HOT_ROWS, int(total * HOT_SHARE))

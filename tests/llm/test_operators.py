@@ -257,6 +257,27 @@ def test_near_small_sets(spark):
     assert sum(c == d for d, _, c in got) == 10
 
 
+def test_near_null_ids(spark):
+    text = {k: " ".join(f"{k}w{j}" for j in range(60)) for k in "abcd"}
+    near = lambda k: text[k] + " end"
+    rows = [(None, text["a"]), (3, text["a"]), (2, text["a"]), (9, near("a")), (None, text["b"]), (None, text["b"]), (None, near("b"))]
+    rows += [(None, text["c"]), (None, ""), (None, None), (7, text["d"])]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, 0, "k") for i, t in rows], DOC)
+    got = op06_minhash.near_groups(df).collect()
+    assert sorted(map(str, ((r.doc_id, r.component_id, r.kept) for r in got))) == sorted(map(str, [
+        (None, 2, False), (3, 2, False), (2, 2, True), (9, 2, False), (None, None, True), (None, None, False), (None, None, False),
+        (None, None, True), (None, None, True), (None, None, True), (7, 7, True),
+    ]))
+    order = lambda d: sorted(((r.doc_id or -1, r.text or "") for r in d.select("doc_id", "text").collect()))
+    alone = order(corpus_pipeline.near(spark, df, SF))
+    assert [x for x in alone if x[1][:1] != "b"] == sorted([(-1, ""), (-1, ""), (-1, text["c"]), (2, text["a"]), (7, text["d"])])
+    assert len(alone) == 6
+    once = order(corpus_pipeline.exact(spark, df, SF))
+    assert once == sorted([(3, text["a"]), (9, near("a")), (-1, text["b"]), (-1, near("b")), (-1, text["c"]), (-1, ""), (7, text["d"])])
+    mixed = corpus_pipeline.mixing(spark, df, SF)
+    assert mixed.columns == df.columns and mixed.filter("doc_id is null").count() > 0
+
+
 def test_near_apart(spark, monkeypatch):
     """Pairs of near copies among documents that share a passage but aren't linked by it, in nodes that tiles cut."""
     r = random.Random(5)
