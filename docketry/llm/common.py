@@ -18,6 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Keys above this share of all rows (and above HOT_ROWS rows) are hot: at most 1 / HOT_SHARE keys.
 HOT_SHARE, HOT_ROWS = 1e-3, 1000
 
+#: Bytes of a batch that goes to Python, about; rows alone would let long texts make batches of any size.
+BATCH_BYTES = 4 << 20
+
 _live: list[tuple[SparkSession, str]] = []
 
 
@@ -32,6 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what one batch hands to Python by bytes, unless the session already does."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, "2147483647")) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/docketry-{name}-{uuid.uuid4().hex}"
     _live.append((spark, path))

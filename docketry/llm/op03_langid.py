@@ -14,14 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+from .shingles import batches_of
+
 ORDER = 3
-#: Training reads at most so many labelled documents of a language, and so many bytes of them.
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 1_500_000
-#: Bytes that are scored at once.
-STEP = 4 << 20
+#: Training reads at most so many labelled documents of a language, and so many bytes of them. Of a text
+#: longer than PIECES * PIECE characters it reads as many pieces of PIECE characters, spread over the text.
+SAMPLE_DOCS, SAMPLE_BYTES, PIECES, PIECE = 400, 1_500_000, 4, 8192
+#: Costs (bytes times languages) that are looked up at once; no array of a worker grows with a batch or a text.
+STEP = 1 << 20
+#: A text is in none of the languages if bytes drawn at random explain it better by this many bits.
+DOUBT = 64.0
 
 
 class Model:
@@ -100,22 +107,19 @@ class Model:
 
     def lengths(self, data: np.ndarray, starts: np.ndarray, skip: int = 0) -> np.ndarray:
         """Code lengths in bits, (texts, languages), of the non-empty texts that start at `starts` in data; the first `skip` bytes are context only."""
-        pad = self.order
         s = self.classes[data]
         ends = np.append(starts[1:], len(data))
-        flat = self.cost.reshape(-1, len(self.langs))
-        pos = np.arange(len(data)) - np.repeat(starts, ends - starts) if len(data) else np.zeros(0, np.int64)
-        code = np.zeros(len(data), np.int64)
-        for k in range(pad, 0, -1):
+        pos = np.arange(len(data), dtype=np.int32) - np.repeat(starts, ends - starts).astype(np.int32)
+        code = np.zeros(len(data), np.int32)
+        for k in range(self.order, 0, -1):
             # a text's first bytes have fewer before them: class 0 stands for what is not there
-            before = np.zeros(len(data), np.int64)
+            before = np.zeros(len(data), np.int32)
             before[k:] = s[:-k] if len(s) > k else 0
             before[pos < k] = 0
             code = code * self.n + before
-        row = self.state[code].astype(np.int64) * self.n + s
-        bits = flat[row].astype(np.float64)
+        bits = self.cost.reshape(-1, len(self.langs))[self.state[code].astype(np.int64) * self.n + s]
         bits[:skip] = 0
-        return np.add.reduceat(bits, starts, axis=0)
+        return np.add.reduceat(bits, starts, axis=0, dtype=np.float64)
 
     def decide(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The language with the shortest code and its posterior probability under equal priors."""
@@ -137,61 +141,70 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     u = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1_000_000))
     # a few more than are needed, so that the sample is full; then the first ones by hash
     limit = F.coalesce(*[F.when(F.col(lang_col) == k, F.lit(int(min(1.0, 1.5 * docs_per_lang / n + 20 / n) * 1_000_000))) for k, n in counts.items()])
-    rows = light.filter(u < limit).select(F.col(lang_col).alias("lang"), F.encode(F.substring(F.col(text_col), 1, bytes_per_lang), "utf-8").alias("t"), u.alias("u"), F.col(id_col).alias("i"))
+    text, n = F.col(text_col), F.length(text_col)
+    spread = F.concat_ws("\n", *[F.substr(text, F.floor(n * k / PIECES).cast("int") + 1, F.lit(PIECE)) for k in range(PIECES)])
+    part = F.when(n > PIECES * PIECE, spread).otherwise(text)
+    rows = light.filter(u < limit).select(F.col(lang_col).alias("lang"), F.encode(part, "utf-8").alias("t"), u.alias("u"), F.col(id_col).alias("i"))
     texts: dict[str, list[bytes]] = defaultdict(list)
     for r in sorted(rows.collect(), key=lambda r: (r["u"], str(r["i"]), r["t"])):
         own = texts[r["lang"]]
-        if len(own) < docs_per_lang and sum(map(len, own)) + len(r["t"]) <= bytes_per_lang and r["t"]:
-            own.append(bytes(r["t"]))
-    return Model(dict(texts), order)
-
-
-def _decide(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """lang_pred and score of texts."""
-    pred, score = ["und"] * len(texts), np.zeros(len(texts))
-    use = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model.langs else []
-    raw = {k: texts[k].encode() for k in use}
-    lo = 0
-    while lo < len(use):
-        hi, held = lo, 0
-        while hi < len(use) and (hi == lo or held + len(raw[use[hi]]) <= STEP):
-            held += len(raw[use[hi]])
-            hi += 1
-        part = use[lo:hi]
-        if held > STEP:
+        room = bytes_per_lang - sum(map(len, own))
+        if len(own) < docs_per_lang and r["t"] and room > 0:
+            own.append(bytes(r["t"][:room]))
+    return Model({k: v for k, v in texts.items() if v}, order)
+
+
+def _decide(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """lang_pred, score, and by how many bits the language explains the text better than bytes drawn at random do."""
+    pred, score, gain = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    if not model.langs:
+        return pred, score, gain
+    letters = pa.compute.fill_null(pa.compute.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
+    step = max(4096, STEP // len(model.langs))
+    for lo, n, data, offsets in batches_of(texts, step):
+        if len(data) > step:
             # a very long text in steps that overlap by the order
-            data, bits = np.frombuffer(raw[part[0]], np.uint8), np.zeros((1, len(model.langs)))
-            for at in range(0, held, STEP):
+            bits = np.zeros((1, len(model.langs)))
+            for at in range(0, len(data), step):
                 back = min(at, model.order)
-                bits += model.lengths(data[at - back : at + STEP], np.array([0]), back)
+                bits += model.lengths(data[at - back : at + step], np.array([0]), back)
+            use = np.zeros(1, np.int64)
         else:
-            data = np.frombuffer(b"".join(raw[k] for k in part), np.uint8)
-            bits = model.lengths(data, np.cumsum([0, *(len(raw[k]) for k in part[:-1])]))
+            use = np.flatnonzero(np.diff(offsets))
+            if not len(use):
+                continue
+            bits = model.lengths(data, offsets[:-1][use])
         best, p = model.decide(bits)
-        for k, b, x in zip(part, best.tolist(), p.tolist(), strict=True):
-            pred[k], score[k] = model.langs[b], x
-        lo = hi
-    return pred, score
+        size = np.diff(offsets)[use]
+        for k, b, x, least, many in zip(use.tolist(), best.tolist(), p.tolist(), bits.min(1).tolist(), size.tolist(), strict=True):
+            if letters[lo + k]:
+                pred[lo + k], score[lo + k], gain[lo + k] = model.langs[b], x, 8.0 * many - least
+    return pred, score, gain
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score = _decide(shared.value, batch.column(1).to_pylist())
+            pred, score, _ = _decide(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text has a language: neither null nor without letters."""
+def accepted(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, least: float = 0.0, doubt: float = DOUBT, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose predicted language is one of `languages` (all that the model knows) with a score of `least` or more.
+
+    Rejected are null and empty texts, texts without a letter, and texts in none of the languages:
+    those that 8 bits a byte describe in fewer bits than the likeliest language does, by more than `doubt`.
+    """
+    common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    wanted, at = set(model.langs if languages is None else languages), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, _ = _decide(shared.value, batch.column(at).to_pylist())
-            yield batch.filter(pa.array([p != "und" for p in pred], pa.bool_()))
+            pred, score, gain = _decide(shared.value, batch.column(at))
+            yield batch.filter(pa.array(np.array([p in wanted for p in pred], bool) & (score >= least) & (gain >= -doubt)))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -200,9 +213,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """doc_id, lang_pred, score for each row of docs, from the text alone.
 
     lang_pred is `und` (score 0) if the text is null or has no letter, or if the model knows no
-    language. score is the probability of lang_pred under equal priors. An empty table gives an
-    empty result; repeated rows are scored alike.
+    language. score is the probability of lang_pred under equal priors; of equal code lengths the
+    first language by name wins. Texts of any length are read whole, in steps. An empty table gives
+    an empty result; repeated rows are scored alike. Other columns of docs are not read.
     """
+    common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(_score(shared), "doc_id long, lang_pred string, score double")

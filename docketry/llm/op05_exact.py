@@ -92,6 +92,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives an empty result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    common.bounded_batches(docs.sparkSession)
     schema = "doc_id long, sha string, ord int, digest binary, content binary"
     # uid tells rows apart that repeat an id: recipes must not mix
     rows = source.mapInArrow(_chunked(digest), schema)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Generated pages that the field is trained on, steps of training, and the weight of the squared penalty.
 TRAIN_PAGES, STEPS, PENALTY = 500, 160, 0.02
 
@@ -369,6 +371,7 @@ def main_text(pages: DataFrame, field: Field | None = None, id_col: str = "page_
     in a block is one space, blocks are joined by a newline in page order. <br> counts as white
     space. Repeated rows are treated alike; an empty table gives an empty result.
     """
+    common.bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(field or train())
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return source.mapInArrow(_extracted(shared), "page_id long, url string, text string, n_chars long")

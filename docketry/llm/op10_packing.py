@@ -289,6 +289,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     packed like any others.
     """
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _pieces(vocab or vocabulary(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )

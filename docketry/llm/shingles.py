@@ -9,7 +9,7 @@ import pyarrow.compute
 #: Words of a shingle.
 WIDTH = 5
 #: Bytes that are hashed at once; a longer text is taken alone.
-STEP = 4 << 20
+STEP = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(5))
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _PLACE = _rng.integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,16 +85,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return hashes[keep], np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=n_docs))])
 
 
-def batches_of(texts: pa.Array):
-    """(first row, rows, bytes, offsets) of slices of a string column of about STEP bytes; null counts as empty."""
+def batches_of(texts: pa.Array, step: int = STEP):
+    """(first row, rows, bytes, offsets) of slices of a string column of about `step` bytes, without copies; null counts as empty."""
     texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
-    lengths = np.array([0 if x is None else x for x in pa.compute.binary_length(texts).to_pylist()], np.int64)
+    texts = pa.compute.fill_null(texts, b"") if texts.null_count else texts
+    if not len(texts):
+        return
+    _, ends, body = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    body = np.frombuffer(body, np.uint8) if body else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(texts):
-        hi, held = lo, 0
-        while hi < len(texts) and (hi == lo or held + lengths[hi] <= STEP):
-            held += lengths[hi]
-            hi += 1
-        part = b"".join(x.as_py() or b"" for x in texts.slice(lo, hi - lo))
-        yield lo, hi - lo, np.frombuffer(part, np.uint8), np.concatenate([[0], np.cumsum(lengths[lo:hi])])
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + step, "right")) - 1)
+        yield lo, hi - lo, body[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
         lo = hi
