@@ -22,7 +22,8 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str =
 
     Lines are separated by newlines and compared after trimming ASCII spaces and tabs; lines empty
     by that stay and never count. A null site counts as no site. Null text counts as empty and
-    gives empty text. Rows that repeat an id are handled alone. An empty table gives an empty result.
+    gives empty text. Rows that repeat an id, or have none, are handled alone. Texts with any number
+    of lines, all of them dropped or not, take time in proportion. An empty table gives an empty result.
     """
     rows = common.store(
         docs.select(
@@ -52,10 +53,15 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str =
         .groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("a", "b")
     )
     boiler = common.store(sure.unionByName(exact).join(spread.select("a", "b", "uses"), ["a", "b"]), "boiler")
-    gone = common.skew_join(lines, boiler, ["a", "b"], "uses", total).groupBy("at").agg(F.collect_set("pos").alias("gone"))
+    gone = common.skew_join(lines, boiler, ["a", "b"], "uses", total).groupBy("at").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
     parts = F.split("text", "\n", -1)
     out = rows.join(gone, "at", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    stays = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    out = out.select("doc_id", "text", "gone", parts.alias("parts"))
+    # what lies between two dropped lines stays: a walk along both, no search for each line
+    begin = lambda k: F.when(k > 0, F.get("gone", k - 1) + 2).otherwise(1)
+    end = lambda k: F.coalesce(F.get("gone", k), F.size("parts"))
+    between = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("parts", begin(k), end(k) - begin(k) + 1))
+    stays, parts = F.array_join(F.flatten(between), "\n"), F.col("parts")
     return out.select(
         "doc_id", F.size(parts).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"),
         F.when(F.size("gone") == 0, F.col("text")).otherwise(stays).alias("text"),
