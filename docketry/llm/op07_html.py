@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,8 @@ from . import common
 #: Generated pages that the field is trained on, steps of training, and the weight of the squared penalty.
 TRAIN_PAGES, STEPS, PENALTY = 500, 160, 0.02
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+# A tag ends at its >, at the next < outside of quotes or at the page's end, and nothing is given back, so any page is read once.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?|<[!?][^<>]*+>?", re.S)
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "xmp", "noembed", "noframes")}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _BREAK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul button caption legend label".split())
@@ -49,16 +51,52 @@ _NAMES = ["bias", *(f"in:{t}" for t in _TAGS), *(f"hint:{h}" for h in _HINTS), *
 FEATURE = {n: k for k, n in enumerate(_NAMES)}
 
 
-def _ancestor_features(path: list[tuple[str, frozenset]]) -> tuple[int, ...]:
-    tags, hints = {t for t, _ in path}, set()
-    for _, h in path:
-        hints |= h
-    out = [FEATURE["bias"], *(FEATURE[f"in:{t}"] for t in tags if f"in:{t}" in FEATURE), *(FEATURE[f"hint:{h}"] for h in hints)]
-    own = next((t for t, _ in reversed(path) if t in _BREAK), "")
+_BIT = {t: 1 << k for k, t in enumerate([*sorted(_BREAK), *_HINTS])}
+
+
+class _Open:
+    """The open block elements of a page: where each kind is open, which kinds and hints are open at all."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, frozenset]] = []
+        self.where: dict[str, list[int]] = defaultdict(list)
+        self.many: dict[str, int] = defaultdict(int)
+        self.mask = 0
+
+    def push(self, tag: str, hints: frozenset) -> None:
+        self.where[tag].append(len(self.stack))
+        self.stack.append((tag, hints))
+        for x in (tag, *hints):
+            self.many[x] += 1
+            self.mask |= _BIT[x]
+
+    def cut(self, k: int) -> None:
+        """Close the element at k and what is open inside."""
+        while len(self.stack) > k:
+            tag, hints = self.stack.pop()
+            self.where[tag].pop()
+            for x in (tag, *hints):
+                self.many[x] -= 1
+                if not self.many[x]:
+                    self.mask &= ~_BIT[x]
+
+    def last(self, *tags: str) -> int:
+        """Where the innermost open element of these kinds is, -1 if none is open."""
+        return max(self.where[t][-1] if self.where[t] else -1 for t in tags)
+
+    def key(self) -> tuple[int, str, bool]:
+        """What the features of a block in here depend on: kinds and hints that are open, the innermost element, a header in the article."""
+        heads = self.where["header"]
+        inside = bool(heads) and any(self.where[t] and self.where[t][0] < heads[0] for t in ("article", "main"))
+        return self.mask, self.stack[-1][0] if self.stack else "", inside
+
+
+def _ancestor_features(key: tuple[int, str, bool]) -> tuple[int, ...]:
+    mask, own, inside = key
+    out = [FEATURE["bias"], *(FEATURE[f"in:{t}"] for t in _BREAK if mask & _BIT[t] and f"in:{t}" in FEATURE), *(FEATURE[f"hint:{h}"] for h in _HINTS if mask & _BIT[h])]
     if f"own:{own}" in FEATURE:
         out.append(FEATURE[f"own:{own}"])
-    order = [t for t, _ in path]
-    if "header" in order and any(t in ("article", "main") for t in order[: order.index("header")]):
+    if inside:
         out.append(FEATURE["head-in-article"])
     return tuple(sorted(out))
 
@@ -66,9 +104,10 @@ def _ancestor_features(path: list[tuple[str, frozenset]]) -> tuple[int, ...]:
 def blocks(page: str) -> list[tuple[str, tuple[int, ...]]]:
     """(text, features) of the leaf blocks of a page in order; blocks without text are left out."""
     out: list[tuple[str, tuple[int, ...], float]] = []
-    stack: list[tuple[str, frozenset]] = []
+    open_ = _Open()
     parts: list[str] = []
-    state = {"links": 0, "path": None}
+    # link: how many blocks were open where a link began, -1 outside of links
+    state = {"links": 0, "key": None, "link": -1}
     cache: dict[tuple, tuple] = {}
     empty = frozenset()
 
@@ -77,23 +116,29 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...]]]:
             text = "".join(parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                key = state["path"]
+                key = state["key"]
                 if key not in cache:
-                    cache[key] = _ancestor_features(list(key))
+                    cache[key] = _ancestor_features(key)
                 out.append((text, cache[key], min(1.0, state["links"] / len(text))))
             parts.clear()
-        state["links"], state["path"] = 0, None
+        state["links"], state["key"] = 0, None
 
     def add(text: str) -> None:
         if not text:
             return
         parts.append(text)
         if not text.isspace():
-            if state["path"] is None:
-                state["path"] = tuple(x for x in stack if x[0] != "a" and x[0] in _BREAK)
-            if any(t == "a" for t, _ in stack):
+            if state["key"] is None:
+                state["key"] = open_.key()
+            if state["link"] >= 0:
                 state["links"] += len(text.strip())
 
+    def cut(k: int) -> None:
+        if k >= 0:
+            open_.cut(k)
+            if state["link"] > k:
+                state["link"] = -1
+
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -109,9 +154,9 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...]]]:
         if m[1]:
             if tag in _BREAK:
                 flush()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None:
-                del stack[k:]
+                cut(open_.last(tag))
+            elif tag == "a":
+                state["link"] = -1
             elif tag == "br":
                 parts.append(" ")
             continue
@@ -122,27 +167,22 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...]]]:
         if tag in _BREAK:
             flush()
             if tag in _CLOSES_P:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-                if k is not None:
-                    del stack[k:]
+                cut(open_.last("p"))
             if tag in _SAME:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in _SAME[tag]:
-                        break
-                    if stack[k][0] == tag or tag in ("td", "th", "dd", "dt") and stack[k][0] in ("td", "th", "dd", "dt"):
-                        del stack[k:]
-                        break
+                same = open_.last("td", "th", "dd", "dt") if tag in ("td", "th", "dd", "dt") else open_.last(tag)
+                if same > open_.last(*_SAME[tag]):
+                    cut(same)
         elif tag == "br":
             parts.append(" ")
-        if tag in _VOID or m[3].endswith("/") and tag not in _BREAK:
+        if tag == "a":
+            state["link"] = len(open_.stack)
+        if tag not in _BREAK or tag in _VOID:
             continue
         hints = empty
         if "=" in m[3]:
             words = [w for a in _NAMED.findall(m[3]) for w in re.split(r"[\s_-]+", (a[0] or a[1] or a[2]).lower())]
             hints = frozenset(_HINT[w] for w in words if w in _HINT)
-        # what is open but never closed does not pile up
-        if len(stack) < 400 and (tag in _BREAK or tag == "a"):
-            stack.append((tag, hints))
+        open_.push(tag, hints)
     flush()
     total = len(out)
     return [(t, f + _text_features(t, links, k, total)) for k, (t, f, links) in enumerate(out)]
@@ -369,7 +409,10 @@ def main_text(pages: DataFrame, field: Field | None = None, id_col: str = "page_
 
     Null html counts as empty and gives empty text. Character references are decoded, white space
     in a block is one space, blocks are joined by a newline in page order. <br> counts as white
-    space. Repeated rows are treated alike; an empty table gives an empty result.
+    space. Pages of any length, nesting and malformation are read whole, in time in proportion:
+    unclosed comments and scripts run to the page's end, other unclosed tags to the next tag.
+    Repeated rows and rows without an id are treated alike; an empty table gives an empty result.
+    Other columns of pages are not read.
     """
     common.bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(field or train())
