@@ -143,6 +143,20 @@ def components(edges: DataFrame, total: int | None = None) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).distinct()
 
 
+def scan(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str, block: int = 256) -> Column:
+    """The states of a machine after each item, in order: step(state, item) makes the next one from `start`.
+
+    `kind` is a state's type. Items are gone through in blocks, so that the states found so far are
+    not copied for each item.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    one = lambda s, x: F.transform(F.array(step(s["at"], x)), lambda t: F.struct(t.alias("at"), F.array_append(s["out"], t).alias("out")))[0]
+    part = lambda s, b: F.aggregate(F.slice(items, b * block + 1, F.lit(block)), F.struct(s["at"].alias("at"), none.alias("out")), one)
+    many = lambda s, b: F.transform(F.array(part(s, b)), lambda p: F.struct(p["at"].alias("at"), F.array_append(s["out"], p["out"]).alias("out")))[0]
+    blocks = F.sequence(F.lit(0), F.floor(F.size(items) / block).cast("int"))
+    return F.aggregate(blocks, F.struct(start.cast(kind).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out")), many, lambda s: F.flatten(s["out"]))
+
+
 def buckets(rows: int, each: int) -> int:
     """How many buckets keep about `each` rows in one."""
     return max(1, -(-rows // each))

@@ -3,7 +3,9 @@ r"""Chat formatting by a finite-state machine, in DataFrame functions only.
 A declarative template says how a turn opens and closes and which roles are learned from. Texts
 may hold anything: the escape character and the first character of every control string are
 escaped, so control strings never occur in an escaped text and the output reads back exactly.
-A machine over roles says whether the turn order is valid.
+A machine over roles goes through the turns of a conversation: at each turn it moves to a next state
+and says whether the turn's text is learned from. Its states tell whether the turn order is valid
+and at which turn it left the path.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 
 @dataclass(frozen=True)
 class Template:
@@ -45,13 +49,16 @@ class Template:
 
 
 def format_conversations(turns: DataFrame, template: Template = Template(), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row for each conversation: conv_id, n_turns, valid, formatted, segments.
-
-    Rows are ordered by turn (null first), ties by role and text. Null text and null role count
-    as empty. Segments are (text, loss) in order and their texts join to `formatted`; loss is true
-    for the escaped texts of learned roles alone. Every conversation is formatted; `valid` says
-    whether the machine accepts its roles. Rows with a null conv_id make one conversation. One
-    conversation is one training text, so its turns are gathered in one row.
+    """One row for each conversation: conv_id, n_turns, valid, off_at, formatted, segments.
+
+    Rows are ordered by turn (null first), ties by role and text; repeated rows are turns of their
+    own. Null text and null role count as empty. Segments are (text, loss) in order and their texts
+    join to `formatted`; loss is what the machine says at each turn, true for the escaped texts of
+    learned roles alone, on the path or off it. Every conversation is formatted; `valid` says whether
+    the machine ends in an accepting state, off_at is the place, from 0, of the first turn that has
+    no move (-1 if there is none). Rows with a null conv_id make one conversation. One conversation
+    is one training text, so its turns are gathered in one row; texts of any length are whole. An
+    empty table gives an empty result, and other columns are not read.
     """
     t = template
     rows = turns.select(
@@ -64,19 +71,22 @@ def format_conversations(turns: DataFrame, template: Template = Template(), conv
     )
     convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     move = lambda state, r: F.coalesce(*[F.when((state == a) & (r == b), c) for a, b, c in t.moves], F.lit("off"))
-    state = F.aggregate("rows", F.lit("start"), lambda s, x: move(s, x["role"]))
+    turn = lambda s, x: F.struct(move(s["state"], x["role"]).alias("state"), x["role"].isin(*t.loss_roles).alias("learn"))
+    start = F.struct(F.lit("start").alias("state"), F.lit(False).alias("learn"))
+    convs = convs.withColumn("path", common.scan(F.col("rows"), start, turn, "struct<state:string,learn:boolean>"))
     seg = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-    one = lambda x: F.array(
+    one = lambda x, m: F.array(
         seg(F.concat(F.lit(t.opens), t.escape_role(x["role"]), F.lit(t.mid)), F.lit(False)),
-        seg(t.escape(x["text"]), x["role"].isin(*t.loss_roles)),
+        seg(t.escape(x["text"]), m["learn"]),
         seg(F.lit(t.closes), F.lit(False)),
     )
     out = convs.select(
         "conv_id", F.size("rows").cast("long").alias("n_turns"),
-        state.isin(*t.accepting).alias("valid"),
-        F.flatten(F.transform("rows", one)).alias("segments"),
+        F.element_at("path.state", -1).isin(*t.accepting).alias("valid"),
+        (F.array_position("path.state", "off") - 1).alias("off_at"),
+        F.flatten(F.zip_with("rows", "path", one)).alias("segments"),
     )
-    return out.select("conv_id", "n_turns", "valid", F.array_join("segments.text", "").alias("formatted"), "segments")
+    return out.select("conv_id", "n_turns", "valid", "off_at", F.array_join("segments.text", "").alias("formatted"), "segments")
 
 
 def read_back(formatted: DataFrame, template: Template = Template(), keep: tuple[str, ...] = ()) -> DataFrame:

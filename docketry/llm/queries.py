@@ -12,8 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: For the given tables, whose personal data are invented; a session that sets a key of its own uses that.
+QUERY_KEY = "only for invented data"
+
+
 def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op01_pii.pseudonymise(_table(spark, sf_dir, "documents"))
+    return op01_pii.pseudonymise(_table(spark, sf_dir, "documents"), spark.conf.get(op01_pii.KEY_SETTING, QUERY_KEY))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +57,14 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"),
     )
     made = op09_chat.format_conversations(turns.unionByName(trap))
-    back = op09_chat.read_back(made.select("conv_id", "formatted", "segments"), keep=("formatted", "segments"))
+    keep = ("formatted", "segments", "valid", "off_at")
+    back = op09_chat.read_back(made.select("conv_id", *keep), keep=keep)
     loss = op09_chat.loss_text("segments")
     line = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(line, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length("formatted").cast("long").alias("formatted_chars"), "valid", "off_at",
     )
 
 
@@ -123,13 +128,16 @@ SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = compo
     "op9_chat_format": r"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+n AS (SELECT *, row_number() OVER w - 1 AS pos, coalesce(lag(role) OVER w, '^') || '>' || role NOT IN ('^>system', '^>user', 'system>user', 'user>assistant', 'assistant>user') AS off,
+    lead(role) OVER w IS NULL AND role = 'assistant' AS ends FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, count(*)::BIGINT AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
     sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
     sum(15 + length(role) + length(text) + length(role || text) - length(replace(replace(role || text, '\', ''), '<', ''))
-        + length(role) - length(replace(role, '>', '')))::BIGINT AS formatted_chars
-FROM t GROUP BY conv_id
+        + length(role) - length(replace(role, '>', '')))::BIGINT AS formatted_chars,
+    bool_or(ends) AND NOT bool_or(off) AS valid, coalesce(min(pos) FILTER (WHERE off), -1)::BIGINT AS off_at
+FROM n GROUP BY conv_id
 """,
 }
