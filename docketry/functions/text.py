@@ -41,8 +41,8 @@ def _listed(c: Column, pattern: dict[str, str]) -> Column:
 
 
 def flags(c: Column) -> Column:
-    """Flags of the labelled line if there is one, else of the whole text; 'none' if there are none."""
-    scan = F.when(c.rlike(T.P["flags"]), F.regexp_extract(c, T.P["flags"], 1)).otherwise(c)
+    """Flags of the labelled line if it says anything, else of the whole text; 'none' if there are none."""
+    scan = or_else(first_group(c, T.P["flags"]), c)
     return or_else(_listed(scan, {f: rf"(?i)\b{f}\b" for f in T.FLAGS}), F.lit("none"))
 
 
@@ -113,13 +113,13 @@ def with_fields(rows: DataFrame, text: str, to: str = "fields") -> DataFrame:
     found |= {
         "species": first_of(c, T.SPECIES), "home": first_of(c, T.HOMES), "any_visa": first_of(c, T.VISAS), "sponsor": F.regexp_extract(c, T.P["sponsor"], 0),
         "amount": F.replace(F.regexp_extract(c, T.P["amount"], 1), F.lit(","), F.lit("")).try_cast("double"), "code": F.upper(strip(F.regexp_extract(c, T.P["waiver"], 1))),
-        "scan": F.when(c.rlike(T.P["flags"]), F.regexp_extract(c, T.P["flags"], 1)).otherwise(c), "finding": finding(c),
+        "line": first_group(c, T.P["flags"]), "finding": finding(c),
         "fixed": F.when(c.rlike(r"(?i)Manual\s*correction:"), corrections(c)),
     }
     out = rows.select("*", F.struct(*[v.alias(k) for k, v in found.items()]).alias("__f"))
     f = lambda k: F.col(f"__f.{k}")
     clean = {k: no_placeholder(f(k)) for k in _RAW}
-    clean |= {"flags": _listed(f("scan"), {x: rf"(?i)\b{x}\b" for x in T.FLAGS}), "letter": no_placeholder(F.regexp_replace(f("sponsor_purpose"), r"\s+", " "))}
+    clean |= {"flags": _listed(or_else(f("line"), c), {x: rf"(?i)\b{x}\b" for x in T.FLAGS}), "letter": no_placeholder(F.regexp_replace(f("sponsor_purpose"), r"\s+", " "))}
     out = out.select("*", F.struct(*[v.alias(k) for k, v in clean.items()]).alias("__g"))
     g = lambda k: F.col(f"__g.{k}")
     raw = {
@@ -150,8 +150,9 @@ def repaired_year(c: Column) -> Column:
     """A date outside 2020 to 2030 with one digit of its year changed: the first that is a real date there."""
     fine = lambda d: real_date(d).isNotNull() & F.substring(d, 1, 4).between("2020", "2030")
     made = [F.concat(F.substring(c, 1, p), F.lit(d), F.substr(c, F.lit(p + 2))) for p in range(4) for d in "0123456789"]
+    # the candidates are made only for dates that need them
     found = F.try_element_at(F.filter(F.array(*made), fine), F.lit(1))
-    return F.when(~c.rlike(r"^\d{4}-\d{2}-\d{2}$") | fine(c), c).otherwise(F.coalesce(found, c))
+    return F.when(~c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c).when(fine(c), c).otherwise(F.coalesce(found, c))
 
 
 def snapped(c: Column, values: list[str], lower: bool = False) -> Column:
@@ -222,7 +223,8 @@ def ocr_grade(c: Column) -> Column:
         *((c.rlike(fuzzy_flag(f)), review, "ocr_review_flag", f) for f in T.REVIEW_ONLY),
         *((F.contains(up, F.lit(s)), review, "ocr_review_stem", s) for s in T.REVIEW_STEMS),
     ]
-    return F.coalesce(*[F.when(hit, verdict(adj, f"{key}:{what}" if what else key, key)) for hit, adj, key, what in rows])
+    # most cases have no such text, and then nothing is searched
+    return F.when(c != "", F.coalesce(*[F.when(hit, verdict(adj, f"{key}:{what}" if what else key, key)) for hit, adj, key, what in rows]))
 
 
 def registry_key(tag: Column) -> Column:

@@ -24,7 +24,7 @@ def rules() -> list[tuple[str, Column]]:
         ("R_FIND", F.when(c("finding").isin(*T.VERDICTS), found)),
         ("R0", F.when(c("home_world").isin(*T.HARD_EMBARGO), v(deny, tagged("R0_hard_embargo", c("home_world")), "R0_hard_embargo"))),
         ("R1", F.when(c("visa_class") == "TRANSIT-7", plain(deny, "R1_transit7"))),
-        ("R2", F.when(F.size(bad) > 0, v(deny, tagged("R2_disqualifier", F.array_join(bad, ",")), "R2_disqualifier"))),
+        ("R2", F.when(F.size(bad) > 0, v(deny, tagged("R2_disqualifier", F.array_join(bad, "|")), "R2_disqualifier"))),
         ("R4", F.when(c("sponsor_id").isin(*T.REVOKED) & not_dip, plain(deny, "R4_revoked_sponsor"))),
         ("R4b", F.when(c("home_world").isin(*T.SOFT_EMBARGO) & not_dip, plain(deny, "R4b_embargoed_home"))),
         ("R3", F.when(c("fee_status") == "unpaid", plain(deny, "R3_unpaid"))),
@@ -45,7 +45,7 @@ def adjudicate(cases: DataFrame) -> DataFrame:
 
 
 def guards(config: Config = CONFIG) -> list[tuple[str, Column]]:
-    """(name, verdict or null) of the guards of an approval, over fields, source_class, agreement, ocr_text and tag."""
+    """(name, verdict or null) of the guards of an approval, over fields, source_class, agreement, grade and tag."""
     c, review = F.col, "NEEDS_REVIEW"
     named = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
     by_ocr = named([F.when(F.try_element_at("source_class", F.lit(f)) == "ocr_only", f) for f in T.APPROVE_RELEVANT])
@@ -54,7 +54,7 @@ def guards(config: Config = CONFIG) -> list[tuple[str, Column]]:
     gone = lambda f: F.lower(X.strip(c(f))).isin("", "unknown")
     lacks = named([F.when(gone("home_world"), "home_world"), F.when((c("visa_class") != "DIP-1") & gone("sponsor_id"), "sponsor_id")])
     listed = lambda key, xs, sep: F.when(F.size(xs) > 0, X.verdict(review, F.concat(F.lit(key + ":"), F.array_join(xs, sep)), key))
-    out = [("ocr_risk", X.ocr_grade(c("ocr_text")))]
+    out = [("ocr_risk", c("grade"))]
     if config.ocr_only_guard:
         out.append(("ocr_only", listed("ocr_only_downgrade", by_ocr, ",")))
     out += [("conflict", listed("field_conflict", split, ";")), ("missing", listed("missing_required", lacks, ","))]
@@ -73,9 +73,9 @@ def clean_biometric() -> Column:
 
 
 def apply_policy(rows: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """rows (fields, verdict and bundle) with `final`: upgrades first, then guards of approvals."""
-    tag = F.col("verdict.tag")
-    grade = X.ocr_grade(F.col("ocr_text"))
+    """rows (fields, verdict and bundle) with `grade` and `final`: upgrades first, then guards of approvals."""
+    # several stages look at the grade: it is made once
+    rows, tag, grade = rows.withColumn("grade", X.ocr_grade(F.col("ocr_text"))), F.col("verdict.tag"), F.col("grade")
     up = []
     key = "R_A1_non_dip_waived_biometric_clean"
     if config.biometric_upgrade:

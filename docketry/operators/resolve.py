@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import re
+from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,99 +28,124 @@ def _seq(tier: int, ordinal: Column | int, step: int, key: Column | int) -> Colu
     return ((F.lit(tier).cast("long") * 100_000 + ordinal) * 10 + step) * 100 + key
 
 
-def _emit(rows: DataFrame, text: str, tier: int, source: Column, ordinal: Column | int, conf: Column, config: Config) -> DataFrame:
-    """One signal for each valid field of a text."""
-    keyed = F.array(*[F.struct(F.lit(k).alias("i"), F.lit(f).alias("key"), F.col(f"fields.{f}").alias("value")) for k, f in enumerate(T.FIELDS)])
-    e = X.with_fields(rows, text).withColumn("f", F.explode(keyed)).filter(X.valid(F.col("f.key"), F.col("f.value")))
-    value = X.normalized(F.col("f.key"), F.col("f.value")) if config.normalize_values else F.col("f.value")
-    return e.select(
-        "case_id", _seq(tier, ordinal, 0, F.col("f.i")).alias("seq"), F.lit("FIELD_VALUE").alias("type"), F.col("f.key").alias("key"),
-        value.alias("value"), source.alias("source_id"), conf.alias("confidence"), F.lit("").alias("tag"),
-    )
-
-
-def signals(filtered: DataFrame, bundle: DataFrame, config: Config = CONFIG, fuzzy: bool = False) -> DataFrame:
-    """All signals of all cases. `fuzzy` adds the label search, the only part that runs Python."""
+def signals(bundle: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """All signals of all cases, from the bundles: every text is searched once, and one array of candidates a text is exploded."""
     level = F.create_map(*[F.lit(x) for kv in T.LEVEL_CONFIDENCE.items() for x in kv])
-    one = F.col("source_id")
-    top = _emit(bundle, "combined_text", 0, F.lit("combined_text"), 0, F.lit(1.0), config)
-    unknown = (F.col("key") == "fee_status") & (F.col("value") == "unknown")
-    top = top.withColumn("confidence", F.when(unknown, T.UNKNOWN_FEE_CONFIDENCE).otherwise(1.0))
-    said = X.finding(F.col("combined_text"))
-    found = bundle.filter(said != "").select(
-        "case_id", _seq(1, 0, 0, 0).alias("seq"), F.lit("ADJUDICATOR_FINDING").alias("type"), F.lit("finding").alias("key"), said.alias("value"),
-        F.lit("combined_text").alias("source_id"), F.lit(T.FINDING_CONFIDENCE).alias("confidence"), F.lit("").alias("tag"),
-    )
-    live = filtered.filter(F.col("trusted") & (X.strip(F.col("content")) != ""))
-    each = _emit(live, "content", 2, one, F.when(F.col("kind") == "IMAGE", F.col("ordinal") + 1000).otherwise(F.col("ordinal")), level[F.col("level")], config)
-    out = top.unionByName(found).unionByName(each)
-    images = live.filter("kind = 'IMAGE'")
-    extra = lambda rows, step, key, value, tag: rows.select(
-        "case_id", _seq(2, F.col("ordinal") + 1000, step, 0).alias("seq"), F.lit("FIELD_VALUE").alias("type"), F.lit(key).alias("key"), value.alias("value"),
-        one.alias("source_id"), F.lit(T.FUZZY_CONFIDENCE).alias("confidence"), tag.alias("tag"),
-    )
-    content = F.col("content")
+    whole = F.struct(F.lit("COMBINED").alias("kind"), F.lit(0).alias("ordinal"), F.lit("combined_text").alias("source_id"), F.col("combined_text").alias("content"), F.lit(0).alias("level"), F.lit(True).alias("trusted"))
+    texts = bundle.select("case_id", F.explode(F.concat(F.array(whole), "sources")).alias("s")).select("case_id", "s.*")
+    rows = X.with_fields(texts, "content")
+    content, kind = F.col("content"), F.col("kind")
+    combined, image = kind == "COMBINED", kind == "IMAGE"
+    own = F.when(combined, 1.0).otherwise(level[F.col("level")])
+    at = lambda step, k: _seq(2, F.when(image, F.col("ordinal") + 1000).otherwise(F.col("ordinal")), step, k)
+
+    def signal(when: Column, seq: Column, key: str, value: Column, conf: Column, tag: Column | str = "", type_: str = "FIELD_VALUE") -> Column:
+        tag = F.lit(tag) if isinstance(tag, str) else tag
+        return F.when(when, F.struct(seq.alias("seq"), F.lit(type_).alias("type"), F.lit(key).alias("key"), value.alias("value"), conf.alias("confidence"), tag.alias("tag")))
+
+    out = []
+    for k, f in enumerate(T.FIELDS):
+        v = F.col(f"fields.{f}")
+        value = X.normalized(F.lit(f), v) if config.normalize_values else v
+        conf = F.when(combined & (value == "unknown"), T.UNKNOWN_FEE_CONFIDENCE).otherwise(own) if f == "fee_status" else own
+        out.append(signal(X.valid(F.lit(f), v), F.when(combined, _seq(0, 0, 0, k)).otherwise(at(0, k)), f, value, conf))
+    out.append(signal(combined & (F.col("fields.finding") != ""), _seq(1, 0, 0, 0), "finding", F.col("fields.finding"), F.lit(T.FINDING_CONFIDENCE), type_="ADJUDICATOR_FINDING"))
     if config.fuzzy_flags:
         v = X.fuzzy_flags(content)
-        out = out.unionByName(extra(images.filter((X.flags(content) == "none") & (v != "")), 1, "risk_flags", v, F.concat(F.lit("fuzzy_flags:"), v)))
+        out.append(signal(image & (F.col("fields.risk_flags") == "none") & (v != ""), at(1, 0), "risk_flags", v, F.lit(T.FUZZY_CONFIDENCE), F.concat(F.lit("fuzzy_flags:"), v)))
     if config.fuzzy_sponsor:
         v = X.lookalike_sponsor(content)
-        out = out.unionByName(extra(images.filter((F.regexp_extract(content, T.P["sponsor"], 0) == "") & (v != "")), 2, "sponsor_id", v, F.concat(F.lit("fuzzy_sponsor:"), v)))
-    if fuzzy and config.fuzzy_labels:
-        out = out.unionByName(fuzzy_label_signals(images, config))
+        out.append(signal(image & (F.regexp_extract(content, T.P["sponsor"], 0) == "") & (v != ""), at(2, 0), "sponsor_id", v, F.lit(T.FUZZY_CONFIDENCE), F.concat(F.lit("fuzzy_sponsor:"), v)))
+    found = F.array(*out)
+    if config.fuzzy_labels:
+        labels = fuzzy_labels(config)
+        missing = F.filter(F.array(*[F.when(F.lower(X.strip(F.col(f"fields.{k}"))).isin("", "unknown"), k) for k, _, _ in labels]), lambda x: x.isNotNull())
+        # the only Python here; texts that lack nothing, and those that are no images, don't travel
+        rows = rows.withColumn("missing", F.when(image, missing)).withColumn("sought", F.when(F.size("missing") > 0, content))
+        rows = rows.withColumn("late", _label_udf(config)("sought", "missing"))
+        late = lambda x: F.struct(
+            at(3, x["i"]).alias("seq"), F.lit("FIELD_VALUE").alias("type"), x["key"].alias("key"),
+            (X.normalized(x["key"], x["value"]) if config.normalize_values else x["value"]).alias("value"), own.alias("confidence"),
+            F.concat(F.lit("image_ocr_fuzzy_"), x["key"], F.lit(":"), F.substring(x["value"], 1, 20)).alias("tag"),
+        )
+        fine = F.filter(F.coalesce("late", F.array().cast("array<struct<i:int,key:string,value:string>>")), lambda x: X.valid(x["key"], x["value"]))
+        found = F.concat(found, F.transform(fine, late))
+    one = rows.select("case_id", "source_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x"))
+    return one.select("case_id", "x.seq", "x.type", "x.key", "x.value", "source_id", "x.confidence", "x.tag")
+
+
+def fuzzy_labels(config: Config = CONFIG) -> list[tuple[str, str, list[str] | None]]:
+    return FUZZY_LABELS + ([("fee_status", "Fee Status", T.FEES[:3])] if config.fee_fuzzy_recovery else [])
+
+
+def _windows(texts: list[str], label: str, least: float) -> dict[int, list[tuple[int, int, float]]]:
+    """For each text, the windows (size, start, bound) that may be as like the label as `least`, by the letters they have in common.
+
+    Windows are as long as the label, two shorter to two longer. All texts are gone through at once.
+    """
+    codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
+    ends = np.cumsum([len(c) for c in codes])
+    all_, owner = np.concatenate(codes), np.repeat(np.arange(len(codes)), np.diff(ends, prepend=0))
+    start = ends - [len(c) for c in codes]
+    upto = {c: np.concatenate([[0], np.cumsum(all_ == ord(c))]) for c in set(label)}
+    out: dict[int, list[tuple[int, int, float]]] = defaultdict(list)
+    for size in range(max(3, len(label) - 2), len(label) + 3):
+        if size > len(all_):
+            break
+        common = sum(np.minimum(n[size:] - n[:-size], label.count(c)) for c, n in upto.items())
+        bound = 2.0 * common / (size + len(label))
+        for k in np.flatnonzero((bound >= least) & (owner[: len(common)] == owner[size - 1 :])).tolist():
+            out[int(owner[k])].append((size, k - int(start[owner[k]]), float(bound[k])))
     return out
 
 
-def label_search(text: str, label: str, values: list[str] | None = None, least: float = 0.72) -> str:
-    """The value after the window of the text most like the label, if it is like it enough.
+def label_search_all(texts: list[str], label: str, values: list[str] | None = None, least: float = 0.72) -> list[str]:
+    """For each text the value after the window that is most like the label, if it is like it enough; the first of the best wins."""
+    low, want, out = [t.lower() for t in texts], label.lower(), [""] * len(texts)
+    match = difflib.SequenceMatcher(None, "", want)
+    for k, windows in _windows(low, want, least).items() if any(low) else ():
+        best, at = 0.0, -1
+        for size, begin, bound in windows:
+            # the bound is never below the likeness
+            if bound > best:
+                match.set_seq1(low[k][begin : begin + size])
+                if (ratio := match.ratio()) > best:
+                    best, at = ratio, begin + size
+        value = re.match(T.P["after_label"], texts[k][at : at + 80]) if best >= least else None
+        out[k] = _snapped(value[1].strip(), values, least) if value else ""
+    return out
 
-    Windows are as long as the label, two shorter to two longer; the first of the best wins. The
-    count of common letters bounds the likeness, so most windows need no comparison.
-    """
-    low, want, best, at = text.lower(), label.lower(), 0.0, -1
-    match, have = difflib.SequenceMatcher(autojunk=False), {c: want.count(c) for c in set(want)}
-    match.set_seq2(want)
-    for size in range(max(3, len(want) - 2), len(want) + 3):
-        for k in range(len(low) - size + 1):
-            window = low[k : k + size]
-            common = sum(min(window.count(c), n) for c, n in have.items())
-            if 2 * common / (size + len(want)) <= max(best, least - 1e-12):
-                continue
-            match.set_seq1(window)
-            if (ratio := match.ratio()) > best and ratio >= least:
-                best, at = ratio, k + size
-    if at < 0:
-        return ""
-    value = text[at:].split("\n", 1)[0].lstrip(" :=.-—\t")[:60].strip()
+
+def _snapped(value: str, values: list[str] | None, least: float) -> str:
+    """value as it is, or the listed value that it contains or, by likeness, comes nearest to."""
     if values is None or not value:
         return value
     hit = next((v for v in values if v.lower() in value.lower()), None)
     if hit is None:
-        score = [(difflib.SequenceMatcher(None, v.lower(), value.lower(), autojunk=False).ratio(), -k) for k, v in enumerate(values)]
+        score = [(difflib.SequenceMatcher(None, value.lower(), v.lower()).ratio(), -k) for k, v in enumerate(values)]
         top = max(score)
         hit = values[-top[1]] if top[0] >= least else ""
     return hit
 
 
-def fuzzy_label_signals(images: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """Signals of misread labels. Rows whose strict value is there never reach Python."""
-    level = F.create_map(*[F.lit(x) for kv in T.LEVEL_CONFIDENCE.items() for x in kv])
-    labels = FUZZY_LABELS + ([("fee_status", "Fee Status", T.FEES[:3])] if config.fee_fuzzy_recovery else [])
+def label_search(text: str, label: str, values: list[str] | None = None, least: float = 0.72) -> str:
+    return label_search_all([text], label, values, least)[0]
+
+
+def _label_udf(config: Config):
+    labels = fuzzy_labels(config)
 
     @F.pandas_udf("array<struct<i:int,key:string,value:string>>")
     def search(content: pd.Series, missing: pd.Series) -> pd.Series:
-        return pd.Series([[(i, k, v) for i, (k, label, values) in enumerate(labels) if k in set(m) and (v := label_search(t, label, values))] for t, m in zip(content, missing, strict=True)])
-
-    images = X.with_fields(images, "content")
-    missing = F.filter(F.array(*[F.when(F.lower(F.col(f"fields.{k}")).isin("", "unknown"), k) for k, _, _ in labels]), lambda x: x.isNotNull())
-    need = images.withColumn("missing", missing).filter(F.size("missing") > 0)
-    hit = need.withColumn("f", F.explode(search.asNondeterministic()("content", "missing")))
-    hit = hit.filter(X.valid(F.col("f.key"), F.col("f.value")))
-    value = X.normalized(F.col("f.key"), F.col("f.value")) if config.normalize_values else F.col("f.value")
-    return hit.select(
-        "case_id", _seq(2, F.col("ordinal") + 1000, 3, F.col("f.i")).alias("seq"), F.lit("FIELD_VALUE").alias("type"), F.col("f.key").alias("key"), value.alias("value"),
-        "source_id", level[F.col("level")].alias("confidence"), F.concat(F.lit("image_ocr_fuzzy_"), F.col("f.key"), F.lit(":"), F.substring("f.value", 1, 20)).alias("tag"),
-    )
+        out: list[list[tuple]] = [[] for _ in range(len(content))]
+        for i, (key, label, values) in enumerate(labels):
+            rows = [k for k, (t, m) in enumerate(zip(content, missing, strict=True)) if t and key in m]
+            for k, v in zip(rows, label_search_all([content.iloc[r] for r in rows], label, values) if rows else [], strict=True):
+                if v:
+                    out[k].append((i, key, v))
+        return pd.Series(out)
+
+    return search.asNondeterministic()
 
 
 def winners(sig: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ def without_injections(c: Column, markers: list[str] = T.MARKERS) -> tuple[Colum
     hits = F.filter(F.transform(lines, lambda x: marker_of(x, markers)), lambda m: m.isNotNull())
     kept = F.array_join(F.filter(lines, lambda x: marker_of(x, markers).isNull()), "\n")
     audit = F.concat(F.lit("sanitized_lines:"), F.size(hits).cast("string"), F.lit(":"), F.array_join(F.array_sort(F.array_distinct(hits)), ","))
-    return F.when(F.size(hits) > 0, kept).otherwise(c), F.when(F.size(hits) > 0, audit).otherwise("")
+    # few texts hold a marker at all: one search of the whole text decides whether its lines are looked at
+    some = c.rlike("(?iu)" + "|".join(map(re.escape, markers)))
+    return F.when(some, kept).otherwise(c), F.when(some & (F.size(hits) > 0), audit).otherwise("")
 
 
 def without_redactions(c: Column) -> tuple[Column, Column]:
@@ -30,25 +34,17 @@ def without_redactions(c: Column) -> tuple[Column, Column]:
 
 
 def domain_words() -> list[str]:
-    """Words that make a text legible: those of labels, titles, vocabularies, verdicts and plain prose."""
-    import re
-
-    labels = (
-        "applicant name species code home world visa class sponsor id arrival date declared purpose risk flags fee status amount waiver code registry "
-        "biometric scan slip form extraterrestrial work authorization intake attestation letter planetary extract manual adjudicator note finding "
-        "correction observed receipt attests expected earth approved denied needs review unknown none paid waived unpaid the of and is that for on to a in"
-    )
-    listed = T.SPECIES + T.HOMES + T.VISAS + T.FEES + T.FLAGS + T.VERDICTS
-    words = {w.lower() for v in listed for w in [v, *re.split(r"[\s\-_]", v)] if w}
-    return sorted(words | set(labels.split()))
+    """Words that make a text legible: the listed ones and those of the vocabularies, all in lower case."""
+    words = {x.lower() for x in T.SPECIES + T.VISAS + T.FEES + T.FLAGS} | set(T.LEGIBLE.split())
+    words |= {w for h in T.HOMES for w in h.lower().replace("-", " ").split()} | {w for f in T.FLAGS for w in f.split("_")}
+    return sorted(words)
 
 
 def legibility(c: Column, words: list[str]) -> tuple[Column, Column]:
     """(recognized, total) of tokens, dates and ids; an id counts as a token too."""
     tokens = F.regexp_extract_all(c, F.lit(T.P["token"]), F.lit(0))
     other = F.regexp_count(c, F.lit(T.P["any_date"])) + F.regexp_count(c, F.lit(T.P["any_id"]))
-    known = F.array(*map(F.lit, words))
-    return F.size(F.filter(tokens, lambda t: F.array_contains(known, F.lower(t)))) + other, F.size(tokens) + other
+    return F.size(F.filter(tokens, lambda t: F.lower(t).isin(*words))) + other, F.size(tokens) + other
 
 
 def authority(c: Column) -> Column:
@@ -78,13 +74,13 @@ def apply_filters(sources: DataFrame) -> DataFrame:
 
 
 def bundles(filtered: DataFrame) -> DataFrame:
-    """One row for each case: combined_text, ocr_text, image_ocr and any_illegible. One shuffle by case."""
-    texts = lambda kind: F.transform(
-        F.array_sort(F.filter(F.collect_list(F.struct("kind", "ordinal", "source_id", "content", "trusted")), lambda x: x["trusted"] & (x["kind"] == kind))),
-        lambda x: F.struct(x["source_id"].alias("source_id"), x["content"].alias("text")),
-    )
+    """One row for each case: combined_text, ocr_text, image_ocr, any_illegible, and its live sources (trusted, not blank). One shuffle by case."""
+    rows = F.array_sort(F.collect_list(F.struct("kind", "ordinal", "source_id", "content", "level", "trusted")))
     out = filtered.groupBy("case_id").agg(
-        texts("TEXT_STREAM").alias("streams"), texts("IMAGE").alias("image_ocr"),
+        F.filter(rows, lambda x: x["trusted"]).alias("rows"),
         F.coalesce(F.bool_or(~F.col("trusted") & F.contains("exclusion_reason", F.lit("Illegibility"))), F.lit(False)).alias("any_illegible"),
-    )
-    return out.select("case_id", F.array_join("streams.text", "\n").alias("combined_text"), F.array_join("image_ocr.text", "\n").alias("ocr_text"), "image_ocr", "any_illegible")
+    )
+    of = lambda kind: F.filter("rows", lambda x: x["kind"] == kind)
+    image_ocr = F.transform(of("IMAGE"), lambda x: F.struct(x["source_id"].alias("source_id"), x["content"].alias("text")))
+    out = out.select("case_id", "any_illegible", of("TEXT_STREAM").alias("streams"), image_ocr.alias("image_ocr"), F.filter("rows", lambda x: X.strip(x["content"]) != "").alias("sources"))
+    return out.select("case_id", F.array_join("streams.content", "\n").alias("combined_text"), F.array_join("image_ocr.text", "\n").alias("ocr_text"), "image_ocr", "any_illegible", "sources")

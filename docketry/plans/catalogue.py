@@ -41,8 +41,7 @@ def _filtered(s: SparkSession, d: str) -> DataFrame:
 
 
 def _signals(s: SparkSession, d: str) -> DataFrame:
-    f = _filtered(s, d)
-    return resolve.signals(f, trust.bundles(f))
+    return resolve.signals(trust.bundles(_filtered(s, d)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,25 +83,26 @@ def extract_fields(s, d):
     return X.with_fields(synth.sources(s, d), "content").select("case_id", "source_id", "fields.*")
 
 
-@query("WITH " + O.SRC + f" SELECT case_id, {O.fee('content')} AS fee_status FROM src WHERE source_id = 'text_stream_1'")
+@query("WITH " + O.SRC + f" SELECT case_id, source_id, {O.fee('content')} AS fee_status FROM src")
 def fee_triangulation(s, d):
-    return synth.sources(s, d).filter("source_id = 'text_stream_1'").select("case_id", X.fee(F.col("content")).alias("fee_status"))
+    return synth.sources(s, d).select("case_id", "source_id", X.fee(F.col("content")).alias("fee_status"))
 
 
-@query("WITH " + O.SRC + f" SELECT case_id, {O.corrected('content', 'sponsor', 'regexp_full_match(v, ' + O.q(T.P['sponsor']) + ')')} AS sponsor_id FROM src WHERE source_id = 'text_stream_3'")
+@query("WITH " + O.SRC + f" SELECT case_id, source_id, {O.corrected('content', 'sponsor', 'regexp_full_match(v, ' + O.q(O.P['sponsor']) + ')')} AS sponsor_id FROM src")
 def manual_corrections(s, d):
-    src = synth.sources(s, d).filter("source_id = 'text_stream_3'")
-    return src.select("case_id", F.try_element_at(X.corrections(F.col("content")), F.lit("sponsor_id")).alias("sponsor_id"))
+    return synth.sources(s, d).select("case_id", "source_id", F.try_element_at(X.corrections(F.col("content")), F.lit("sponsor_id")).alias("sponsor_id"))
 
 
-@query("WITH " + O.SRC + f" SELECT case_id, {O.flag_list('content', O.loose)} AS flags FROM src WHERE source_id = 'image_1'")
+@query("WITH " + O.SRC + f" SELECT case_id, source_id, {O.flag_list('content', O.loose)} AS flags FROM src WHERE kind = 'IMAGE'")
 def fuzzy_flags(s, d):
-    return synth.sources(s, d).filter("source_id = 'image_1'").select("case_id", X.fuzzy_flags(F.col("content")).alias("flags"))
+    """Flags of every image; the operator is for images."""
+    return synth.sources(s, d).filter("kind = 'IMAGE'").select("case_id", "source_id", X.fuzzy_flags(F.col("content")).alias("flags"))
 
 
-@query("WITH " + O.SRC + f" SELECT case_id, CASE WHEN regexp_extract(content, {O.q(O._LOOK)}, 1) = '' OR regexp_full_match(regexp_extract(content, {O.q(O._LOOK)}, 1), '[0-9]+') OR NOT regexp_full_match({O._DIGITS}, '[0-9]+') THEN '' ELSE 'SPN-' || {O._DIGITS} END AS sponsor_id FROM src WHERE source_id = 'image_1'")
+@query("WITH " + O.SRC + f" SELECT case_id, source_id, CASE WHEN regexp_extract(content, {O.q(O._LOOK)}, 1) = '' OR regexp_full_match(regexp_extract(content, {O.q(O._LOOK)}, 1), '[0-9]+') OR NOT regexp_full_match({O._DIGITS}, '[0-9]+') THEN '' ELSE 'SPN-' || {O._DIGITS} END AS sponsor_id FROM src WHERE kind = 'IMAGE'")
 def sponsor_lookalike_repair(s, d):
-    return synth.sources(s, d).filter("source_id = 'image_1'").select("case_id", X.lookalike_sponsor(F.col("content")).alias("sponsor_id"))
+    """Sponsors of every image; the operator is for images."""
+    return synth.sources(s, d).filter("kind = 'IMAGE'").select("case_id", "source_id", X.lookalike_sponsor(F.col("content")).alias("sponsor_id"))
 
 
 @query("""WITH y AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS raw FROM orders),
@@ -134,6 +134,13 @@ def consolidate_winner(s, d):
     return w.select("case_id", "key", "value", "confidence", "n_sources", "n_agreeing", "unique_values", "has_conflict", "source_class")
 
 
+@query(f"{O.TO_SIGNALS}, late(case_id, seq, key, value, source_id, confidence) AS ({O._LATE}) SELECT case_id, source_id, key, value, confidence FROM late")
+def fuzzy_label_search(s, d):
+    """Signals of misread labels; the expected rows are known from what the packets were made of."""
+    sig = resolve.signals(trust.bundles(_filtered(s, d)), Config(fee_fuzzy_recovery=True))
+    return sig.filter(F.col("tag").startswith("image_ocr_fuzzy_")).select("case_id", "source_id", "key", "value", "confidence")
+
+
 @query(f"{O.TO_SIGNALS}, p AS (SELECT case_id, bool_or(has_conflict) AS a, bool_or(has_conflict AND list_contains({O.lst(T.APPROVE_RELEVANT)}, key)) AS r FROM agree GROUP BY 1) SELECT count(*)::BIGINT AS cases, (count(*) FILTER (WHERE a))::BIGINT AS any_conflict, (count(*) FILTER (WHERE r))::BIGINT AS relevant FROM p")
 def conflict_census(s, d):
     p = resolve.winners(_signals(s, d)).groupBy("case_id").agg(F.bool_or("has_conflict").alias("a"), F.bool_or(F.col("has_conflict") & F.col("key").isin(*T.APPROVE_RELEVANT)).alias("r"))
@@ -368,11 +375,10 @@ _OLD_NEW = f"{O.TO_SIGNALS}, {O.TRUE}, o AS (SELECT case_id, key, {_ARG} AS v FR
 
 @query(f"{_OLD_NEW} SELECT field, CASE WHEN b = t THEN 'right' WHEN a = t THEN 'was_right_now_wrong' ELSE 'wrong_to_wrong' END AS outcome, count(*)::BIGINT AS n FROM x WHERE a <> b GROUP BY 1, 2")
 def field_changes(s, d):
-    """What reading misread flags and sponsors changes."""
-    f = _filtered(s, d).persist()
-    bundle = trust.bundles(f).persist()
-    run = lambda config: resolve.consolidate(resolve.signals(f, bundle, config), bundle)
-    return evaluate.field_changes(run(Config(fuzzy_flags=False, fuzzy_sponsor=False)), run(Config()), synth.truth(s, d))
+    """What reading misread flags, sponsors and labels changes."""
+    bundle = trust.bundles(_filtered(s, d))
+    run = lambda config: resolve.consolidate(resolve.signals(bundle, config), bundle)
+    return evaluate.field_changes(run(Config(fuzzy_flags=False, fuzzy_sponsor=False, fuzzy_labels=False)), run(Config()), synth.truth(s, d))
 
 
 _NUMBERED = "SELECT case_id, 'text_stream_' || (row_number() OVER (PARTITION BY case_id ORDER BY ordinal) - 1) AS source_id, content FROM src WHERE kind = 'TEXT_STREAM'"
@@ -538,12 +544,6 @@ def correctness_cube(s, d):
 # ---- what SQL can't say ----
 
 
-@query()
-def fuzzy_label_search(s, d):
-    images = _filtered(s, d).filter("kind = 'IMAGE' and trusted")
-    return resolve.fuzzy_label_signals(images, Config(fee_fuzzy_recovery=True)).select("case_id", "source_id", "key", "value", "confidence")
-
-
 @query()
 def event_windows_stream(s, d):
     """The windowed count as a file stream run to its end."""

@@ -11,12 +11,14 @@ from docketry.operators import decide, resolve, trust
 from . import synth
 
 
-def decided(sources: DataFrame, config: Config = CONFIG, fuzzy: bool = False) -> DataFrame:
-    """One row for each case: fields, provenance, agreement, bundle, verdict and final."""
-    # both are read several times; what doesn't fit in memory goes to disk
-    filtered = trust.apply_filters(sources).persist()
-    bundle = trust.bundles(filtered).persist()
-    cases = resolve.consolidate(resolve.signals(filtered, bundle, config, fuzzy), bundle)
+def decided(sources: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """One row for each case: fields, provenance, agreement, bundle, verdict and final.
+
+    The sources are shuffled once, by case; all that follows stays where a case's rows are, and the
+    plan reads that exchange again instead of filtering the sources again.
+    """
+    bundle = trust.bundles(trust.apply_filters(sources))
+    cases = resolve.consolidate(resolve.signals(bundle, config), bundle)
     return decide.apply_policy(decide.adjudicate(cases.join(bundle, "case_id")), config)
 
 
