@@ -6,7 +6,9 @@ and the driver share, so a lost executor never takes intermediate rows with it.
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -21,7 +23,14 @@ HOT_SHARE, HOT_ROWS = 1e-3, 1000
 #: Bytes of a batch that goes to Python, about; rows alone would let long texts make batches of any size.
 BATCH_BYTES = 4 << 20
 
-_live: list[tuple[SparkSession, str]] = []
+_state = threading.local()
+
+
+def _tables() -> list[tuple[SparkSession, str]]:
+    """The scratch tables that this thread has made and not deleted."""
+    if not hasattr(_state, "tables"):
+        _state.tables = []
+    return _state.tables
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,7 +53,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/docketry-{name}-{uuid.uuid4().hex}"
-    _live.append((spark, path))
+    _tables().append((spark, path))
     return path
 
 
@@ -57,11 +66,39 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def release() -> None:
-    """Delete all scratch tables. Call it only when every frame built on them has been written."""
-    while _live:
-        spark, path = _live.pop()
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    """Delete this thread's scratch tables. Call it only when every frame built on them has been written."""
+    while _tables():
+        delete(*_tables().pop())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator with its result written to one scratch table and all its other ones deleted.
+
+    What a run leaves behind is then as large as its result, and other frames' tables stay.
+    """
+
+    @functools.wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        begin = len(_tables())
+        out = operator(*args, **options)
+        out = store(out, operator.__name__)
+        for k in range(len(_tables()) - 2, begin - 1, -1):
+            delete(*_tables().pop(k))
+        return out
+
+    return run
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def with_ids(docs: DataFrame, id_col: str = "doc_id", last: bool = True) -> tuple[DataFrame, Callable[[Column], Column]]:
