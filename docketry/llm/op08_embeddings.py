@@ -1,11 +1,17 @@
 """Embedding near-dedup by a subspace pigeonhole join.
 
-Unit vectors are rotated and cut into BLOCKS blocks. If two vectors lie within squared distance
-D, then in at least one block they lie within D / BLOCKS. So each block is range-joined alone
-under its share of the budget, on a grid over its first coordinates; a pair counts in the first
-block that admits it and is verified there by its cosine in double precision. Pairs are counted
-and joined where they meet and never leave the task. Cells with many vectors are cut into tiles
-and pages, so no task holds an unbounded cell.
+Unit vectors are rotated and cut into BLOCKS blocks. If two vectors lie within squared distance D,
+then in at least one block they lie within their share of D. So each block is range-joined under
+its share of the budget, the union of what the blocks admit are the candidates, and each candidate
+is verified by its cosine in double precision. The blocks of a pair are looked at one after the
+other: a pair whose blocks so far exceed the whole budget is out, so nearly all pairs are out after
+the first block, and only it is computed for whole tiles at once.
+
+The vectors of a label are dealt into tiles, and every two tiles meet once, in one task; pairs are
+counted and joined there and never leave it. A vector goes to as many tasks as its label has tiles.
+Nothing cheaper is exact for vectors that fill all directions: at a cosine of 0.93 the share of a
+block is about as wide as the block's coordinates spread, so a grid or pivots would leave most
+cells side by side, once for each block (see the README).
 """
 
 from __future__ import annotations
@@ -20,9 +26,9 @@ from pyspark.sql import functions as F
 from . import common
 from .op06_minhash import _groups, _roots
 
-BLOCKS, GRID = 4, 2
-#: Targets, and sources, of one tile.
-TILE, PAGE = 1024, 4096
+BLOCKS = 4
+#: Vectors of a tile, and of one side that is compared at a time.
+TILE, STRIP = 2048, 512
 
 
 def rotation(dims: int, seed: int = 8) -> np.ndarray:
@@ -36,41 +42,28 @@ def _cut(dims: int, blocks: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True) if b > a]
 
 
-def _budgets(dims: int, blocks: int, cosine: float) -> list[float]:
-    """Squared distance of each block, in proportion to its dimensions, and a little for rounding."""
-    return [(2 - 2 * cosine) * (b - a) / dims + 1e-9 for a, b in _cut(dims, blocks)]
-
-
-def _usable(vectors: list) -> np.ndarray:
-    fine = np.zeros(len(vectors), bool)
-    for k, v in enumerate(vectors):
-        if v is not None and len(v) and not any(x is None for x in v):
-            x = np.array(v, np.float64)
-            fine[k] = np.isfinite(x).all() and 0 < np.linalg.norm(x) < np.inf
-    return fine
-
-
-def _cells(cosine: float, blocks: int):
-    """rep, dims, block, cell coordinates and the vector's bytes, a row for each block; dims 0 marks a vector that can't be used."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            reps, labels, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            fine, rows = _usable(vectors), []
-            for rep, label, v, ok in zip(reps, labels, vectors, fine, strict=True):
-                if not ok:
-                    rows.append((rep, label, 0, 0, 0, 0, b""))
-                    continue
-                x = np.array(v, np.float64)
-                turned = x / np.linalg.norm(x) @ _rotations(len(x))
-                for b, ((lo, hi), most) in enumerate(zip(_cut(len(x), blocks), _budgets(len(x), blocks, cosine), strict=True)):
-                    g = np.floor(turned[lo : min(hi, lo + GRID)] / np.sqrt(most)).astype(int).tolist()
-                    rows.append((rep, label, len(x), b, g[0], g[1] if len(g) > 1 else 0, x.astype(np.float32).tobytes() if (x.astype(np.float32) == x).all() else x.tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays(cols, ["rep", "label", "dims", "block", "g1", "g2", "vec"])
+def _budgets(dims: int, blocks: int, cosine: float) -> np.ndarray:
+    """Squared distance of each block, in proportion to its dimensions, and a little for single precision."""
+    return np.array([(2 - 2 * cosine) * (b - a) / dims + 1e-5 for a, b in _cut(dims, blocks)])
 
-    return run
+
+def _unit(vectors: list) -> list[np.ndarray | None]:
+    """The vectors in double precision, scaled by their largest component; None for what can't be compared."""
+    out: list[np.ndarray | None] = []
+    for v in vectors:
+        x = None if v is None or not len(v) or any(c is None for c in v) else np.array(v, np.float64)
+        top = 0.0 if x is None or not np.isfinite(x).all() else float(np.abs(x).max())
+        out.append(None if top == 0.0 else x / top)
+    return out
+
+
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep, dims and bytes of each vector; dims 0 marks one that can't be compared."""
+    for batch in batches:
+        scaled = _unit(batch.column(1).to_pylist())
+        dims = [0 if x is None else len(x) for x in scaled]
+        vec = [b"" if x is None else x.tobytes() for x in scaled]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(vec, pa.binary())], ["rep", "dims", "vec"])
 
 
 _known: dict[int, np.ndarray] = {}
@@ -82,41 +75,48 @@ def _rotations(dims: int) -> np.ndarray:
     return _known[dims]
 
 
+def candidates(turned: np.ndarray, x: np.ndarray, y: np.ndarray, cosine: float, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of x and y (numbers of rows of turned) that some block admits and whose blocks together may fit the budget."""
+    cut, most = _cut(turned.shape[1], blocks), _budgets(turned.shape[1], blocks, cosine)
+    all_ = most.sum()
+    a, b = (turned[k, slice(*cut[0])].astype(np.float32) for k in (x, y))
+    far = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+    i, j = np.nonzero(far <= all_)
+    sums = far[i, j].astype(np.float64)
+    i, j, admitted = x[i], y[j], sums <= most[0]
+    for (lo, hi), share in zip(cut[1:], most[1:], strict=True):
+        d = turned[i, lo:hi] - turned[j, lo:hi]
+        own = np.einsum("ij,ij->i", d, d)
+        sums, admitted = sums + own, admitted | (own <= share)
+        on = sums <= all_
+        i, j, sums, admitted = i[on], j[on], sums[on], admitted[on]
+    return i[admitted], j[admitted]
+
+
 def _join(cosine: float, blocks: int):
-    """Links of one bucket of tiles: (rep, links, root), links weighted by copies."""
+    """Links of one bucket of tile pairs: (rep, links, root), links weighted by copies."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-        target, source = table.column("is_target").to_numpy(), table.column("is_source").to_numpy()
-        home, block, dims = (table.column(c).to_numpy() for c in ("home", "block", "dims"))
-        vec = table.column("vec").to_pylist()
+        rep, copies, own = (table.column(c).to_numpy() for c in ("rep", "copies", "own"))
+        dims, vec = table.column("dims").to_numpy(), table.column("vec").to_pylist()
         out: list[tuple[np.ndarray, ...]] = []
         for g in _groups(table, "key"):
-            d = int(dims[g[0]])
-            raw = np.stack([np.frombuffer(vec[k], np.float32 if len(vec[k]) == 4 * d else np.float64).astype(np.float64) for k in g])
-            norm = np.linalg.norm(raw, axis=1)
-            turned = raw / norm[:, None] @ _rotations(d)
-            cut, most = _cut(d, blocks), _budgets(d, blocks, cosine)
-            b = int(block[g[0]])
-            t, s = np.flatnonzero(target[g]), np.flatnonzero(source[g])
-            links, pairs = np.zeros(len(g), np.int64), []
-            for lo in range(0, len(t), 256):
-                x = t[lo : lo + 256]
-                # in the cell itself a pair counts once, from the larger id; from other cells always
-                may = (rep[g[s]][None, :] < rep[g[x]][:, None]) | (home[g[s]][None, :] == 0)
-                for k in range(b + 1):
-                    a, e = turned[x, slice(*cut[k])], turned[s, slice(*cut[k])]
-                    far = (a * a).sum(1)[:, None] + (e * e).sum(1)[None, :] - 2 * a @ e.T
-                    # the first block that admits a pair has it; a hair of rounding is left to the exact check
-                    may &= (far <= most[k]) if k == b else (far > most[k])
-                i, j = np.nonzero(may)
-                i, j = x[i], s[j]
-                cos = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j])
-                i, j = i[cos >= cosine], j[cos >= cosine]
+            raw = np.frombuffer(b"".join(vec[k] for k in g), np.float64).reshape(len(g), int(dims[g[0]]))
+            raw = raw / np.linalg.norm(raw, axis=1)[:, None]
+            turned = raw @ _rotations(raw.shape[1])
+            tile = own[g]
+            first, second = np.flatnonzero(tile == tile.min()), np.flatnonzero(tile == tile.max())
+            links, pairs = np.zeros(len(g), np.int64), [np.zeros((0, 2), np.int64)]
+            for lo in range(0, len(first), STRIP):
+                i, j = candidates(turned, first[lo : lo + STRIP], second, cosine, blocks)
+                if tile.min() == tile.max():
+                    i, j = i[i < j], j[i < j]
+                fine = np.einsum("ij,ij->i", raw[i], raw[j]) >= cosine
+                i, j = i[fine], j[fine]
                 np.add.at(links, i, copies[g[j]])
                 np.add.at(links, j, copies[g[i]])
                 pairs.append(np.stack([i, j], 1))
-            found = np.concatenate(pairs) if pairs else np.zeros((0, 2), int)
+            found = np.concatenate(pairs)
             if len(found):
                 root = _roots(len(g), found)
                 least = np.full(len(g), np.iinfo(np.int64).max)
@@ -129,13 +129,16 @@ def _join(cosine: float, blocks: int):
     return run
 
 
+@common.settled
 def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", blocks: int = BLOCKS) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links, component_id, kept.
 
     Rows are linked if their labels are equal and not null, their vectors have as many components
     and their cosine is `cosine` or more. Vectors that are null, empty or zero or hold null or
     non-finite components, and rows without a label, link with nothing. n_links counts the other
-    rows linked with a row directly, rows that repeat it too. An empty table gives an empty result.
+    rows linked with a row directly, rows that repeat it too. Vectors are scaled by their largest
+    component first, so finite ones of any size take part. Rows with a null id take part like any
+    others. An empty table gives an empty result; other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("v"))
     rows = common.store(rows, "vectors")
@@ -144,45 +147,28 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     reps = able.groupBy("label", "v").agg(F.min("vec_id").alias("rep0"), F.count("*").alias("copies"))
     # an id that repeats with different vectors stands for several classes, so classes have numbers of their own
     reps = common.store(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
-    cells = common.store(reps.select("rep", "label", "v").mapInArrow(_cells(cosine, blocks), "rep long, label long, dims int, block int, g1 int, g2 int, vec binary"), "cells")
-    fit = cells.filter("dims > 0")
-    place = ["label", "dims", "block", "g1", "g2"]
-    count = common.store(fit.groupBy(*place).agg(F.count("*").alias("c")), "counts")
-    # half of the neighbours: each pair of cells meets once. A cell's sources are its own and those behind it.
-    ahead = F.array(*[F.struct(F.lit(x).alias("d1"), F.lit(y).alias("d2")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    to = count.withColumn("d", F.explode(ahead)).select("label", "dims", "block", (F.col("g1") + F.col("d.d1")).alias("g1"), (F.col("g2") + F.col("d.d2")).alias("g2"), "d", "c")
-    near = to.join(count.withColumnRenamed("c", "n"), place)
-    whole = near.groupBy(*place).agg(F.sum("c").alias("sources"))
-    near = near.join(whole, place).select(
-        "label", "dims", "block", (F.col("g1") - F.col("d.d1")).alias("g1"), (F.col("g2") - F.col("d.d2")).alias("g2"),
-        F.struct("d", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"), F.ceil(F.col("sources") / PAGE).cast("int").alias("pages")).alias("to"),
-    )
-    near = near.groupBy(*place).agg(F.collect_list("to").alias("to"))
+    common.bounded_batches(vectors.sparkSession)
+    able_ = reps.select("rep", "v").mapInArrow(_bytes, "rep long, dims int, vec binary")
+    unit = common.store(able_.join(reps.select("rep", "label", "copies"), "rep"), "unit")
+    fit = unit.filter("dims > 0")
+    size = fit.groupBy("label", "dims").agg(F.count("*").alias("c"))
+    size = common.store(size.withColumn("tiles", F.ceil(F.col("c") / TILE).cast("int")), "sizes")
     total = fit.count()
-    near = common.store(near.join(count, place), "near")
-    placed = common.skew_join(fit, near, place, "c", total)
-    # as a source, a row goes to one page of every tile of each target cell; as a target, to every page of its tile
-    h = F.pmod(F.xxhash64(F.lit(8), "rep"), F.lit(1 << 30)).cast("int")
-    e = placed.select("*", F.explode("to").alias("t")).withColumn("own", (F.col("t.d.d1") == 0) & (F.col("t.d.d2") == 0))
-    simple = F.col("own") & (F.col("t.tiles") == 1) & (F.col("t.pages") == 1)
-    pair = lambda tile, page, tg, sr: F.struct(tile.alias("tile"), page.alias("page"), F.lit(tg).alias("tg"), F.lit(sr).alias("sr"))
-    zero = F.lit(0)
-    as_source = F.transform(F.sequence(zero, F.col("t.tiles") - 1), lambda k: pair(k, h % F.col("t.pages"), False, True))
-    as_target = F.transform(F.sequence(zero, F.col("t.pages") - 1), lambda k: pair(h % F.col("t.tiles"), k, True, False))
-    spots = F.when(simple, F.array(pair(zero, zero, True, True))).when(F.col("own"), F.concat(as_source, as_target)).otherwise(as_source)
-    e = e.select("rep", "label", "dims", "block", "vec", "own", (F.col("g1") + F.col("t.d.d1")).alias("g1"), (F.col("g2") + F.col("t.d.d2")).alias("g2"), F.explode(spots).alias("s"))
-    e = e.join(reps.select("rep", "copies"), "rep").select(
-        F.xxhash64(*place, "s.tile", "s.page").alias("key"), "rep", "copies", F.col("s.tg").alias("is_target"), F.col("s.sr").alias("is_source"), F.col("own").cast("int").alias("home"), "block", "dims", "vec",
-    )
-    n = common.buckets(total * 6, 4096)
-    met = e.withColumn("bucket", F.pmod("key", F.lit(n))).groupBy("bucket").applyInArrow(lambda t: _join(cosine, blocks)(t), "rep long, links long, root long")
+    placed = common.skew_join(fit, size, ["label", "dims"], "c", total)
+    placed = placed.withColumn("own", F.pmod(F.xxhash64(F.lit(8), "rep"), F.col("tiles")).cast("int"))
+    # every two tiles meet once, a tile also by itself
+    e = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    e = e.select(F.xxhash64("label", "dims", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "copies", "own", "dims", "vec")
+    rows_met = size.agg(F.sum(F.col("c") * F.col("tiles"))).first()[0] or 0
+    dealt = e.withColumn("bucket", F.pmod("key", F.lit(common.buckets(rows_met, TILE))))
+    met = dealt.groupBy("bucket").applyInArrow(lambda t: _join(cosine, blocks)(t), "rep long, links long, root long")
     met = common.store(met, "met")
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
     ids = reps.select("rep", "rep0")
     stars = met.select("rep", "root").filter("rep != root").distinct().join(ids, "rep").select("root", F.col("rep0").alias("a"))
     stars = stars.join(ids.select(F.col("rep").alias("root"), F.col("rep0").alias("b")), "root").select("a", "b")
     part = common.components(stars).withColumnRenamed("node", "rep0")
-    usable = cells.filter("dims > 0 and block = 0").select("rep", F.lit(True).alias("usable"))
+    usable = fit.select("rep", F.lit(True).alias("usable"))
     known = reps.join(links, "rep", "left").join(usable, "rep", "left").join(part, "rep0", "left")
     alone = F.col("usable").isNull()
     known = known.select(
