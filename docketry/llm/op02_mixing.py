@@ -72,30 +72,47 @@ def _fit_source(dp_words: int):
         times = np.int64(pdf["whole_times"].iloc[0]) if len(pdf) else 0
         budget = int(round(pdf["target"].iloc[0])) - times * int(pdf["source_size"].iloc[0]) if len(pdf) else 0
         extra = fit(pdf["size"].to_numpy(), pdf["n"].to_numpy(), budget, dp_words)
-        return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "extra": extra})
+        return pd.DataFrame({"s": pdf["s"], "gone": pdf["gone"], "size": pdf["size"], "extra": extra})
 
     return run
 
 
-def _water_fill(sizes: list[tuple], weights: tuple[int, ...], most: int) -> list[tuple]:
-    """Targets by source: shares of all words by weight, none above `most` times its source, the excess dealt again."""
-    total = float(sum(s for _, s in sizes))
-    weight = [float(weights[k % len(weights)]) for k in range(len(sizes))]
-    target, free, rest = [0.0] * len(sizes), list(range(len(sizes))), total
-    while free:
-        sum_w = sum(weight[k] for k in free)
-        over = [k for k in free if rest * weight[k] / sum_w > most * sizes[k][1]]
-        if not over:
-            for k in free:
-                target[k] = rest * weight[k] / sum_w
+def _ranked_sources(per_source: DataFrame) -> DataFrame:
+    """per_source with `rank`, from 0, by code point of s (nulls, which `gone` marks, last); any number of sources."""
+    spark = per_source.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = common.store(per_source.repartitionByRange(parts, "gone", "s").withColumn("part", F.spark_partition_id()), "sources")
+    # one number for each partition
+    before, at = {}, 0
+    for r in sorted(dealt.groupBy("part").count().collect()):
+        before[r["part"]], at = at, at + r["count"]
+    start = F.coalesce(*[F.when(F.col("part") == k, F.lit(n)) for k, n in before.items()], F.lit(0))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("gone", "s"))
+    return dealt.withColumn("rank", (start + own - 1).cast("long")).drop("part")
+
+
+def _plan(per_source: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """per_source (s, gone, n, source_size) with target and whole_times: shares of all words by weight, none above `most` times its source, the excess dealt again."""
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights)).cast("int") + 1).cast("long")
+    ranked = common.store(_ranked_sources(per_source).withColumn("w", weight).withColumn("cap", F.col("source_size") * most), "weights")
+    total, rest_w = ranked.agg(F.sum("source_size"), F.sum("w")).first()
+    full = F.lit(False)
+    rest = total
+    while rest_w:
+        # what a free source would get, until none of them gets more than it can hold
+        over = F.lit(float(rest)) * F.col("w") / F.lit(float(rest_w)) > F.col("cap")
+        if not ranked.filter(~full & over).take(1):
             break
-        for k in over:
-            target[k] = float(most * sizes[k][1])
-            rest -= target[k]
-        free = [k for k in free if k not in set(over)]
-    return [(s, n, t, min(most, int(t // n)) if n else 0) for (s, n), t in zip(sizes, target, strict=True)]
+        full = full | over
+        caps, free = ranked.agg(F.sum(F.when(full, F.col("cap")).otherwise(0)), F.sum(F.when(full, 0).otherwise(F.col("w")))).first()
+        rest, rest_w = total - caps, free
+    share = F.lit(float(rest)) * F.col("w") / F.lit(float(rest_w or 1))
+    target = F.when(full, F.col("cap").cast("double")).otherwise(share)
+    times = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(target / F.col("source_size")))).otherwise(0).cast("long")
+    return common.store(ranked.select("s", "gone", "n", "source_size", target.alias("target"), times.alias("whole_times")), "plan")
 
 
+@common.settled
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (1, 2, 3),
@@ -109,53 +126,48 @@ def mix(
 
     size counts words; null text has 0 and is never taken more than 0 words (its `times` follow
     its source's whole part only). Sources are ordered by code point, null last and a source of
-    its own. `taken` is times * size. An empty table gives an empty result. The number of
-    sources must fit the driver: one row each is read there.
+    its own; there may be any number of them. `taken` is times * size. What a source takes is short
+    of its target, rounded, by less than the shortest of its documents that could be taken once more.
+    Ties in length are broken by a seeded hash of the id; rows that repeat an id count alike. Texts
+    are read whole. An empty table gives an empty result, and other columns are not read.
     """
-    spark = docs.sparkSession
     sized = common.store(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
+            F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s"),
+            F.col(source_col).isNull().alias("gone"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"),
         ),
         "sized",
     )
-    counts = common.store(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
-    per_source = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s"), F.sum("n").alias("n")).collect()
-    if not per_source:
-        return sized.selectExpr("doc_id", "size", "size source_size", "cast(0 as double) target", "size taken", "0 times")
-    rows_in = sum(r["n"] for r in per_source)
-    ordered = sorted(((r["source"], int(r["s"])) for r in per_source), key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    plan = spark.createDataFrame(
-        _water_fill(ordered, weights, MOST), "source string, source_size long, target double, whole_times long"
-    )
-    plan = F.broadcast(plan)  # one row for each source, which the driver already holds
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    with_plan = counts.join(plan, same(counts, plan)).drop(plan["source"])
+    of = ["s", "gone"]
+    counts = common.store(sized.groupBy(*of, "size").agg(F.count("*").alias("n")), "lengths")
+    rows_in = counts.agg(F.sum("n")).first()[0] or 0
+    if not rows_in:
+        return sized.selectExpr("doc_id", "size", "size source_size", "cast(0 as double) target", "size taken", "cast(0 as long) times")
+    plan = _plan(counts.groupBy(*of).agg(F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, MOST)
+    # a source's lengths meet in one task: as many rows as it has different lengths
+    with_plan = common.skew_join(counts.withColumnRenamed("n", "many"), plan.select(*of, "source_size", "target", "whole_times", "n"), of, "n", rows_in)
     chosen = common.store(
-        with_plan.groupBy("source").applyInPandas(_fit_source(dp_words), "source string, size long, extra long"), "chosen"
+        with_plan.withColumnRenamed("many", "n").groupBy(*of).applyInPandas(_fit_source(dp_words), "s string, gone boolean, size long, extra long"), "chosen"
     )
     # Documents of one (source, length) are ordered by a seeded hash. Its top bits are the bucket, so
     # buckets are in order and each one is ranked alone, however many documents share a length.
     fine = max(1, (rows_in // RANKED).bit_length())
     h = F.xxhash64(F.lit(seed), "doc_id")
     hashed = sized.withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 64 - fine))
-    per_bucket = hashed.groupBy("source", "size", "bucket").agg(F.count("*").alias("b"))
-    before = F.sum("b").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    per_bucket = hashed.groupBy(*of, "size", "bucket").agg(F.count("*").alias("b"))
+    before = F.sum("b").over(Window.partitionBy(*of, "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = per_bucket.withColumn("before", F.coalesce(before, F.lit(0)))
     # what a bucket takes is known before its documents are ranked
-    c = chosen.select(F.col("source").alias("s2"), F.col("size").alias("z2"), "extra")
-    starts = starts.join(c, (F.col("source").eqNullSafe(F.col("s2"))) & (F.col("size") == F.col("z2")), "left")
+    starts = starts.join(chosen, [*of, "size"], "left")
     quota = F.greatest(F.lit(0), F.least(F.col("b"), F.coalesce("extra", F.lit(0)) - F.col("before")))
-    starts = starts.select(F.col("source").alias("s3"), F.col("size").alias("z3"), F.col("bucket").alias("b3"), quota.alias("quota"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id"))
-    ranked = hashed.withColumn("rank", rank)
-    out = ranked.join(
-        starts, F.col("source").eqNullSafe(F.col("s3")) & (F.col("size") == F.col("z3")) & (F.col("bucket") == F.col("b3"))
-    )
-    out = out.join(plan, same(out, plan))
-    times = (F.col("whole_times") + F.when(F.col("rank") <= F.col("quota"), 1).otherwise(0)).cast("long")
+    starts = starts.select(*of, "size", "bucket", quota.alias("quota"))
+    rank = F.row_number().over(Window.partitionBy(*of, "size", "bucket").orderBy("h", "doc_id"))
+    out = hashed.withColumn("rank", rank).join(starts, [*of, "size", "bucket"])
+    taken = common.store(out.select(*of, "doc_id", "size", (F.col("rank") <= F.col("quota")).alias("more")), "taken")
+    out = common.skew_join(taken, plan, of, "n", rows_in)
+    times = (F.col("whole_times") + F.when(F.col("more"), 1).otherwise(0)).cast("long")
     return out.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
 
 
@@ -164,11 +176,11 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
 
     docs must hold each doc_id once; rows that repeat an id are all repeated alike.
     """
-    times = mix(docs, **options).groupBy("doc_id").agg(F.max("times").alias("__times"))
-    key = options.get("id_col", "doc_id")
-    out = docs.join(times.withColumnRenamed("doc_id", "__id"), F.col(key) == F.col("__id"))
-    out = out.filter("__times > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-    return out.select(*[out[f"`{c}`"] for c in docs.columns])
+    often, own, turn = (common.fresh(docs, x) for x in ("times", "id", "turn"))
+    times = mix(docs, **options).groupBy("doc_id").agg(F.max("times").alias(often)).withColumnRenamed("doc_id", own)
+    out = docs.join(times, docs[options.get("id_col", "doc_id")] == F.col(own)).filter(F.col(often) > 0)
+    out = out.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(often).cast("int"))))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 __all__ = ["fit", "knapsack", "mix", "repeated"]
