@@ -83,6 +83,7 @@ def _chunked(digest):
 _TYPES = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
 
 
+@common.settled
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=digest16) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
 

@@ -79,7 +79,8 @@ class Words(dict):
                 seen.add(token)
                 order.append(token)
         ids = {raw(t): k for t, k in model["vocab"].items() if t in model["vocab"]}
-        self.ids = [ids.get(t, 0) for t in order]
+        # a merge that is no token would encode to nothing known; it fails where a text needs it
+        self.ids = [ids.get(t, -1) for t in order]
         ranks = {t: k for k, t in enumerate(order)}
         self.core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         letters = "".join(re.escape(c) for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == "L" and c != "\u0130")
@@ -147,7 +148,12 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[t
     pats = [np.eye(n)[k] * (capacity // sizes[k]) for k in range(n)]
     basis, need = np.array(pats).T, np.array(counts, float)
     for _ in range(60 * n):
-        inverse = np.linalg.inv(basis)
+        try:
+            inverse = np.linalg.inv(basis)
+        except np.linalg.LinAlgError:
+            # a degenerate basis: one size a bin is a plan too, only with more left over
+            basis = np.array(pats).T
+            break
         x, price = inverse @ need, np.ones(n) @ inverse
         best, how = np.zeros(capacity + 1), np.zeros((n, capacity + 1), np.int16)
         for k, size in enumerate(sizes):
@@ -280,6 +286,7 @@ def _place(shared):
     return run
 
 
+@common.settled
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocab: str | None = None) -> DataFrame:
     """One row for each piece of each row of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
