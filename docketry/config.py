@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 
@@ -23,5 +24,10 @@ class Config:
     deskew_pass: bool = False
     ocr_cache_dir: str | None = None
 
+    @classmethod
+    def from_env(cls, name: str = "DOCKETRY_OCR_CACHE_DIR") -> Config:
+        """The cache folder from the environment; what the engine does is never read from there."""
+        return cls(ocr_cache_dir=os.environ.get(name, "").strip() or None)
+
 
 CONFIG = Config()

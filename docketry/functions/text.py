@@ -252,7 +252,8 @@ def source_class(source: Column) -> Column:
 
 def same_value(field: Column, got: Column, truth: Column) -> Column:
     """Stripped equality; for flags, a non-empty subset of the truth."""
-    g, t = flag_set(strip(got)), flag_set(strip(truth))
+    named = lambda c: F.filter(F.split(strip(c), r"[|]"), lambda x: x != "")
+    g, t = named(got), named(truth)
     return F.when(field == "risk_flags", (F.size(g) > 0) & (F.size(F.array_except(g, t)) == 0)).otherwise(strip(got) == strip(truth))
 
 

@@ -72,11 +72,9 @@ def clean_biometric() -> Column:
     return (count(0) > 0) & (count(0) == count(1))
 
 
-def apply_policy(rows: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """rows (fields, verdict and bundle) with `grade` and `final`: upgrades first, then guards of approvals."""
-    # several stages look at the grade: it is made once
-    rows, tag, grade = rows.withColumn("grade", X.ocr_grade(F.col("ocr_text"))), F.col("verdict.tag"), F.col("grade")
-    up = []
+def final(config: Config = CONFIG) -> Column:
+    """The final verdict over fields, verdict, bundle and grade: upgrades first, then guards of approvals."""
+    tag, grade, up = F.col("verdict.tag"), F.col("grade"), []
     key = "R_A1_non_dip_waived_biometric_clean"
     if config.biometric_upgrade:
         up.append(F.when((tag == "R_A1_non_dip_waived_TO_REVIEW") & clean_biometric(), X.verdict("APPROVED", key, key)))
@@ -88,7 +86,19 @@ def apply_policy(rows: DataFrame, config: Config = CONFIG) -> DataFrame:
     stop = F.col("verdict.adj") != "APPROVED"
     if config.finding_bypass:
         stop = stop | tag.startswith("R_ADJUDICATOR_FINDING")
-    return rows.withColumn("final", F.coalesce(*up, F.when(stop, F.col("verdict")), *[g for _, g in guards(config)], F.col("verdict")))
+    return F.coalesce(*up, F.when(stop, F.col("verdict")), *[g for _, g in guards(config)], F.col("verdict"))
+
+
+def apply_policy(rows: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """rows (fields, verdict and bundle) with `grade` and `final`."""
+    # several stages look at the grade: it is made once
+    return rows.withColumn("grade", X.ocr_grade(F.col("ocr_text"))).withColumn("final", final(config))
+
+
+def sweep(rows: DataFrame, configs: dict[str, Config]) -> DataFrame:
+    """rows with `config` and its `final`, a row for each config: the cases are made once."""
+    each = F.array(*[F.struct(F.lit(n).alias("config"), final(c).alias("final")) for n, c in configs.items()])
+    return rows.drop("final").withColumn("__each", F.explode(each)).select("*", "__each.config", "__each.final").drop("__each")
 
 
 def predictions(decided: DataFrame) -> DataFrame:
