@@ -19,9 +19,12 @@ class Config:
     finding_bypass: bool = True
     ocr_only_guard: bool = True
     defensive_downgrade: bool = False
+    sharpen_pass: bool = True
     sparse_text_pass: bool = True
     rotation_pass: bool = False
     deskew_pass: bool = False
+    #: A list of words for the engine; no file, no list.
+    user_words: str | None = None
     ocr_cache_dir: str | None = None
 
     @classmethod

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from docketry import tables as T
 from docketry.config import Config
 from docketry.functions import text as X
 from docketry.operators import decide, evaluate, resolve, trust
-from docketry.sources import pdf, tables_io
+from docketry.sources import pdf, shared, tables_io
 from docketry.streaming import incremental
 
 from . import oracle as O
@@ -541,15 +540,16 @@ def correctness_cube(s, d):
     return evaluate.correctness_cube(rows, "lang", "source", "bucket")
 
 
-# ---- what SQL can't say ----
+# ---- streams ----
 
 
-@query()
+@query("SELECT date_trunc('day', ts)::VARCHAR AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
 def event_windows_stream(s, d):
-    """The windowed count as a file stream run to its end."""
-    at = tempfile.mkdtemp(prefix="docketry-stream-")
+    """The windowed count as a file stream run to its end; state and result are in the shared folder."""
+    at = f"{shared.shared_dir(s)}/docketry-stream-{uuid.uuid4().hex}"
     schema = _t(s, d, "events").schema
     q = incremental.event_windows(s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d), late="0 seconds")
-    name = f"events_{os.path.basename(at).replace('-', '_')}"
-    q.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
-    return s.table(name)
+    put = lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/out")
+    q.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    out = s.read.parquet(f"{at}/out")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n")

@@ -1,58 +1,194 @@
-"""Text recognition as a pluggable engine behind row filters, a content-hash cache and one call for each distinct image."""
+"""Text recognition as a pluggable engine: row filters first, one call for each distinct image and pass, a cache by content and pass.
+
+An image is read by a strategy (one pass, or three for document pages) and then by passes that only
+add text: sparse text always, turned pages and straightened pages if the page's ink gives a reason.
+Every pass has its own key in the cache, so switching one on reads nothing else again.
+"""
 
 from __future__ import annotations
 
+import os
+import re
 import subprocess
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.config import CONFIG, Config
 
-#: (image bytes, pass name) -> text. Passes: psm6, big, sharp, psm11, rotated, straight.
-Engine = Callable[[bytes, str], str]
-LEAST_SIDE, DOCUMENT_SIDE = 100, 800
+from . import imaging
+
+#: (image bytes, page segmentation mode, further flags) -> (text, status); status is 'ok' or why there is no text.
+Engine = Callable[[bytes, int, list[str]], tuple[str, str]]
+# Sides of an image worth reading and of a document page; words below which a page is turned or straightened; the ink of a photo;
+# how far columns must outdo rows, and by what at least; the angle, variance and gain that make a tilt clear.
+LEAST_SIDE, DOCUMENT_SIDE, TURN_WORDS, STRAIGHTEN_WORDS, PHOTO_INK = 100, 800, 12, 40, 0.15
+COLUMN_GAIN, COLUMN_LEAST, TILT, TILT_VARIANCE, TILT_GAIN, TILT_MARGIN, SECONDS = 2.0, 30.0, 2, 100.0, 1.5, 1.05, 15
+# Letters that a repeated reading of a field is limited to, and its form.
+REREAD = {"sponsor_id": ("SPN-0123456789", r"^SPN-\d{4}$"), "arrival_date": ("-0123456789", r"^\d{4}-\d{2}-\d{2}$")}
+_READ = "sha string, text string, passes array<struct<tag:string,text:string,status:string,fresh:boolean>>"
 
 
-def tesseract(image: bytes, name: str) -> str:
-    """The command-line program, if there is one; '' on any failure."""
-    psm = {"psm11": "11", "big": "3"}.get(name, "6")
+def tesseract(image: bytes, psm: int, flags: list[str]) -> tuple[str, str]:
+    """The command-line program. Without it, after a timeout or an error there is no text, and the status says so."""
     try:
-        done = subprocess.run(["tesseract", "stdin", "stdout", "--psm", psm], input=image, capture_output=True, timeout=15)
-        return done.stdout.decode("utf-8", "replace") if done.returncode == 0 else ""
-    except (OSError, subprocess.TimeoutExpired):
-        return ""
+        done = subprocess.run(["tesseract", "-", "-", "--psm", str(psm), *flags], input=image, capture_output=True, timeout=SECONDS)
+    except FileNotFoundError:
+        return "", "no program"
+    except subprocess.TimeoutExpired:
+        return "", "timeout"
+    except OSError as e:
+        return "", f"error: {e.strerror}"
+    return done.stdout.decode("utf-8", "replace"), "ok" if done.returncode == 0 else f"error: {done.returncode}"
+
+
+def tag_of(name: str, config: Config = CONFIG) -> str:
+    """A pass's key in the cache, beside the image's hash: what changes its text is part of it."""
+    return name + ("+words" if _words(config) else "")
+
+
+def _words(config: Config) -> list[str]:
+    return ["--user-words", config.user_words] if config.user_words and os.path.exists(config.user_words) else []
 
 
 def with_passes(sources: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """Images that are worth reading, with sha and the passes to run. Gates are row filters, so the engine never sees other rows."""
+    """Images that are worth reading, with sha and whether they look like documents. The gate is a row filter, so the engine never sees other rows."""
     side = F.greatest("width", "height")
     images = sources.filter((F.col("kind") == "IMAGE") & (side.isNull() | (side >= LEAST_SIDE)))
-    document = F.coalesce(side >= DOCUMENT_SIDE, F.lit(False))
-    more = [F.lit("psm11")] if config.sparse_text_pass else []
-    names = F.when(document, F.array(*map(F.lit, ("psm6", "big", "sharp")), *more)).otherwise(F.array(F.lit("psm6"), *more))
-    return images.select("case_id", "source_id", "raw", F.sha2("raw", 256).alias("sha"), names.alias("passes"))
+    return images.select("case_id", "source_id", "raw", F.sha2("raw", 256).alias("sha"), F.coalesce(side >= DOCUMENT_SIDE, F.lit(False)).alias("document"))
+
+
+class Reader:
+    """Reads one image after the other by all passes that it needs."""
 
+    def __init__(self, engine: Engine, config: Config = CONFIG):
+        self.engine, self.config, self.flags = engine, config, _words(config)
 
-def recognize(need: DataFrame, engine: Engine, cache: DataFrame | None = None) -> DataFrame:
-    """(sha, text) of each distinct image: from the cache (sha, text), else by the engine. Write it before filtering on text."""
-    distinct = need.groupBy("sha").agg(F.first("raw").alias("raw"), F.max("passes").alias("passes"))
-    missing = distinct if cache is None else distinct.join(cache.select("sha"), "sha", "left_anti")
+    def read(self, raw: bytes, document: bool, cached: dict[str, str]) -> tuple[str, list[tuple[str, str, str, bool]]]:
+        """The text, and (tag, text, status, fresh) of every pass that was needed."""
+        seen: dict[str, tuple[str, str, str, bool]] = {}
+        image: list[np.ndarray | None] = []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def pixels() -> np.ndarray | None:
+            if not image:
+                image.append(imaging.decode(raw))
+            return image[0]
+
+        def one(name: str, psm: int, make: Callable[[], list[np.ndarray | bytes]]) -> str:
+            tag = tag_of(name, self.config)
+            if tag not in seen:
+                if tag in cached:
+                    seen[tag] = (tag, cached[tag], "ok", False)
+                else:
+                    got = [self.engine(x if isinstance(x, bytes) else imaging.encode(x), psm, self.flags) for x in make()]
+                    text = "\n".join(t for t, _ in got if t.strip()) if len(got) > 1 else got[0][0] if got else ""
+                    bad = [s for _, s in got if s != "ok"]
+                    seen[tag] = (tag, text, bad[0] if bad else "ok" if got else "not needed", True)
+            return seen[tag][1]
+
+        shape = lambda f: lambda: [f(p)] if (p := pixels()) is not None else []
+        parts = [one("base", 6, lambda: [raw])]
+        if document:
+            parts.append(one("big", 3, shape(imaging.upscaled)))
+            if self.config.sharpen_pass:
+                parts.append(one("sharp", 6, shape(imaging.sharpened)))
+        text = "\n".join(p for p in parts if p)
+        # how much was read decides on the costly passes, whatever other passes add
+        words, more = len(re.findall("[A-Za-z]{2,}", text)), []
+        if self.config.sparse_text_pass:
+            more.append(one("sparse", 11, lambda: [raw]))
+        turn, straighten = self.config.rotation_pass and words < TURN_WORDS, self.config.deskew_pass and words < STRAIGHTEN_WORDS
+        if (turn or straighten) and (page := pixels()) is not None:
+            ink, rows, columns = imaging.geometry(page)
+            if turn and ink < PHOTO_INK and columns > COLUMN_GAIN * rows and columns > COLUMN_LEAST:
+                more.append(one("turned", 6, lambda: [np.rot90(page, k) for k in (1, 2, 3)]))
+            if straighten and ink < PHOTO_INK:
+                angle, best, flat = imaging.skew(page)
+                if abs(angle) >= TILT and best >= TILT_VARIANCE and best >= TILT_GAIN * flat:
+                    more.append(one("straight", 6, lambda: [imaging.turned(imaging.grey(page), angle, grow=True)] if best > flat * TILT_MARGIN else []))
+        return "\n".join([text, *(m for m in more if m.strip())]), list(seen.values())
+
+
+def recognize(need: DataFrame, engine: Engine, cache: DataFrame | None = None, config: Config = CONFIG) -> DataFrame:
+    """(sha, text, passes) of each distinct image; cache is (sha, tag, text). Write the result before anything filters on the text."""
+    distinct = need.groupBy("sha").agg(F.first("raw").alias("raw"), F.max("document").alias("document"))
+    none = F.array().cast("array<struct<tag:string,text:string>>")
+    if cache is None:
+        rows = distinct.withColumn("known", none)
+    else:
+        held = cache.join(distinct.select("sha"), "sha", "left_semi").groupBy("sha").agg(F.collect_list(F.struct("tag", "text")).alias("known"))
+        rows = distinct.join(held, "sha", "left").withColumn("known", F.coalesce("known", none))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(engine, config)
         for b in batches:
-            text = ["\n".join(t for p in passes if (t := engine(raw, p))) for raw, passes in zip(b["raw"], b["passes"], strict=True)]
-            yield pd.DataFrame({"sha": b["sha"], "text": text})
+            for k in range(b.num_rows):
+                sha, raw, document, known = (b.column(c)[k].as_py() for c in range(4))
+                text, passes = reader.read(raw, document, {x["tag"]: x["text"] for x in known})
+                made = [dict(zip(("tag", "text", "status", "fresh"), p, strict=True)) for p in passes]
+                kind = pa.list_(pa.struct([("tag", pa.string()), ("text", pa.string()), ("status", pa.string()), ("fresh", pa.bool_())]))
+                yield pa.RecordBatch.from_arrays([pa.array([sha]), pa.array([text]), pa.array([made], kind)], ["sha", "text", "passes"])
+
+    return rows.select("sha", "raw", "document", "known").mapInArrow(run, _READ)
+
 
-    new = missing.mapInPandas(run, "sha string, text string")
-    return new if cache is None else new.unionByName(cache.join(distinct.select("sha"), "sha", "left_semi").select("sha", "text"))
+def cache_rows(read: DataFrame) -> DataFrame:
+    """(sha, tag, text) of the passes that were read anew and well: what to append to the cache."""
+    return read.select("sha", F.explode("passes").alias("p")).filter("p.fresh and p.status in ('ok', 'not needed')").select("sha", "p.tag", "p.text")
+
+
+def write_cache(read: DataFrame, path: str) -> None:
+    cache_rows(read).write.mode("append").parquet(path)
+
+
+def statuses(read: DataFrame) -> DataFrame:
+    """(tag, status, n): how the passes ended, so that a missing program doesn't pass for blank pages."""
+    return read.select(F.explode("passes").alias("p")).groupBy("p.tag", "p.status").agg(F.count("*").alias("n"))
+
+
+def composed(read: DataFrame, tags: list[str]) -> DataFrame:
+    """(sha, text) of another composition of passes that were read already, in the given order, empty ones left out."""
+    of = lambda t: F.try_element_at(F.transform(F.filter("passes", lambda p: p["tag"] == t), lambda p: p["text"]), F.lit(1))
+    return read.select("sha", F.array_join(F.filter(F.array(*map(of, tags)), lambda x: x.isNotNull() & (x != "")), "\n").alias("text"))
 
 
 def read_images(sources: DataFrame, texts: DataFrame, config: Config = CONFIG) -> DataFrame:
     """sources with the content of images filled in; raw bytes are dropped here."""
     need = with_passes(sources, config).select("case_id", "source_id", "sha")
-    got = need.join(texts, "sha").select("case_id", "source_id", "text")
+    got = need.join(texts.select("sha", "text"), "sha").select("case_id", "source_id", "text")
     out = sources.drop("raw").join(got, ["case_id", "source_id"], "left")
     return out.withColumn("content", F.when(F.col("kind") == "IMAGE", F.coalesce("text", F.lit(""))).otherwise(F.col("content"))).drop("text")
+
+
+def reread(signals: DataFrame, images: DataFrame, engine: Engine) -> DataFrame:
+    """(case_id, seq, value) of the image signals whose value lacks its form and whose image, read with the field's letters alone, shows one that has it.
+
+    Only signals that fail their form meet the images (case_id, source_id, raw).
+    """
+    bad = F.lit(False)
+    for field, (_, form) in REREAD.items():
+        bad = bad | ((F.col("key") == field) & ~F.col("value").rlike(form))
+    need = signals.filter(F.col("source_id").startswith("image_") & bad).select("case_id", "seq", "key", "source_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for case, seq, key, raw in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                letters, form = REREAD[key]
+                text, _ = engine(raw, 6, ["-c", f"tessedit_char_whitelist={letters}"])
+                rows.append((case, seq, next((w for w in text.split() if re.match(form, w)), None)))
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, ["case_id", "seq", "value"])
+
+    got = need.join(images.select("case_id", "source_id", "raw"), ["case_id", "source_id"]).select("case_id", "seq", "key", "raw")
+    return got.mapInArrow(run, "case_id string, seq long, value string").filter("value is not null")
+
+
+def with_rereads(signals: DataFrame, repaired: DataFrame) -> DataFrame:
+    """signals with the values of `reread` in place of those that lacked their form."""
+    new = repaired.select("case_id", "seq", F.col("value").alias("new"))
+    return signals.join(new, ["case_id", "seq"], "left").withColumn("value", F.coalesce("new", "value")).drop("new").select(signals.columns)
+

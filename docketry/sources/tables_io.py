@@ -28,8 +28,16 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_predictions(preds: DataFrame, path: str) -> None:
-    """One JSON object a line, keys in order, in case order."""
-    preds.select(F.to_json(F.struct(*sorted(PREDICTION)), {"ignoreNullFields": "false"}).alias("value"), "case_id").sortWithinPartitions("case_id").select("value").write.mode("overwrite").text(path)
+    """One JSON object a line, keys in order, in case order over all files: a range sort, so files are as many as partitions."""
+    rows = preds.orderBy("case_id").select(F.to_json(F.struct(*sorted(PREDICTION)), {"ignoreNullFields": "false"}).alias("value"))
+    rows.write.mode("overwrite").text(path)
+
+
+def write_report(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as JSON lines in a folder of its own, largest counts first where it has counts."""
+    for name, d in tables.items():
+        order = [F.desc("n"), *[c for c, t in d.dtypes if t == "string"]] if "n" in d.columns else d.columns
+        d.orderBy(*order).coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
 
 
 def pending(cases: DataFrame, done: DataFrame) -> DataFrame:
@@ -48,7 +56,7 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def sampled_ids(ids: list[str], n: int, seed: int) -> list[str]:
-    """A seeded sample of sorted ids, on the driver: the list is a manifest."""
+    """A seeded sample of sorted ids, on the driver: the list is a manifest of as many ids as a person asks for."""
     ids = sorted(ids)
     random.Random(seed).shuffle(ids)
     return ids[:n]
