@@ -41,9 +41,9 @@ PATTERNS = {
     "phone": r"(?<![\d])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<=(?i:phone|tel|call|cell|mobile|fax)[.: ]{0,3})\d{10}(?!\d)|(?<![\d+])\+1\d{10}(?!\d)",
     "abroad": r"(?<![\d+])\+(?!1[ .(-]|1\d{10}(?!\d))(?:[2-9]\d{0,2}(?:[ .-]\(?\d{2,4}\)?){2,4}+|[2-9]\d{7,14}+)(?!\d)",
 }
-#: A run of groups of 4 digits or more and at most a shorter one at its end, up to a group that starts a value of dots, slashes or letters.
-_OTHER = "|".join([PATTERNS["email"], PATTERNS["ip"], r"\d\d[./]\d\d[./]\d{4}(?!\d)", r"(?:1[ -]?)?\d{3}(?:[ -]\d{3}\.|\.\d{3}[ .-])\d{4}(?!\d)"])
-PATTERNS["card"] = rf"(?<!\d)(?=\d(?:[ -]?\d){{12}})\d{{4,}}+(?:(?![ -](?:{_OTHER}))[ -]\d{{4,}}+)*+(?:[ -]\d{{1,3}}(?!\d|[./]\d))?+"
+#: A run of groups of 4 digits or more and at most a shorter one at its end, up to a group that starts another value.
+_OTHER = "|".join([PATTERNS["email"], PATTERNS["ip"], r"\d\d[./]\d\d[./]\d{4}(?!\d)", r"\d{4}-\d{2}-\d{2}(?!\d|[/.-]\d)", r"\d{3}-\d{2}-\d{4}(?![\d-])", r"(?:1[ -]?)?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)"])
+PATTERNS["card"] = rf"(?<!\d)(?=\d(?:[ -]?\d){{12}})\d{{4,}}+(?:(?![ -](?:{_OTHER}))[ -]\d{{4,}}+)*+(?:(?![ -](?:{_OTHER}))[ -]\d{{1,3}}(?!\d|[./]\d))?+"
 #: Groups that cards are written in, and how the numbers in use begin.
 LAYOUT = r"^[ -]?(?:\d{13,19}|(?:\d{4}[ -]){3}\d{4}(?:[ -]\d{1,3})?|(?:\d{4}[ -]){3}\d{1,3}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{6}[ -]\d{7,13}|\d{8}[ -]\d{8})$"
 ISSUED = r"^[ -]?(?:[3-6]|2[2-7])"
