@@ -33,6 +33,24 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str =
         ).withColumn("at", F.monotonically_increasing_id()),
         "rows",
     )
+    gone = _dropped(rows, min_sites, lg_k, band)
+    parts = F.split("text", "\n", -1)
+    out = rows.join(gone, "at", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    out = out.select("doc_id", "text", "gone", parts.alias("parts"))
+    # what lies between two dropped lines stays: a walk along both, no search for each line
+    begin = lambda k: F.when(k > 0, F.get("gone", k - 1) + 2).otherwise(1)
+    end = lambda k: F.coalesce(F.get("gone", k), F.size("parts"))
+    between = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("parts", begin(k), end(k) - begin(k) + 1))
+    stays, parts = F.array_join(F.flatten(between), "\n"), F.col("parts")
+    return out.select(
+        "doc_id", F.size(parts).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"),
+        F.when(F.size("gone") == 0, F.col("text")).otherwise(stays).alias("text"),
+    )
+
+
+@common.settled
+def _dropped(rows: DataFrame, min_sites: int, lg_k: int, band: float) -> DataFrame:
+    """(at, gone) of the rows (at, site, text) that lose lines: the places of these lines, from 0, in order."""
     key = F.transform(
         F.split("text", "\n", -1),
         lambda x: F.when(F.btrim(x, F.lit(" \t")) == "", None).otherwise(F.struct(F.xxhash64(F.btrim(x, F.lit(" \t"))).alias("a"), F.xxhash64(F.lit(1), F.btrim(x, F.lit(" \t"))).alias("b"))),
@@ -53,16 +71,4 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str =
         .groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("a", "b")
     )
     boiler = common.store(sure.unionByName(exact).join(spread.select("a", "b", "uses"), ["a", "b"]), "boiler")
-    gone = common.skew_join(lines, boiler, ["a", "b"], "uses", total).groupBy("at").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
-    parts = F.split("text", "\n", -1)
-    out = rows.join(gone, "at", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    out = out.select("doc_id", "text", "gone", parts.alias("parts"))
-    # what lies between two dropped lines stays: a walk along both, no search for each line
-    begin = lambda k: F.when(k > 0, F.get("gone", k - 1) + 2).otherwise(1)
-    end = lambda k: F.coalesce(F.get("gone", k), F.size("parts"))
-    between = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("parts", begin(k), end(k) - begin(k) + 1))
-    stays, parts = F.array_join(F.flatten(between), "\n"), F.col("parts")
-    return out.select(
-        "doc_id", F.size(parts).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"),
-        F.when(F.size("gone") == 0, F.col("text")).otherwise(stays).alias("text"),
-    )
+    return common.skew_join(lines, boiler, ["a", "b"], "uses", total).groupBy("at").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
