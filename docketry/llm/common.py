@@ -7,7 +7,6 @@ and the driver share, so a lost executor never takes intermediate rows with it.
 from __future__ import annotations
 
 import functools
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable
@@ -15,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.sources.shared import shared_dir
+
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Keys above this share of all rows (and above HOT_ROWS rows) are hot: at most 1 / HOT_SHARE keys.
@@ -33,17 +34,6 @@ def _tables() -> list[tuple[SparkSession, str]]:
     return _state.tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is made only for local masters that set none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="docketry-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Bound what one batch hands to Python by bytes, unless the session already does."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
