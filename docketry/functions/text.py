@@ -164,31 +164,34 @@ def snapped(c: Column, values: list[str], lower: bool = False) -> Column:
     return F.coalesce(*same, strip(c))
 
 
-def normalized(key: Column, c: Column) -> Column:
-    ends = F.regexp_replace(strip(c), r"[.,;:]+$", "")
-    return (
-        F.when(c == "", "")
-        .when(key == "sponsor_id", F.regexp_replace(ends, r"\s+", ""))
-        .when(key == "home_world", F.regexp_replace(ends, T.P["split_home"], "$1$2"))
-        .when(key == "arrival_date", repaired_year(F.regexp_replace(strip(c), r"^[.,;:]+|[.,;:]+$", "")))
-        .when(key == "visa_class", snapped(c, T.VISAS))
-        .when(key == "fee_status", snapped(c, T.FEES, lower=True))
-        .when(key == "risk_flags", c)
-        .otherwise(strip(c))
-    )
+def _by_key(key: Column | str, made: dict, other) -> Column:
+    """made[key](), or other(): a known key makes its own expression only, a column makes all of them."""
+    if isinstance(key, str):
+        return made.get(key, other)()
+    out = F.when(F.lit(False), F.lit(None))
+    for k, f in made.items():
+        out = out.when(key == k, f())
+    return out.otherwise(other())
+
+
+def normalized(key: Column | str, c: Column) -> Column:
+    ends = lambda: F.regexp_replace(strip(c), r"[.,;:]+$", "")
+    made = {
+        "sponsor_id": lambda: F.regexp_replace(ends(), r"\s+", ""), "home_world": lambda: F.regexp_replace(ends(), T.P["split_home"], "$1$2"),
+        "arrival_date": lambda: repaired_year(F.regexp_replace(strip(c), r"^[.,;:]+|[.,;:]+$", "")), "visa_class": lambda: snapped(c, T.VISAS),
+        "fee_status": lambda: snapped(c, T.FEES, lower=True), "risk_flags": lambda: c,
+    }
+    return F.when(c == "", "").otherwise(_by_key(key, made, lambda: strip(c)))
 
 
-def valid(key: Column, c: Column) -> Column:
+def valid(key: Column | str, c: Column) -> Column:
     """Whether a value is evidence at all."""
     v = strip(c)
-    return (v != "") & (
-        F.when(key == "risk_flags", v != "none")
-        .when(key == "arrival_date", real_date(v).isNotNull())
-        .when(key == "applicant_name", v.rlike(T.P["full_name"]))
-        .when(key == "declared_purpose", v.rlike(T.P["full_purpose"]))
-        .when(key == "sponsor_id", v.rlike(f"^{T.P['sponsor']}$"))
-        .otherwise(True)
-    )
+    made = {
+        "risk_flags": lambda: v != "none", "arrival_date": lambda: real_date(v).isNotNull(), "applicant_name": lambda: v.rlike(T.P["full_name"]),
+        "declared_purpose": lambda: v.rlike(T.P["full_purpose"]), "sponsor_id": lambda: v.rlike(f"^{T.P['sponsor']}$"),
+    }
+    return (v != "") & _by_key(key, made, lambda: F.lit(True))
 
 
 def stale(c: Column) -> Column:

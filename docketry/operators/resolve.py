@@ -31,7 +31,7 @@ def _seq(tier: int, ordinal: Column | int, step: int, key: Column | int) -> Colu
 def signals(bundle: DataFrame, config: Config = CONFIG) -> DataFrame:
     """All signals of all cases, from the bundles: every text is searched once, and one array of candidates a text is exploded."""
     level = F.create_map(*[F.lit(x) for kv in T.LEVEL_CONFIDENCE.items() for x in kv])
-    whole = F.struct(F.lit("COMBINED").alias("kind"), F.lit(0).alias("ordinal"), F.lit("combined_text").alias("source_id"), F.col("combined_text").alias("content"), F.lit(0).alias("level"), F.lit(True).alias("trusted"))
+    whole = F.struct(F.lit("COMBINED").alias("kind"), F.lit(0).alias("ordinal"), F.lit("combined_text").alias("source_id"), F.col("combined_text").alias("content"), F.lit(0).alias("level"))
     texts = bundle.select("case_id", F.explode(F.concat(F.array(whole), "sources")).alias("s")).select("case_id", "s.*")
     rows = X.with_fields(texts, "content")
     content, kind = F.col("content"), F.col("kind")
@@ -46,9 +46,9 @@ def signals(bundle: DataFrame, config: Config = CONFIG) -> DataFrame:
     out = []
     for k, f in enumerate(T.FIELDS):
         v = F.col(f"fields.{f}")
-        value = X.normalized(F.lit(f), v) if config.normalize_values else v
+        value = X.normalized(f, v) if config.normalize_values else v
         conf = F.when(combined & (value == "unknown"), T.UNKNOWN_FEE_CONFIDENCE).otherwise(own) if f == "fee_status" else own
-        out.append(signal(X.valid(F.lit(f), v), F.when(combined, _seq(0, 0, 0, k)).otherwise(at(0, k)), f, value, conf))
+        out.append(signal(X.valid(f, v), F.when(combined, _seq(0, 0, 0, k)).otherwise(at(0, k)), f, value, conf))
     out.append(signal(combined & (F.col("fields.finding") != ""), _seq(1, 0, 0, 0), "finding", F.col("fields.finding"), F.lit(T.FINDING_CONFIDENCE), type_="ADJUDICATOR_FINDING"))
     if config.fuzzy_flags:
         v = X.fuzzy_flags(content)
@@ -149,36 +149,43 @@ def _label_udf(config: Config):
 
 
 def winners(sig: DataFrame) -> DataFrame:
-    """One row for each (case, field): the winner, and how far the signals agree. One shuffle, partial aggregation."""
-    s = sig.filter("type = 'FIELD_VALUE'")
-    g = s.groupBy("case_id", "key").agg(
-        F.max_by("value", F.struct("confidence", "source_id", -F.col("seq"))).alias("value"),
-        F.max("confidence").alias("confidence"),
-        F.max_by("tag", F.struct("confidence", "source_id", -F.col("seq"))).alias("tag"),
-        F.count("*").alias("n_sources"), F.array_sort(F.collect_set("value")).alias("unique_values"),
-        F.collect_list("value").alias("all"),
-        F.bool_or(X.source_class(F.col("source_id")) == "text").alias("has_text"),
+    """One row for each (case, field): the winner, and how far the signals agree. Partial aggregation; where the cases are together already, no shuffle."""
+    return _winners(sig.filter("type = 'FIELD_VALUE'"))
+
+
+def _winners(sig: DataFrame) -> DataFrame:
+    order = F.struct("confidence", "source_id", -F.col("seq"))
+    g = sig.groupBy("case_id", "key").agg(
+        F.max_by(F.struct("value", "tag"), order).alias("w"), F.max("confidence").alias("confidence"),
+        F.count("*").alias("n_sources"), F.collect_list("value").alias("all"), F.bool_or(X.source_class(F.col("source_id")) == "text").alias("has_text"),
     )
+    values = F.array_sort(F.array_distinct("all"))
     return g.select(
-        "case_id", "key", "value", "confidence", "tag", "n_sources",
-        F.size(F.filter("all", lambda x: x == F.col("value"))).cast("long").alias("n_agreeing"), "unique_values",
-        (F.size("unique_values") > 1).alias("has_conflict"), F.when(F.col("has_text"), "text").otherwise("ocr_only").alias("source_class"),
+        "case_id", "key", "w.value", "confidence", "w.tag", "n_sources",
+        F.size(F.filter("all", lambda x: x == F.col("w.value"))).cast("long").alias("n_agreeing"), values.alias("unique_values"),
+        (F.size(values) > 1).alias("has_conflict"), F.when(F.col("has_text"), "text").otherwise("ocr_only").alias("source_class"),
     )
 
 
+_AGREEMENT = "map<string,struct<value:string,n_sources:bigint,n_agreeing:bigint,unique_values:array<string>,has_conflict:boolean>>"
+
+
 def consolidate(sig: DataFrame, cases: DataFrame) -> DataFrame:
-    """One row for each of cases: the nine fields, finding, source_class and agreement maps; fields without signal are ''."""
+    """One row for each of cases, with their columns: the nine fields, finding, source_class and agreement maps; fields without signal are ''.
+
+    A finding is resolved like a field, so the signals are gone through once.
+    """
     rec = F.struct("value", "n_sources", "n_agreeing", "unique_values", "has_conflict")
-    wide = winners(sig).groupBy("case_id").agg(
+    wide = _winners(sig).groupBy("case_id").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("key").alias("k"), F.struct(rec.alias("r"), F.col("source_class").alias("c"))))).alias("m")
     )
-    said = sig.filter("type = 'ADJUDICATOR_FINDING'").groupBy("case_id").agg(F.min_by("value", "seq").alias("finding"))
-    out = cases.select("case_id").join(wide, "case_id", "left").join(said, "case_id", "left")
+    out = cases.join(wide, "case_id", "left")
     at = lambda k: F.try_element_at("m", F.lit(k))
-    value = {k: F.coalesce(at(k)["r"]["value"], F.lit("")) for k in T.FIELDS}
+    value = {k: F.coalesce(at(k)["r"]["value"], F.lit("")) for k in [*T.FIELDS, "finding"]}
     value["risk_flags"] = X.or_else(value["risk_flags"], F.lit("none"))
+    agreement = F.transform_values(F.map_filter("m", lambda k, v: k != "finding"), lambda k, v: v["r"]).cast(_AGREEMENT)
     return out.select(
-        "case_id", *[v.alias(k) for k, v in value.items()], F.coalesce("finding", F.lit("")).alias("finding"),
+        *cases.columns, *[v.alias(k) for k, v in value.items()],
         F.map_from_arrays(F.array(*map(F.lit, T.FIELDS)), F.array(*[F.coalesce(at(k)["c"], F.lit("absent")) for k in T.FIELDS])).alias("source_class"),
-        F.transform_values(F.coalesce("m", F.map_from_entries(F.array().cast("array<struct<k:string,v:struct<r:struct<value:string,n_sources:bigint,n_agreeing:bigint,unique_values:array<string>,has_conflict:boolean>,c:string>>>"))), lambda k, v: v["r"]).alias("agreement"),
+        F.coalesce(agreement, F.map_from_entries(F.array().cast("array<struct<k:string,v:struct<value:string,n_sources:bigint,n_agreeing:bigint,unique_values:array<string>,has_conflict:boolean>>>"))).alias("agreement"),
     )

@@ -74,13 +74,18 @@ def apply_filters(sources: DataFrame) -> DataFrame:
 
 
 def bundles(filtered: DataFrame) -> DataFrame:
-    """One row for each case: combined_text, ocr_text, image_ocr, any_illegible, and its live sources (trusted, not blank). One shuffle by case."""
-    rows = F.array_sort(F.collect_list(F.struct("kind", "ordinal", "source_id", "content", "level", "trusted")))
-    out = filtered.groupBy("case_id").agg(
-        F.filter(rows, lambda x: x["trusted"]).alias("rows"),
-        F.coalesce(F.bool_or(~F.col("trusted") & F.contains("exclusion_reason", F.lit("Illegibility"))), F.lit(False)).alias("any_illegible"),
-    )
-    of = lambda kind: F.filter("rows", lambda x: x["kind"] == kind)
+    """One row for each case: combined_text, ocr_text, image_ocr, any_illegible, and its live sources (trusted, not blank). One shuffle by case.
+
+    All columns come from one collected array, so whatever part of a bundle a plan needs, it is the
+    same exchange, and a plan that needs two parts reads it twice instead of making it twice.
+    """
+    illegible = F.coalesce(~F.col("trusted") & F.contains("exclusion_reason", F.lit("Illegibility")), F.lit(False)).alias("illegible")
+    out = filtered.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("kind", "ordinal", "source_id", "content", "level", "trusted", illegible))).alias("all"))
+    rows = F.filter("all", lambda x: x["trusted"])
+    of = lambda kind: F.filter(rows, lambda x: x["kind"] == kind)
     image_ocr = F.transform(of("IMAGE"), lambda x: F.struct(x["source_id"].alias("source_id"), x["content"].alias("text")))
-    out = out.select("case_id", "any_illegible", of("TEXT_STREAM").alias("streams"), image_ocr.alias("image_ocr"), F.filter("rows", lambda x: X.strip(x["content"]) != "").alias("sources"))
-    return out.select("case_id", F.array_join("streams.content", "\n").alias("combined_text"), F.array_join("image_ocr.text", "\n").alias("ocr_text"), "image_ocr", "any_illegible", "sources")
+    live = F.transform(F.filter(rows, lambda x: X.strip(x["content"]) != ""), lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "ordinal", "source_id", "content", "level")]))
+    return out.select(
+        "case_id", F.array_join(F.transform(of("TEXT_STREAM"), lambda x: x["content"]), "\n").alias("combined_text"), F.array_join(F.transform(of("IMAGE"), lambda x: x["content"]), "\n").alias("ocr_text"),
+        image_ocr.alias("image_ocr"), F.exists("all", lambda x: x["illegible"]).alias("any_illegible"), live.alias("sources"),
+    )

@@ -19,7 +19,7 @@ def decided(sources: DataFrame, config: Config = CONFIG) -> DataFrame:
     """
     bundle = trust.bundles(trust.apply_filters(sources))
     cases = resolve.consolidate(resolve.signals(bundle, config), bundle)
-    return decide.apply_policy(decide.adjudicate(cases.join(bundle, "case_id")), config)
+    return decide.apply_policy(decide.adjudicate(cases), config)
 
 
 def synthetic(spark: SparkSession, sf_dir: str, config: Config = CONFIG) -> DataFrame:
