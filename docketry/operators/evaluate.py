@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from docketry import tables as T
 
 
+#: Classes that every value of a feature is held against.
+MOST_CLASSES = 1000
+
+
 def base_rates(rows: DataFrame, cls: str) -> DataFrame:
+    """(class, n, rate); the total is one row, which every class meets."""
     out = rows.groupBy(F.coalesce(F.col(cls).cast("string"), F.lit("?")).alias("class")).agg(F.count("*").alias("n"))
-    # classes are few: the window runs over one row each
-    return out.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    total = rows.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
+    return out.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("class", "n", (F.col("n") / F.col("total")).alias("rate"))
 
 
 def crosstab(rows: DataFrame, features: list[str], cls: str) -> DataFrame:
@@ -24,7 +29,12 @@ def crosstab(rows: DataFrame, features: list[str], cls: str) -> DataFrame:
 
 
 def discrimination(tab: DataFrame, rates: DataFrame, least: int = 5) -> DataFrame:
-    """(feature, score): the largest |p - base| * sqrt(n) of its values with enough rows."""
+    """(feature, score): the largest |p - base| * sqrt(n) of its values with enough rows.
+
+    Every value meets every class, so classes have to be few; more than MOST_CLASSES are an error.
+    """
+    if rates.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
     total = tab.groupBy("feature", "value").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
     # a class that a value never has counts with p = 0
     cells = total.crossJoin(F.broadcast(rates.select("class", "rate")))
