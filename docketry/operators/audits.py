@@ -184,7 +184,8 @@ def feature_rows(filtered: DataFrame, sig: DataFrame, decided: DataFrame, truth:
     sources = filtered.groupBy("case_id").agg(
         F.count("*").alias("n_sources"), F.count_if(F.col("trusted") & (F.col("kind") == "TEXT_STREAM")).alias("n_trusted_text"),
         F.count_if(F.col("trusted") & (F.col("kind") == "IMAGE")).alias("n_trusted_image"), F.count_if(~F.col("trusted")).alias("n_untrusted"),
-        *[F.bool_or(~F.col("trusted") & F.contains("exclusion_reason", F.lit(w))).alias(n) for w, n in (("Injection", "any_injection_sanitized"), ("Redaction", "any_redaction_sanitized"), ("Illegibility", "any_illegibility_excluded"))],
+        *[F.bool_or(F.contains(F.array_join("sanitize_audit", " "), F.lit(w))).alias(n) for w, n in (("sanitized_lines", "any_injection_sanitized"), ("sanitized_redactions", "any_redaction_sanitized"))],
+        F.bool_or(~F.col("trusted") & F.contains("exclusion_reason", F.lit("Illegibility"))).alias("any_illegibility_excluded"),
     )
     signals = sig.groupBy("case_id").agg(F.count_if(F.col("type") == "FIELD_VALUE").alias("n_field_signals"), F.count_if(F.col("type") == "ADJUDICATOR_FINDING").alias("n_finding_signals"))
     ocr = F.array_join("image_ocr.text", " ")

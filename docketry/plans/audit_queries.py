@@ -198,7 +198,7 @@ _HAS = ", ".join(f"contains(lower(array_to_string(images, ' ')), {O.q(w)}) AS \"
 
 
 @query(f"""{_JUDGED}, fs AS (SELECT case_id, count(*)::BIGINT AS n_sources, (count(*) FILTER (WHERE trusted AND kind = 'TEXT_STREAM'))::BIGINT AS n_trusted_text, (count(*) FILTER (WHERE trusted AND kind = 'IMAGE'))::BIGINT AS n_trusted_image,
-(count(*) FILTER (WHERE NOT trusted))::BIGINT AS n_untrusted, false AS any_injection_sanitized, false AS any_redaction_sanitized, bool_or(NOT trusted) AS any_illegibility_excluded FROM f GROUP BY 1),
+(count(*) FILTER (WHERE NOT trusted))::BIGINT AS n_untrusted, bool_or(len(hits) > 0) AS any_injection_sanitized, bool_or(gone > 0) AS any_redaction_sanitized, bool_or(NOT trusted) AS any_illegibility_excluded FROM f GROUP BY 1),
 ns AS (SELECT case_id, count(*)::BIGINT AS n_field_signals FROM sig GROUP BY 1), ag AS (SELECT case_id, {', '.join(f"coalesce(max(n_sources) FILTER (WHERE key = '{f}'), 0)::BIGINT AS n_{f}" for f in audits.FEATURED)} FROM agree GROUP BY 1)
 SELECT case_id, final.verdict.tag AS rule_tag, final.verdict.conf AS rule_confidence, final.final.adj AS adjudication, final.final.conf AS confidence, n_sources, n_trusted_text, n_trusted_image, n_untrusted, any_injection_sanitized,
 any_redaction_sanitized, any_illegibility_excluded, coalesce(n_field_signals, 0)::BIGINT AS n_field_signals, (final.finding <> '')::BIGINT AS n_finding_signals, length(array_to_string(images, ' '))::BIGINT AS ocr_total_chars, {_HAS},
