@@ -101,6 +101,13 @@ def sweep(rows: DataFrame, configs: dict[str, Config]) -> DataFrame:
     return rows.drop("final").withColumn("__each", F.explode(each)).select("*", "__each.config", "__each.final").drop("__each")
 
 
+def complete(cases: DataFrame, predictions: DataFrame) -> DataFrame:
+    """One prediction for each of cases, in case order: those that have none (no source could be read) get the defaults, review, and the confidence of a failure."""
+    out = cases.select("case_id").distinct().join(predictions, "case_id", "left")
+    none = T.DEFAULTS | {"adjudication": "NEEDS_REVIEW", "confidence": T.CONFIDENCE["FALLBACK_extraction_fail"]}
+    return out.select("case_id", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in none.items()]).orderBy("case_id")
+
+
 def predictions(decided: DataFrame) -> DataFrame:
     """The product's rows: fields with defaults for what is missing, adjudication and confidence."""
     return decided.select(

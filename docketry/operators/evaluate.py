@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from docketry import tables as T
@@ -88,7 +88,15 @@ def weighted_loss(preds: DataFrame, truth: DataFrame) -> DataFrame:
     x = p.select(F.explode(F.array(*cell)).alias("x")).select("x.*")
     out = x.groupBy("field").agg(F.count_if("bad").alias("wrong"), F.count_if(F.col("bad") & F.col("default")).alias("wrong_default"), F.max("w").alias("w"), F.count("*").alias("n"))
     lost = F.col("wrong") / F.col("n") * F.col("w") / float(sum(T.WEIGHTS.values())) * 50
-    return out.select("field", "wrong", "wrong_default", lost.alias("lost"))
+    # nine rows: the fields, the dearest first
+    rank = F.rank().over(Window.orderBy(F.desc(F.col("wrong") * F.col("w"))))
+    return out.select("field", "wrong", "wrong_default", lost.alias("lost"), rank.alias("rank"))
+
+
+def observed(rows: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """rows, and what is counted of them as they pass: `observation.get` holds it after an action, without another one."""
+    seen = Observation(name)
+    return rows.observe(seen, *[F.count_if(c).alias(n) for n, c in counts.items()]), seen
 
 
 def case_scores(preds: DataFrame, truth: DataFrame) -> DataFrame:

@@ -352,7 +352,7 @@ def brier_delta(s, d):
 _LOSS = " UNION ALL ".join(f"SELECT '{f}' AS field, (count(*) FILTER (WHERE p.{f} <> t.{f}))::BIGINT AS wrong, (count(*) FILTER (WHERE p.{f} <> t.{f} AND p.{f} = {O.q(T.DEFAULTS[f])}))::BIGINT AS wrong_default, round((count(*) FILTER (WHERE p.{f} <> t.{f})) / count(*) * {w} / {sum(T.WEIGHTS.values())} * 50, 9) AS lost FROM preds p JOIN tr t USING (case_id)" for f, w in T.WEIGHTS.items())
 
 
-@query(f"{O.TO_FINAL}, {O.TRUE} {_LOSS}")
+@query(f"{O.TO_FINAL}, {O.TRUE}, ls AS ({_LOSS}) SELECT *, rank() OVER (ORDER BY wrong * (CASE field {' '.join(f"WHEN '{f}' THEN {w}" for f, w in T.WEIGHTS.items())} END) DESC)::INTEGER AS rank FROM ls")
 def weighted_loss(s, d):
     return evaluate.weighted_loss(predictions(s, d), synth.truth(s, d)).withColumn("lost", F.round("lost", 9))
 
@@ -501,7 +501,8 @@ def dedup_last_wins(s, d):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def anti_resume(s, d):
-    return _t(s, d, "documents").select("doc_id").join(_t(s, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    key = F.col("doc_id").alias("case_id")
+    return tables_io.pending(_t(s, d, "documents").select(key), _t(s, d, "labels").select(key)).withColumnRenamed("case_id", "doc_id")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")

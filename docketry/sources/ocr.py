@@ -14,7 +14,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.config import CONFIG, Config
@@ -144,6 +145,27 @@ def write_cache(read: DataFrame, path: str) -> None:
     cache_rows(read).write.mode("append").parquet(path)
 
 
+def read_cache(spark: SparkSession, config: Config = CONFIG) -> DataFrame | None:
+    """The cache in the config's folder, each pass of an image once; None if there is no folder or nothing in it."""
+    if not config.ocr_cache_dir:
+        return None
+    try:
+        rows = spark.read.schema("sha string, tag string, text string").parquet(config.ocr_cache_dir)
+    except AnalysisException:
+        return None
+    return rows.groupBy("sha", "tag").agg(F.first("text").alias("text"))
+
+
+def read_all(need: DataFrame, engine: Engine, out: str, config: Config = CONFIG) -> DataFrame:
+    """`recognize` with the config's cache: the result is written to `out` first, then what was read anew joins the cache."""
+    spark = need.sparkSession
+    recognize(need, engine, read_cache(spark, config), config).write.parquet(out)
+    read = spark.read.parquet(out)
+    if config.ocr_cache_dir:
+        write_cache(read, config.ocr_cache_dir)
+    return read
+
+
 def statuses(read: DataFrame) -> DataFrame:
     """(tag, status, n): how the passes ended, so that a missing program doesn't pass for blank pages."""
     return read.select(F.explode("passes").alias("p")).groupBy("p.tag", "p.status").agg(F.count("*").alias("n"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,22 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
+def parity(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(side, n): how many rows only one side has; no row means that both are the same."""
+    return differences(a, b).groupBy("side").agg(F.count("*").alias("n"))
+
+
+def materialized(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
+    """The table at path; it is built if it isn't there, or again if asked."""
+    try:
+        if not rebuild:
+            return spark.read.parquet(path)
+    except AnalysisException:
+        pass
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def sampled_ids(ids: list[str], n: int, seed: int) -> list[str]:
     """A seeded sample of sorted ids, on the driver: the list is a manifest of as many ids as a person asks for."""
     ids = sorted(ids)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docketry import tables as T
 from docketry.functions import text as X
 from docketry.config import Config
-from docketry.operators import audits, decide, resolve, trust
+from docketry.operators import audits, decide, evaluate, resolve, trust
 from docketry.sources import imaging, ocr, pdf, tables_io
 from docketry.streaming import incremental
 
@@ -266,6 +266,36 @@ def test_costly_passes_need_a_reason(page, text, passes):
     assert got == "\n".join([text] + ["\n".join([text] * 3)] * ("turned" in passes) + [text] * ("straight" in passes))
 
 
+def test_ocr_cache_folder(spark, tmp_path):
+    src = spark.createDataFrame([(f"c{k}", "image_0", "IMAGE", 0, bytes([k % 2]), "", 200, 200, "L", 1) for k in range(4)], pdf.SCHEMA)
+    calls, config = spark.sparkContext.accumulator(0), Config(ocr_cache_dir=str(tmp_path / "cache"))
+
+    def engine(image, psm, flags):
+        calls.add(1)
+        return f"{image[0]} at {psm}", "ok"
+
+    assert ocr.read_cache(spark, config) is None and ocr.read_cache(spark) is None
+    first = ocr.read_all(ocr.with_passes(src), engine, str(tmp_path / "one"), config)
+    again = ocr.read_all(ocr.with_passes(src), engine, str(tmp_path / "two"), config)
+    assert calls.value == 4 and sorted(r.text for r in first.collect()) == sorted(r.text for r in again.collect()) == ["0 at 6\n0 at 11", "1 at 6\n1 at 11"]
+
+
+def test_every_packet_has_a_prediction(spark):
+    cases = spark.createDataFrame([("b",), ("a",), ("a",)], "case_id string")
+    have = spark.createDataFrame([("b", *["x"] * 9, "DENIED", 0.9)], ", ".join(f"{c} string" for c in tables_io.PREDICTION[:-1]) + ", confidence double")
+    a, b = decide.complete(cases, have).collect()
+    assert (a.case_id, a.sponsor_id, a.adjudication, a.confidence) == ("a", "SPN-0000", "NEEDS_REVIEW", 0.34) and (b.case_id, b.adjudication) == ("b", "DENIED")
+
+
+def test_parity_materialized_and_observed(spark, tmp_path):
+    a, b = spark.range(5), spark.range(3, 6)
+    assert {r.side: r.n for r in tables_io.parity(a, b).collect()} == {"left": 3, "right": 1} and tables_io.parity(a, a).count() == 0
+    at = str(tmp_path / "t")
+    assert [tables_io.materialized(spark, at, lambda n=n: spark.range(n), again).count() for n, again in ((3, False), (5, False), (5, True))] == [3, 3, 5]
+    rows, seen = evaluate.observed(spark.range(10), "census", even=F.col("id") % 2 == 0, large=F.col("id") > 6)
+    assert rows.count() == 10 and seen.get == {"even": 5, "large": 3}
+
+
 def test_reread(spark):
     sig = spark.createDataFrame([("a", 1, "FIELD_VALUE", "sponsor_id", "SPN-1O4", "image_0", 0.9, ""), ("a", 2, "FIELD_VALUE", "sponsor_id", "SPN-1234", "image_0", 0.9, ""), ("a", 3, "FIELD_VALUE", "arrival_date", "2026-1", "text_stream_0", 0.9, ""),
                                  ("b", 1, "FIELD_VALUE", "arrival_date", "2026-O5", "image_0", 0.9, ""), ("b", 2, "FIELD_VALUE", "home_world", "?", "image_0", 0.9, "")], resolve.SIGNAL)
