@@ -178,7 +178,7 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     """
     often, own, turn = (common.fresh(docs, x) for x in ("times", "id", "turn"))
     times = mix(docs, **options).groupBy("doc_id").agg(F.max("times").alias(often)).withColumnRenamed("doc_id", own)
-    out = docs.join(times, docs[options.get("id_col", "doc_id")] == F.col(own)).filter(F.col(often) > 0)
+    out = docs.join(times.hint("merge"), docs[options.get("id_col", "doc_id")] == F.col(own)).filter(F.col(often) > 0)
     out = out.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(often).cast("int"))))
     return out.select(*[f"`{c}`" for c in docs.columns])
 
