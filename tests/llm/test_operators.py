@@ -605,6 +605,25 @@ def test_hard_rows_of_the_others(spark):
     assert [r.n_chars > 0 for r in op07_html.main_text(pages).orderBy("page_id", "n_chars").collect()][:2] == [False, False]
 
 
+def test_clashing_names(spark):
+    """Columns of the table that are named like results or parts of the operators change nothing."""
+    names = "size taken times kept keep_id component_id rep key n h bucket rank at site pos gone lines length piece sequence_id offset id sha turn s digest roots tile path rows valid conv label own dims".split()
+    more = lambda df: df.withColumns({n: F.lit("x") for n in names if n not in df.columns})
+    rows = lambda df: sorted(map(str, df.collect()))
+    few = docs(spark).limit(80)
+    for f in (lambda d: op01_pii.pseudonymise(d, KEY), op02_mixing.mix, op04_lines.drop_spread_lines, op05_exact.exact_groups, op06_minhash.near_groups, op10_packing.pack):
+        assert rows(f(more(few))) == rows(f(few))
+    model = op03_langid.train(few)
+    assert rows(op03_langid.predict(more(few), model)) == rows(op03_langid.predict(few, model)) and op03_langid.accepted(more(few), model).columns == more(few).columns
+    assert op02_mixing.repeated(more(few)).columns == more(few).columns
+    pages = spark.createDataFrame([(1, "u", "<article><p>One, two, three. Four.</article>")], "page_id long, url string, html string")
+    assert rows(op07_html.main_text(more(pages).withColumn("text", F.lit(1)))) == rows(op07_html.main_text(pages))
+    vectors = spark.createDataFrame([(k, [1.0, 0.01 * k], 1) for k in range(9)], "vec_id long, embedding array<double>, label int")
+    assert rows(op08_embeddings.near_vectors(more(vectors).withColumn("v", F.lit(1)))) == rows(op08_embeddings.near_vectors(vectors))
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    assert rows(op09_chat.format_conversations(more(turns).withColumn("segments", F.lit(1)))) == rows(op09_chat.format_conversations(turns))
+
+
 def test_pipeline(spark):
     df, d = docs(spark), SF
     columns = df.columns
