@@ -62,9 +62,11 @@ def apply_filters(sources: DataFrame) -> DataFrame:
     two, audit2 = without_redactions(F.col("content"))
     s = s.withColumns({"__b": audit2, "content": two})
     got, total = legibility(F.col("content"), domain_words())
-    s = s.withColumns({"__got": got, "__total": total})
+    # only images can be illegible: other texts aren't taken apart
+    image = F.col("kind") == "IMAGE"
+    s = s.withColumns({"__got": F.when(image, got), "__total": F.when(image, total)})
     ratio = F.col("__got") / F.col("__total")
-    bad = (F.col("kind") == "IMAGE") & (F.col("__total") >= T.LEAST_TOKENS) & (ratio < T.LEAST_RATIO)
+    bad = image & (F.col("__total") >= T.LEAST_TOKENS) & (ratio < T.LEAST_RATIO)
     why = F.format_string("Illegibility:real_word_ratio:%.2f (%d/%d)", ratio, "__got", "__total")
     s = s.withColumns({
         "trusted": ~F.coalesce(bad, F.lit(False)), "exclusion_reason": F.when(bad, why).otherwise(""),
