@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op01_pii, op02_mixing, op03_langid, op04_lines, op05_exact, op06_minhash, op07_html, op08_embeddings, op09_chat, op10_packing
+from . import op01_pii, op02_mixing, op03_langid, op04_lines, op05_exact, op06_minhash, op07_html, op08_embeddings, op09_chat, op10_packing, op11_repair
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,11 +72,16 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_repair.repair(op11_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_feistel_pii, op2_mix_sources, op3_language_id, op4_line_spread, op5_exact_dedup,
         op6_minhash_dedup, op7_main_text, op8_embedding_dedup, op9_chat_format, op10_pack,
+        op11_repair_conversations,
     )
 }
 
@@ -86,7 +91,75 @@ reach(id, root) AS (SELECT id, id FROM ids UNION SELECT b, root FROM reach JOIN
 part AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
 """
 
+#: CRC-32 of the bytes (a list of integers) that {0} makes.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, {0}), lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+#: The least of options (cost, letters) of which some are null, and an option behind an inserted turn.
+_LEAST = "list_sort(list_filter([{0}], lambda o: o IS NOT NULL))[1]"
+_ADD = "{{'c': {0}.c + {1}, 's': '{2}' || {0}.s}}"
+_NEVER = "{'c': 1000000000, 's': ''}"
+
+
+def _row_options(q: int, moves: dict[str, int]) -> str:
+    """The cheapest way on from state q through a row, behind which the states' ways are y0 to y3."""
+    ways = [_ADD.format(f"y{q}", 4, "D")]
+    free = "fault NOT IN ('blank', 'duplicate')"
+    late = "(CASE fault WHEN 'truncated' THEN 3 ELSE 0 END)"
+    ways += [f"CASE WHEN {free} AND left(role, 1) = '{x}' THEN {_ADD.format(f'y{t}', late, 'K')} END" for x, t in moves.items()]
+    ways += [f"CASE WHEN {free} THEN {_ADD.format(f'y{t}', f'3 + {late}', 'R')} END" for x, t in moves.items() if x in "ua"]
+    return f"{_LEAST.format(', '.join(ways))} AS x{q}"
+
+
+#: Ways on from each state, at most two turns inserted first.
+_WITH_INSERTS = ", ".join(
+    f"{_LEAST.format(', '.join([f'x{q}', *ways]))} AS y{q}"
+    for q, ways in enumerate((
+        [_ADD.format("x2", 3, "I"), _ADD.format("x3", 6, "II")], [_ADD.format("x2", 3, "I"), _ADD.format("x3", 6, "II")],
+        [_ADD.format("x3", 3, "I")], [_ADD.format("x2", 3, "I")],
+    ))
+)
+
 ORACLE_SQL = {
+    "op11_repair_conversations": rf"""
+WITH RECURSIVE src AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+d AS (SELECT *, {_CRC.format("list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)")} % 20 AS d FROM src),
+m AS (
+    SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, unnest(CASE d WHEN 3 THEN [0, 1] ELSE [0] END) AS copy,
+        CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM d WHERE d <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM m),
+f AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au') AS off,
+        count(*) OVER (PARTITION BY conv_id) AS n FROM o),
+ways AS (
+    SELECT DISTINCT conv_id, n + 1 AS i, {{'c': 0, 's': ''}} AS y0, {{'c': 6, 's': 'II'}} AS y1, {{'c': 3, 's': 'I'}} AS y2, {{'c': 0, 's': ''}} AS y3 FROM f
+    UNION ALL
+    SELECT conv_id, i, {_WITH_INSERTS} FROM (
+        SELECT f.conv_id, f.i, {", ".join(_row_options(q, m) for q, m in enumerate(({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})))}
+        FROM ways JOIN f ON f.conv_id IS NOT DISTINCT FROM ways.conv_id AND f.i = ways.i - 1)),
+best AS (SELECT conv_id, y0.c::BIGINT AS cost, y0.s AS audit FROM ways WHERE i = 1),
+step AS (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS p FROM best),
+spot AS (
+    SELECT conv_id, audit[p] AS e, len(replace(audit[1:p], 'I', '')) AS i, len(replace(audit[1:p], 'D', '')) - 1 AS place,
+        len(replace(audit, 'D', '')) % 2 AS odd FROM step),
+fixed AS (
+    SELECT spot.conv_id, sha256(string_agg(CASE e WHEN 'K' THEN role ELSE CASE (place - odd) % 2 WHEN 0 THEN 'user' ELSE 'assistant' END END
+        || ':' || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY place)) AS sha
+    FROM spot LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM spot.conv_id AND o.i = spot.i WHERE e <> 'D' GROUP BY 1),
+told AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, (count(*) FILTER (WHERE fault = 'blank'))::BIGINT AS blank,
+        (count(*) FILTER (WHERE fault = 'duplicate'))::BIGINT AS duplicate, (count(*) FILTER (WHERE fault = 'truncated'))::BIGINT AS truncated,
+        (count(*) FILTER (WHERE off))::BIGINT AS illegal FROM f GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN fixed ON fixed.conv_id IS NOT DISTINCT FROM c.conv_id
+""",
     "op4_line_spread": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 l AS (SELECT rid, doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM d),
