@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op01_pii, op02_mixing, op03_langid, op04_lines, op05_exact, op06_minhash, op07_html, op08_embeddings, op09_chat, op10_packing, op11_repair, op12_collocations
+from . import common, op01_pii, op02_mixing, op03_langid, op04_lines, op05_exact, op06_minhash, op07_html, op08_embeddings, op09_chat, op10_packing, op11_repair, op12_collocations, op13_media
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,12 +80,20 @@ def op12_collocations_mined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the shards are what the rows point at, so they stay as long as the rows
+    made = op13_media.media_columns(_table(spark, sf_dir, "documents"), common.new_path(spark, "shards"))
+    return made.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits", "shard", "offset",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_feistel_pii, op2_mix_sources, op3_language_id, op4_line_spread, op5_exact_dedup,
         op6_minhash_dedup, op7_main_text, op8_embedding_dedup, op9_chat_format, op10_pack,
-        op11_repair_conversations, op12_collocations_mined,
+        op11_repair_conversations, op12_collocations_mined, op13_media_columns,
     )
 }
 
