@@ -31,7 +31,7 @@ BYTES_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 128, 1 << 16, 1 << 24
 #: Bits of the bitmap of frequent phrases: a power of two, about so many for each phrase, in these bounds (64 MB at most).
 BITS_A_PHRASE, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 29
 #: Bytes of text that are taken together; a longer text is read in windows of that size.
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 #: Buckets of one row on their way to be added up, and rows that are added up together.
 BLOCK, FAN = 1 << 16, 64
 
@@ -161,7 +161,7 @@ def _passed(k: int, longest: int, buckets: int, top: int, full, parts):
     """One pass: exact counts of phrases of k words, and bucket counts of k+1 words. full, parts: broadcast bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(buckets, np.uint32) if k < longest else None
+        counts = np.zeros(buckets, _kind(top)) if k < longest else None
         bits = [np.frombuffer(b.value, np.uint8) if b is not None else None for b in (full, parts)]
         for words in _chunks(batches, longest):
             may = words.whole(k)
@@ -177,21 +177,26 @@ def _passed(k: int, longest: int, buckets: int, top: int, full, parts):
             if counts is not None:
                 longer = words.whole(k + 1) & words.begins
                 longer[:-1] &= may[:-1] & may[1:]
-                np.add.at(counts, (words.hashes(k + 1)[longer] & np.uint64(buckets - 1)).astype(np.int64), np.uint32(1))
+                at, n = np.unique(words.hashes(k + 1)[longer] & np.uint64(buckets - 1), return_counts=True)
+                # more than `top` is as good as top
+                counts[at] = np.minimum(counts[at] + n, top)
         if counts is not None:
-            # more than `top` is as good as top
-            small = np.minimum(counts, top).astype(np.uint32 if top > 255 else np.uint8)
             for b in range(0, buckets, BLOCK):
-                part = small[b : b + BLOCK]
+                part = counts[b : b + BLOCK]
                 if part.any():
                     yield _rows(None, None, [b // BLOCK], [1], pa.array([part.tobytes()], pa.binary()))
 
     return run
 
 
+def _kind(top: int) -> type:
+    """Numbers that hold counts up to `top`."""
+    return np.uint8 if top <= 255 else np.uint32
+
+
 def _summed(top: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kind = np.uint32 if top > 255 else np.uint8
+        kind = _kind(top)
         total = sum(np.frombuffer(d, kind).astype(np.int64) * n for d, n in zip(rows["data"], rows["n"], strict=True))
         return pd.DataFrame({"h": [rows["h"].iloc[0]], "data": [np.minimum(total, top).astype(kind).tobytes()], "n": [1]})
 
@@ -211,7 +216,7 @@ def _full_buckets(rows: DataFrame, buckets: int, top: int) -> bytes:
     bits = np.zeros(buckets, bool)
     for row in rows.groupBy("h").applyInPandas(_summed(top), "h long, data binary, n long").toLocalIterator():
         lo = row["h"] * BLOCK
-        bits[lo : lo + BLOCK] = np.frombuffer(row["data"], np.uint32 if top > 255 else np.uint8) >= top
+        bits[lo : lo + BLOCK] = np.frombuffer(row["data"], _kind(top)) >= top
     return np.packbits(bits, bitorder="little").tobytes()
 
 
