@@ -6,10 +6,11 @@ and the driver share, so a lost executor never takes intermediate rows with it.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,10 +56,25 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def release() -> None:
-    """Delete this thread's scratch tables. Call it only when every frame built on them has been written."""
-    while _tables():
-        delete(*_tables().pop())
+@contextlib.contextmanager
+def scope() -> Iterator[list[tuple[SparkSession, str]]]:
+    """Lists the scratch tables that this thread makes inside, and keeps them out of any scope around.
+
+    Whoever opened the scope may release() them when every frame built on them has been written; what
+    was made outside stays.
+    """
+    outer, mine = _tables(), []
+    _state.tables = mine
+    try:
+        yield mine
+    finally:
+        _state.tables = outer
+
+
+def release(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete these scratch tables."""
+    while tables:
+        delete(*tables.pop())
 
 
 def delete(spark: SparkSession, path: str) -> None:
