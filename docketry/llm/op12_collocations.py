@@ -33,7 +33,9 @@ BITS_A_PHRASE, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 29
 #: Bytes of text that are taken together; a longer text is read in windows of that size.
 CHUNK = 3 << 20
 #: Buckets of one row on their way to be added up, and rows that are added up together.
-BLOCK, FAN = 1 << 16, 64
+BLOCK, FAN = 1 << 14, 1000
+#: Frequent phrases in one file.
+ROWS_A_FILE = 1_000_000
 
 _BREAKS, _GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _CLASS = np.zeros(256, np.uint8)
@@ -214,7 +216,7 @@ def _full_buckets(rows: DataFrame, buckets: int, top: int) -> bytes:
         salt = F.pmod(F.xxhash64("data"), F.lit(most))
         rows = common.store(rows.groupBy("h", salt.alias("salt")).applyInPandas(_summed(top), "h long, data binary, n long"), "buckets")
     bits = np.zeros(buckets, bool)
-    for row in rows.groupBy("h").applyInPandas(_summed(top), "h long, data binary, n long").toLocalIterator():
+    for row in rows.groupBy("h").applyInPandas(_summed(top), "h long, data binary, n long").collect():
         lo = row["h"] * BLOCK
         bits[lo : lo + BLOCK] = np.frombuffer(row["data"], _kind(top)) >= top
     return np.packbits(bits, bitorder="little").tobytes()
@@ -227,7 +229,7 @@ def _bitmap(frequent: DataFrame) -> bytes:
     at = F.pmod("h", F.lit(size)) + 1
     parts = frequent.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = bytearray(size // 8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():
         lo = (row["part"] - 1) * 4096
         out[lo : lo + 4096] = row["bits"]
     return bytes(out)
@@ -270,7 +272,8 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.drop("h"), totals
+    # many passes' small files become few
+    return common.store(out.drop("h").coalesce(max(1, out.count() // ROWS_A_FILE)), "frequent"), totals
 
 
 def _slice(words: Column, start: Column | int, size: Column | int) -> Column:

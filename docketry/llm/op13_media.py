@@ -12,6 +12,8 @@ so a task that runs again, or twice at a time, leaves the same file.
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import hashlib
 import io
 import struct
@@ -226,11 +228,18 @@ def repacked(index: DataFrame, places: DataFrame, folder: str, shard_bytes: int
     out = common.store(rest.unionByName(moved), "index")
     _clean(spark, folder)
     # the new places are stored, so nothing names these shards any more
-    for row in poor.select("shard").toLocalIterator():
-        common.delete(spark, f"{folder}/{row['shard']}")
+    poor.select("shard").foreachPartition(functools.partial(_deleted, folder))
     return out
 
 
+def _deleted(folder: str, shards: Iterator) -> None:
+    fs, root = _filesystem(folder)
+    for row in shards:
+        # a task that runs again finds them gone
+        with contextlib.suppress(FileNotFoundError):
+            fs.delete_file(f"{root}/{row['shard']}")
+
+
 def _dealt(index: DataFrame, parts: int) -> DataFrame:
     """Members in the order of their places, in so many ranges; a range reads on from where it is."""
     return index.repartitionByRange(max(1, int(parts)), "shard", "offset").sortWithinPartitions("shard", "offset")

@@ -101,7 +101,8 @@ def test_equal_phrases_have_equal_hashes():
 
 
 @pytest.mark.parametrize("top", [100, 1000])
-def test_buckets_add_up_over_many_tasks(spark, top):
+def test_buckets_add_up_over_many_tasks(spark, top, monkeypatch):
+    monkeypatch.setattr(op, "FAN", 64)
     kind = np.uint8 if top <= 255 else np.uint32
     rng = np.random.default_rng(1)
     rows, total = [], np.zeros((2, op.BLOCK), np.int64)
