@@ -19,6 +19,7 @@ class Config:
     finding_bypass: bool = True
     ocr_only_guard: bool = True
     defensive_downgrade: bool = False
+    reread: bool = True
     sharpen_pass: bool = True
     sparse_text_pass: bool = True
     rotation_pass: bool = False

@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.config import CONFIG, Config
 from docketry.operators import decide, resolve, trust
+from docketry.sources import ocr
 
 from . import synth
 
 
-def decided(sources: DataFrame, config: Config = CONFIG) -> DataFrame:
+@dataclass(frozen=True)
+class Rereads:
+    """What failed image values are read again with: the engine, and images as ocr.late_images() takes them."""
+
+    engine: ocr.Engine
+    images: DataFrame
+    folder: str | None = None
+
+
+def decided(sources: DataFrame, config: Config = CONFIG, rereads: Rereads | None = None) -> DataFrame:
     """One row for each case: fields, provenance, agreement, bundle, verdict and final.
 
     The sources are shuffled once, by case; all that follows stays where a case's rows are, and the
-    plan reads that exchange again instead of filtering the sources again.
+    plan reads that exchange again instead of filtering the sources again. With `rereads`, image values
+    that lack their form are read again before the signals of their case are resolved, so each case
+    is decided once; only the failing keys meet the images.
     """
     bundle = trust.bundles(trust.apply_filters(sources))
-    cases = resolve.consolidate(resolve.signals(bundle, config), bundle)
+    signals = resolve.signals(bundle, config)
+    if rereads is not None and config.reread:
+        signals = ocr.with_rereads(signals, ocr.reread(signals, rereads.images, rereads.engine, rereads.folder))
+    cases = resolve.consolidate(signals, bundle)
     return decide.apply_policy(decide.adjudicate(cases), config)
 
 

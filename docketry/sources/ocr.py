@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from docketry.config import CONFIG, Config
 
-from . import imaging
+from . import blobs, imaging
 
 #: (image bytes, page segmentation mode, further flags) -> (text, status); status is 'ok' or why there is no text.
 Engine = Callable[[bytes, int, list[str]], tuple[str, str]]
@@ -185,15 +185,27 @@ def read_images(sources: DataFrame, texts: DataFrame, config: Config = CONFIG) -
     return out.withColumn("content", F.when(F.col("kind") == "IMAGE", F.coalesce("text", F.lit(""))).otherwise(F.col("content"))).drop("text")
 
 
-def reread(signals: DataFrame, images: DataFrame, engine: Engine) -> DataFrame:
-    """(case_id, seq, value) of the image signals whose value lacks its form and whose image, read with the field's letters alone, shows one that has it.
-
-    Only signals that fail their form meet the images (case_id, source_id, raw).
-    """
+def failing(signals: DataFrame) -> DataFrame:
+    """(case_id, seq, key, source_id) of the image signals whose value lacks its field's form: what is worth another reading."""
     bad = F.lit(False)
     for field, (_, form) in REREAD.items():
-        bad = bad | ((F.col("key") == field) & ~F.col("value").rlike(form))
-    need = signals.filter(F.col("source_id").startswith("image_") & bad).select("case_id", "seq", "key", "source_id")
+        bad = bad | ((F.col("key") == field) & ~F.coalesce("value", F.lit("")).rlike(form))
+    return signals.filter(F.col("source_id").startswith("image_") & bad).select("case_id", "seq", "key", "source_id")
+
+
+def late_images(need: DataFrame, images: DataFrame, folder: str | None = None) -> DataFrame:
+    """need (case_id, source_id, ...) with the image bytes as `raw`.
+
+    images: (case_id, source_id, place) of bytes in `folder`, or (case_id, source_id, raw). With places
+    nothing but keys travels; the bytes of the rows that are left are read where these rows are.
+    """
+    if folder is None:
+        return need.join(images.select("case_id", "source_id", "raw"), ["case_id", "source_id"])
+    return blobs.fetch(need.join(images.select("case_id", "source_id", "place"), ["case_id", "source_id"]), folder)
+
+
+def reread(signals: DataFrame, images: DataFrame, engine: Engine, folder: str | None = None) -> DataFrame:
+    """(case_id, seq, value) of the failing() signals whose image, read with the field's letters alone, shows a value that has its form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,15 +214,19 @@ def reread(signals: DataFrame, images: DataFrame, engine: Engine) -> DataFrame:
                 letters, form = REREAD[key]
                 text, _ = engine(raw, 6, ["-c", f"tessedit_char_whitelist={letters}"])
                 rows.append((case, seq, next((w for w in text.split() if re.match(form, w)), None)))
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, ["case_id", "seq", "value"])
+            if rows:
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, ["case_id", "seq", "value"])
 
-    got = need.join(images.select("case_id", "source_id", "raw"), ["case_id", "source_id"]).select("case_id", "seq", "key", "raw")
+    got = late_images(failing(signals), images, folder).select("case_id", "seq", "key", "raw")
     return got.mapInArrow(run, "case_id string, seq long, value string").filter("value is not null")
 
 
 def with_rereads(signals: DataFrame, repaired: DataFrame) -> DataFrame:
-    """signals with the values of `reread` in place of those that lacked their form."""
-    new = repaired.select("case_id", "seq", F.col("value").alias("new"))
-    return signals.join(new, ["case_id", "seq"], "left").withColumn("value", F.coalesce("new", "value")).drop("new").select(signals.columns)
+    """signals with the values of `reread` in place of those that lacked their form.
 
+    What was read again is gathered by case, so signals that lie together by case stay where they are.
+    """
+    new = repaired.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("seq", "value"))).alias("__new"))
+    out = signals.join(new, "case_id", "left")
+    return out.withColumn("value", F.coalesce(F.try_element_at("__new", F.col("seq")), "value")).select(signals.columns)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import array
+import itertools
 import random
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,6 +83,41 @@ def sampled_ids(ids: list[str], n: int, seed: int) -> list[str]:
     return ids[:n]
 
 
+def ranked(ids: DataFrame, id_col: str, folder: str) -> DataFrame:
+    """(id_col, rank) of the distinct ids in order, from 0. Sorted rows are kept in `folder`.
+
+    Ids are sorted by ranges, so no task sees all of them; the driver gets one count for each range.
+    """
+    spark = ids.sparkSession
+    place = F.monotonically_increasing_id()
+    rows = ids.select(id_col).filter(F.col(id_col).isNotNull()).distinct().orderBy(id_col)
+    rows.select(id_col, F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("own")).write.mode("overwrite").parquet(folder)
+    rows = spark.read.parquet(folder)
+    counts = sorted(map(tuple, rows.groupBy("part").agg(F.count("*")).collect()))
+    before = itertools.accumulate((n for _, n in counts), initial=0)
+    starts = spark.createDataFrame([(part, n) for (part, _), n in zip(counts, before, strict=False)], "part long, start long")
+    return rows.join(F.broadcast(starts), "part").select(id_col, (F.col("start") + F.col("own")).alias("rank"))
+
+
+def seeded_sample(ids: DataFrame, id_col: str, n: int, seed: int, folder: str) -> DataFrame:
+    """(id_col, place) of the n ids that a seeded shuffle of all sorted ids puts first, and their places in it.
+
+    The same ids as random.Random(seed).shuffle() of the sorted list gives. The driver shuffles numbers,
+    8 bytes for each distinct id; the ids stay where they are. Repeated ids count once, null ones not at all;
+    more than there are gives all.
+    """
+    spark, rows = ids.sparkSession, ranked(ids, id_col, folder)
+    order = array.array("q", range(rows.count()))
+    random.Random(seed).shuffle(order)
+    table = pa.table({"rank": pa.array(order[:n], pa.int64()), "place": pa.array(range(min(n, len(order))), pa.int64())})
+    return rows.join(spark.createDataFrame(table), "rank").select(id_col, "place")
+
+
+def in_manifest(rows: DataFrame, manifest: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id the manifest names; it may name ids twice, or ids that rows don't have."""
+    return rows.join(manifest.select(id_col), id_col, "left_semi")
+
+
 def newest(runs: DataFrame) -> DataFrame:
     return runs.agg(F.max_by("path", "modificationTime").alias("path"))
 
