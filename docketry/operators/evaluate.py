@@ -99,6 +99,11 @@ def observed(rows: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, O
     return rows.observe(seen, *[F.count_if(c).alias(n) for n, c in counts.items()]), seen
 
 
+def with_counters(rows: DataFrame, seen: Observation) -> DataFrame:
+    """rows with what a finished run counted, the same numbers in each row."""
+    return rows.select("*", *[F.lit(v).cast("long").alias(k) for k, v in seen.get.items()])
+
+
 def case_scores(preds: DataFrame, truth: DataFrame) -> DataFrame:
     """What section_scores takes, and case_id: weights of the right fields, points of the verdict, squared error of the confidence."""
     p = preds.select("case_id", *[F.col(f).alias(f"p_{f}") for f in T.FIELDS], F.col("adjudication").alias("pred"), "confidence")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.config import Config
-from docketry.sources import imaging, ocr, pdf, shared
+from docketry.sources import blobs, imaging, ocr, pdf, shared
 
 from .catalogue import _t, query
 
@@ -78,15 +78,37 @@ def _packet(key: int, name: str) -> bytes:
     return b"%PDF-1.4\n" + b"".join(b"<< " + head + b" >>\nstream\n" + body + b"\nendstream\n" for head, body in parts)
 
 
-@query("""SELECT 'N-' || lpad(n_nationkey::VARCHAR, 3, '0') AS case_id, u.source_id, u.kind, u.content, u.width, u.mode FROM (SELECT *, unnest([
+def _put_packets(at: str):
+    """Writes the packets of (n_nationkey, n_name) rows, and of every tenth one a copy that is cut off."""
+
+    def run(rows: Iterator) -> None:
+        fs, root = blobs.filesystem(at)
+        fs.create_dir(root)
+        for r in rows:
+            whole = _packet(r["n_nationkey"], r["n_name"])
+            files = {f"N-{r['n_nationkey']:03d}.pdf": whole}
+            if r["n_nationkey"] % 10 == 9:
+                files[f"T-{r['n_nationkey']:03d}.pdf"] = whole[: whole.index(b">>\nstream\n", whole.index(b"endstream")) + 20]
+            for name, data in files.items():
+                with fs.open_output_stream(f"{root}/{name}") as out:
+                    out.write(data)
+
+    return run
+
+
+@query("""SELECT 'N-' || lpad(n_nationkey::VARCHAR, 3, '0') AS case_id, u.source_id, u.kind, u.content, u.width, u.mode, 'ok' AS status FROM (SELECT *, unnest([
 {'source_id': 'text_stream_0', 'kind': 'TEXT_STREAM', 'content': 'Applicant: ' || n_name || chr(10) || 'Fee: paid', 'width': 0, 'mode': ''}, {'source_id': 'text_stream_1', 'kind': 'TEXT_STREAM', 'content': 'Note (' || n_nationkey || ')', 'width': 0, 'mode': ''},
-{'source_id': 'image_0', 'kind': 'IMAGE', 'content': 'Sponsor: SPN-' || lpad(n_nationkey::VARCHAR, 4, '0'), 'width': 128, 'mode': 'L'}]) AS u FROM nation)""")
+{'source_id': 'image_0', 'kind': 'IMAGE', 'content': 'Sponsor: SPN-' || lpad(n_nationkey::VARCHAR, 4, '0'), 'width': 128, 'mode': 'L'}]) AS u FROM nation)
+UNION ALL SELECT 'T-' || lpad(n_nationkey::VARCHAR, 3, '0'), u.source_id, u.kind, u.content, 0, '', u.status FROM (SELECT *, unnest([
+{'source_id': 'text_stream_0', 'kind': 'TEXT_STREAM', 'content': 'Applicant: ' || n_name || chr(10) || 'Fee: paid', 'status': 'ok'}, {'source_id': '', 'kind': '', 'content': '', 'status': 'truncated'}]) AS u FROM nation WHERE n_nationkey % 10 = 9)""")
 def file_scan(s, d):
-    """A folder of packets, one for each nation, listed by Spark, cut into streams, and its images read."""
+    """A folder of packets, one for each nation and some cut off, listed by Spark, cut into streams by the table function, and its images read."""
     at = f"{shared.shared_dir(s)}/docketry-packets-{uuid.uuid4().hex}"
-    for r in _t(s, d, "nation").select("n_nationkey", "n_name").collect():
-        shared.put(s, f"{at}/N-{r['n_nationkey']:03d}.pdf", _packet(r["n_nationkey"], r["n_name"]))
     shared.put(s, f"{at}/notes.txt", b"no packet")
-    sources = pdf.read_sources(pdf.packets(s, at))
-    out = ocr.read_images(sources, ocr.recognize(ocr.with_passes(sources), read_points))
-    return out.select("case_id", "source_id", "kind", "content", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("mode", F.lit("")).alias("mode"))
+    _t(s, d, "nation").select("n_nationkey", "n_name").foreachPartition(_put_packets(at))
+    found = pdf.scan(pdf.packets(s, at))
+    sources = found.filter("status = 'ok'").drop("status")
+    read = ocr.read_images(sources, ocr.recognize(ocr.with_passes(sources), read_points)).withColumn("status", F.lit("ok"))
+    out = read.unionByName(found.filter("status <> 'ok'").drop("raw"))
+    none = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    return out.select("case_id", none("source_id", ""), none("kind", ""), none("content", ""), none("width", 0), none("mode", ""), "status")

@@ -141,19 +141,54 @@ def cache_rows(read: DataFrame) -> DataFrame:
     return read.select("sha", F.explode("passes").alias("p")).filter("p.fresh and p.status in ('ok', 'not needed')").select("sha", "p.tag", "p.text")
 
 
+#: Folders of the cache, by the first digits of the hash.
+_PREFIX = 2
+_CACHE = "sha string, tag string, text string, prefix string"
+
+
 def write_cache(read: DataFrame, path: str) -> None:
-    cache_rows(read).write.mode("append").parquet(path)
+    """Append what was read anew; a batch that comes again, in whole or in part, adds nothing."""
+    append_cache(cache_rows(read), path)
 
 
-def read_cache(spark: SparkSession, config: Config = CONFIG) -> DataFrame | None:
-    """The cache in the config's folder, each pass of an image once; None if there is no folder or nothing in it."""
-    if not config.ocr_cache_dir:
-        return None
+def append_cache(rows: DataFrame, path: str) -> None:
+    """rows (sha, tag, text) that the cache doesn't have, each key once, in folders by the hash's first digits.
+
+    The keys that are there are read in the folders that the rows belong to, and no texts. Of rows with one
+    key the least text counts. One run appends at a time; what two appended at a time is one key to readers.
+    """
+    spark = rows.sparkSession
+    new = rows.groupBy("sha", "tag").agg(F.min("text").alias("text")).withColumn("prefix", F.substring("sha", 1, _PREFIX))
+    held = _held(spark, path)
+    if held is not None:
+        new = new.join(held.select("prefix", "sha", "tag"), ["prefix", "sha", "tag"], "left_anti")
+    new.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
+
+
+def _held(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        rows = spark.read.schema("sha string, tag string, text string").parquet(config.ocr_cache_dir)
+        # folder names are digits of a hash, and no numbers
+        return spark.read.schema(_CACHE).parquet(path)
     except AnalysisException:
         return None
-    return rows.groupBy("sha", "tag").agg(F.first("text").alias("text"))
+
+
+def read_cache(spark: SparkSession, config: Config = CONFIG) -> DataFrame | None:
+    """The cache in the config's folder, each pass of an image once; None if there is no folder or nothing in it."""
+    held = _held(spark, config.ocr_cache_dir) if config.ocr_cache_dir else None
+    return held.groupBy("prefix", "sha", "tag").agg(F.min("text").alias("text")) if held is not None else None
+
+
+def lookup(need: DataFrame, cache: DataFrame | None) -> DataFrame:
+    """need (sha, tag, ...) with the cached text, null where it has to be read; only the folders of the hashes asked for are read."""
+    if cache is None:
+        return need.withColumn("text", F.lit(None).cast("string"))
+    asked = need.withColumn("prefix", F.substring("sha", 1, _PREFIX))
+    # hashes have 256 beginnings; where there are more, all folders are read
+    some = asked.select("prefix").distinct().limit(257).collect()
+    if len(some) <= 256:
+        cache = cache.filter(F.col("prefix").isin(*[r["prefix"] for r in some]))
+    return asked.join(cache.select("prefix", "sha", "tag", "text"), ["prefix", "sha", "tag"], "left").select(*need.columns, "text")
 
 
 def read_all(need: DataFrame, engine: Engine, out: str, config: Config = CONFIG) -> DataFrame:
@@ -177,6 +212,18 @@ def composed(read: DataFrame, tags: list[str]) -> DataFrame:
     return read.select("sha", F.array_join(F.filter(F.array(*map(of, tags)), lambda x: x.isNotNull() & (x != "")), "\n").alias("text"))
 
 
+def replayed(passes: DataFrame, compositions: DataFrame, key: list[str]) -> DataFrame:
+    """(composition, *key, text): what each composition makes of texts that were read already, for all of them by one shuffle.
+
+    passes: (*key, tag, text). compositions: (composition, place, tag), a row for each pass of each, in
+    any number. Texts join in the order of places, then of texts; empty and null ones are left out. Keys that
+    have none of a composition's passes have no row of it.
+    """
+    uses = passes.select(*key, "tag", "text").filter("text <> ''").join(compositions, "tag")
+    parts = F.array_sort(F.collect_list(F.struct("place", "text")))
+    return uses.groupBy("composition", *key).agg(parts.alias("parts")).select("composition", *key, F.array_join("parts.text", "\n").alias("text"))
+
+
 def read_images(sources: DataFrame, texts: DataFrame, config: Config = CONFIG) -> DataFrame:
     """sources with the content of images filled in; raw bytes are dropped here."""
     need = with_passes(sources, config).select("case_id", "source_id", "sha")

@@ -42,7 +42,8 @@ def write_report(tables: dict[str, DataFrame], path: str) -> None:
     """Each table as JSON lines in a folder of its own, largest counts first where it has counts."""
     for name, d in tables.items():
         order = [F.desc("n"), *[c for c, t in d.dtypes if t == "string"]] if "n" in d.columns else d.columns
-        d.orderBy(*order).coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
+        # in order over all files: as many as the sort has ranges, so no task writes a whole table
+        d.orderBy(*order).write.mode("overwrite").json(f"{path}/{name}")
 
 
 def pending(cases: DataFrame, done: DataFrame) -> DataFrame:
@@ -65,19 +66,29 @@ def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     return differences(a, b).groupBy("side").agg(F.count("*").alias("n"))
 
 
-def materialized(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
-    """The table at path; it is built if it isn't there, or again if asked."""
+def materialized(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False, of: str = "") -> DataFrame:
+    """The table at path; it is built if it isn't there, if it was made of something else than `of`, or if asked.
+
+    `of` names what it is made of, say its input's files and their times (see fingerprint()); it is kept beside the table and
+    written last, so a table that was never finished counts as not there.
+    """
     try:
-        if not rebuild:
-            return spark.read.parquet(path)
-    except AnalysisException:
+        if not rebuild and spark.read.text(f"{path}/of").first()["value"] == of:
+            return spark.read.parquet(f"{path}/rows")
+    except (AnalysisException, TypeError):
         pass
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    build().write.mode("overwrite").parquet(f"{path}/rows")
+    spark.createDataFrame([(of,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/of")
+    return spark.read.parquet(f"{path}/rows")
+
+
+def fingerprint(files: DataFrame) -> str:
+    """One number of the files (path, length, modificationTime) that a table is made of: a sum, so their order doesn't matter."""
+    return str(files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0])
 
 
 def sampled_ids(ids: list[str], n: int, seed: int) -> list[str]:
-    """A seeded sample of sorted ids, on the driver: the list is a manifest of as many ids as a person asks for."""
+    """A seeded sample of a list of ids that is on the driver already; seeded_sample() takes one of a table."""
     ids = sorted(ids)
     random.Random(seed).shuffle(ids)
     return ids[:n]

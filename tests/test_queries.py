@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from docketry.operators import evaluate
-from docketry.plans import audit_queries, catalogue, scan_queries  # noqa: F401
+from docketry.plans import audit_queries, catalogue, join_queries, scan_queries  # noqa: F401
 from docketry.plans import oracle as O
 
 DATA = "/root/testdata/sf0.001"
