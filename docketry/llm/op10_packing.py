@@ -29,6 +29,8 @@ from . import common
 CAPACITY, END, GROUPS, SMALL = 4096, 1, 24, 8
 #: Entries of each of the two generations of a worker's word cache.
 CACHE = 400_000
+#: Letters of the longest word that is kept there: the cache is bounded by bytes too, whatever the texts hold.
+KEPT = 64
 #: Rows of one (length, bucket) that one task ranks, about.
 RANKED = 50_000
 #: Runs of a plan that are broadcast; a longer plan is read by a join.
@@ -97,7 +99,8 @@ class Words(dict):
                 out = array("I", [rank[r] for p in self.parts(word.lower()) for r in piece(p.encode() + b"\xff")]).tobytes()
             else:
                 out = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = out
+        if len(word) <= KEPT:
+            self[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
