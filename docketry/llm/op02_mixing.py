@@ -127,7 +127,8 @@ def mix(
     size counts words; null text has 0 and is never taken more than 0 words (its `times` follow
     its source's whole part only). Sources are ordered by code point, null last and a source of
     its own; there may be any number of them. `taken` is times * size. What a source takes is short
-    of its target, rounded, by less than the shortest of its documents that could be taken once more.
+    of its target, rounded, by less than the shortest of its documents that could be taken once more;
+    of a rest of over `dp_words` words, what lies beyond them is filled in proportion and greedily first.
     Ties in length are broken by a seeded hash of the id; rows that repeat an id count alike. Texts
     are read whole. An empty table gives an empty result, and other columns are not read.
     """

@@ -89,8 +89,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when they are the same code points; null counts as empty. The row with the
     largest id of a group stays. Rows that repeat an id with an equal text all count and are all
-    marked kept if their id is the largest. Other columns of docs are not read; an empty table
-    gives an empty result.
+    marked kept if their id is the largest. Texts of any length are compared whole, in chunks of at
+    most 32 KB. Other columns of docs are not read; an empty table gives an empty result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     common.bounded_batches(docs.sparkSession)
