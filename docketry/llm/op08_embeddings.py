@@ -1,17 +1,18 @@
 """Embedding near-dedup by a subspace pigeonhole join.
 
 Unit vectors are rotated and cut into BLOCKS blocks. If two vectors lie within squared distance D,
-then in at least one block they lie within their share of D. So each block is range-joined under
-its share of the budget, the union of what the blocks admit are the candidates, and each candidate
-is verified by its cosine in double precision. The blocks of a pair are looked at one after the
-other: a pair whose blocks so far exceed the whole budget is out, so nearly all pairs are out after
-the first block, and only it is computed for whole tiles at once.
+then in at least one block they lie within their share of D, which is in proportion to the block's
+dimensions. So each block is range-joined under its share alone, the union of what the blocks admit
+are the candidates, and each candidate is verified by its cosine in double precision.
 
 The vectors of a label are dealt into tiles, and every two tiles meet once, in one task; pairs are
-counted and joined there and never leave it. A vector goes to as many tasks as its label has tiles.
-Nothing cheaper is exact for vectors that fill all directions: at a cosine of 0.93 the share of a
-block is about as wide as the block's coordinates spread, so a grid or pivots would leave most
-cells side by side, once for each block (see the README).
+counted and joined there and never leave it. In a task each block is joined by a sweep: rows are
+sorted along the direction in which the block spreads most, a strip of them meets the window of rows
+that its share reaches, and the block's distance decides. A vector goes to as many tasks as its
+label has tiles. At a cosine of 0.93 a block's share is about as wide as the block itself, so a window
+leaves out only half of the rows or less, and the block's distances tell candidates from others: the
+candidates that are verified are few, the distances in blocks grow with the square of a label (see
+the README).
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from . import common
 from .op06_minhash import _groups, _roots
 
 BLOCKS = 4
-#: Vectors of a tile, and of one side that is compared at a time.
-TILE, STRIP = 2048, 512
+#: Vectors of a tile, of a part of it that is joined at a time, and of a strip of the part that sweeps over the other tile.
+TILE, PART, STRIP = 2048, 1024, 128
 
 
 def rotation(dims: int, seed: int = 8) -> np.ndarray:
@@ -75,22 +76,36 @@ def _rotations(dims: int) -> np.ndarray:
     return _known[dims]
 
 
+def _within(a: np.ndarray, b: np.ndarray, share: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Range join of one block: the pairs of rows of a and b within squared distance `share`, as numbers of rows."""
+    both = np.concatenate([a, b])
+    spread = np.linalg.eigh(np.cov(both, rowvar=False).reshape(a.shape[1], -1))[1][:, -1]
+    reach = np.sqrt(share)
+    at, to = a @ spread, b @ spread
+    rows, cols = np.argsort(at), np.argsort(to)
+    at, to = at[rows], to[cols]
+    # distances as one product: (x, |x|^2, 1) by (-2 y, 1, |y|^2)
+    x = np.column_stack([a, (a * a).sum(1), np.ones(len(a))])[rows].astype(np.float32)
+    y = np.column_stack([-2 * b, np.ones(len(b)), (b * b).sum(1)])[cols].astype(np.float32).T
+    first, second = [], []
+    for lo in range(0, len(rows), STRIP):
+        hi = min(lo + STRIP, len(rows))
+        left, right = np.searchsorted(to, at[lo] - reach), np.searchsorted(to, at[hi - 1] + reach, "right")
+        hit = np.flatnonzero((x[lo:hi] @ y[:, left:right]).ravel() <= share)
+        if len(hit):
+            first.append(rows[lo + hit // (right - left)])
+            second.append(cols[left + hit % (right - left)])
+    return first, second
+
+
 def candidates(turned: np.ndarray, x: np.ndarray, y: np.ndarray, cosine: float, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of x and y (numbers of rows of turned) that some block admits and whose blocks together may fit the budget."""
-    cut, most = _cut(turned.shape[1], blocks), _budgets(turned.shape[1], blocks, cosine)
-    all_ = most.sum()
-    a, b = (turned[k, slice(*cut[0])].astype(np.float32) for k in (x, y))
-    far = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    i, j = np.nonzero(far <= all_)
-    sums = far[i, j].astype(np.float64)
-    i, j, admitted = x[i], y[j], sums <= most[0]
-    for (lo, hi), share in zip(cut[1:], most[1:], strict=True):
-        d = turned[i, lo:hi] - turned[j, lo:hi]
-        own = np.einsum("ij,ij->i", d, d)
-        sums, admitted = sums + own, admitted | (own <= share)
-        on = sums <= all_
-        i, j, sums, admitted = i[on], j[on], sums[on], admitted[on]
-    return i[admitted], j[admitted]
+    """The union of the pairs of rows of x and y (numbers of rows of turned) that lie within a block's share in that block, each once."""
+    codes = [np.zeros(0, np.int64)]
+    for (lo, hi), share in zip(_cut(turned.shape[1], blocks), _budgets(turned.shape[1], blocks, cosine), strict=True):
+        for i, j in zip(*_within(turned[x, lo:hi], turned[y, lo:hi], share), strict=True):
+            codes.append(i * len(y) + j)
+    met = np.unique(np.concatenate(codes))
+    return x[met // len(y)], y[met % len(y)]
 
 
 def _join(cosine: float, blocks: int):
@@ -107,11 +122,13 @@ def _join(cosine: float, blocks: int):
             tile = own[g]
             first, second = np.flatnonzero(tile == tile.min()), np.flatnonzero(tile == tile.max())
             links, pairs = np.zeros(len(g), np.int64), [np.zeros((0, 2), np.int64)]
-            for lo in range(0, len(first), STRIP):
-                i, j = candidates(turned, first[lo : lo + STRIP], second, cosine, blocks)
+            for lo in range(0, len(first), PART):
+                i, j = candidates(turned, first[lo : lo + PART], second, cosine, blocks)
                 if tile.min() == tile.max():
                     i, j = i[i < j], j[i < j]
-                fine = np.einsum("ij,ij->i", raw[i], raw[j]) >= cosine
+                fine = np.ones(len(i), bool)
+                for k in range(0, len(i), TILE):
+                    fine[k : k + TILE] = np.einsum("ij,ij->i", raw[i[k : k + TILE]], raw[j[k : k + TILE]]) >= cosine
                 i, j = i[fine], j[fine]
                 np.add.at(links, i, copies[g[j]])
                 np.add.at(links, j, copies[g[i]])

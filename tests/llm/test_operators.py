@@ -524,6 +524,43 @@ def test_vectors_candidates_are_few():
     assert near <= found and len(near) >= 100 and len(found) < 1e-3 * len(x) * (len(x) - 1) / 2
 
 
+def test_vectors_shares_decide():
+    """Candidates are the pairs that lie within a block's share, as plain distances tell; links at the edge are among them at every size."""
+    g, share = np.random.default_rng(7), []
+    for n in (500, 1000, 2000, 4000):
+        x = g.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        # partners at cosines from 0.93 to 0.95
+        own = g.standard_normal((n // 5, 64))
+        own -= (own * x[: n // 5]).sum(1)[:, None] * x[: n // 5]
+        own /= np.linalg.norm(own, axis=1)[:, None]
+        c = np.linspace(0.9301, 0.95, n // 5)[:, None]
+        x[-(n // 5) :] = c * x[: n // 5] + np.sqrt(1 - c * c) * own
+        turned, rows = x @ op08_embeddings.rotation(64), np.arange(n)
+        for blocks in (4, 8):
+            i, j = op08_embeddings.candidates(turned, rows, rows, 0.93, blocks)
+            found = {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b}
+            if n <= 1000:
+                want = np.zeros((n, n), bool)
+                for lo in range(0, 64, 64 // blocks):
+                    part = turned[:, lo : lo + 64 // blocks]
+                    want |= ((part[:, None, :] - part[None, :, :]) ** 2).sum(2) <= 0.14 / blocks + 1e-5
+                assert found == {(a, b) for a, b in np.argwhere(np.triu(want, 1)).tolist()}
+            assert {(k, n - n // 5 + k) for k in range(n // 5)} <= found
+        share.append((len(found) - n // 5) / (n * (n - 1) / 2))
+    # eight blocks: a share of all pairs that doesn't depend on their number
+    assert max(share) < 0.01
+
+
+def test_vectors_of_clusters():
+    g = np.random.default_rng(9)
+    x = np.repeat(g.standard_normal((20, 64)), 100, 0) + 0.05 * g.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    i, j = op08_embeddings.candidates(x @ op08_embeddings.rotation(64), np.arange(2000), np.arange(2000), 0.93)
+    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert len(found) == len(i) and found >= set(map(tuple, np.argwhere(x @ x.T >= 0.93).tolist()))
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", r"\### <turn x> </turn>" + "\n"), (1, 1, "assistant", r"\l \b <"), (2, 1, "assistant", None), (2, 0, None, "x"), (3, 5, "a>b<", "é"), (None, 0, "user", "q"), (4, 0, "user", "a"), (4, 0, "assistant", "b")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
