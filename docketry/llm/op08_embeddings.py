@@ -10,7 +10,7 @@ counted and joined there and never leave it. In a task each block is joined by a
 sorted along the direction in which the block spreads most, a strip of them meets the window of rows
 that its share reaches, and the block's distance decides. A vector goes to as many tasks as its
 label has tiles. At a cosine of 0.93 a block's share is about as wide as the block itself, so a window
-leaves out only half of the rows or less, and the block's distances tell candidates from others: the
+leaves out only a quarter to a half of the rows, and the block's distances tell candidates from others: the
 candidates that are verified are few, the distances in blocks grow with the square of a label (see
 the README).
 """
@@ -87,11 +87,15 @@ def _within(a: np.ndarray, b: np.ndarray, share: float) -> tuple[list[np.ndarray
     # distances as one product: (x, |x|^2, 1) by (-2 y, 1, |y|^2)
     x = np.column_stack([a, (a * a).sum(1), np.ones(len(a))])[rows].astype(np.float32)
     y = np.column_stack([-2 * b, np.ones(len(b)), (b * b).sum(1)])[cols].astype(np.float32).T
+    room, limit = np.empty(STRIP * len(cols), np.float32), np.float32(share)
     first, second = [], []
     for lo in range(0, len(rows), STRIP):
         hi = min(lo + STRIP, len(rows))
         left, right = np.searchsorted(to, at[lo] - reach), np.searchsorted(to, at[hi - 1] + reach, "right")
-        hit = np.flatnonzero((x[lo:hi] @ y[:, left:right]).ravel() <= share)
+        if left == right:
+            continue
+        far = np.matmul(x[lo:hi], y[:, left:right], out=room[: (hi - lo) * (right - left)].reshape(hi - lo, -1))
+        hit = np.flatnonzero(far.ravel() <= limit)
         if len(hit):
             first.append(rows[lo + hit // (right - left)])
             second.append(cols[left + hit % (right - left)])
