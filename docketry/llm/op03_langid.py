@@ -2,9 +2,12 @@
 
 Each language has a byte context tree of orders 0 to ORDER with escape probabilities (method C),
 frozen after training. A text's code length under a language is the exact sum of the code lengths
-of its bytes, each from the longest context that the tree knows, by escapes from longer ones. The
-trees are compiled to one table: a state is the longest known context of any language, so a
-byte's cost in all languages is one row, and whole texts are scored by array look-ups.
+of its bytes, each from the longest context that the tree knows, by escapes from longer ones. Each
+tree is compiled to tables of its own over the bytes that its language has: a state is the longest
+known context, found by walking back through the text, and a state's row holds the costs of all
+bytes, so whole texts are scored by array look-ups, one language after the other. A model's size is
+the sum of its languages' tables; a language's has at most MODEL_BYTES bytes (rarest contexts are
+left out beyond that), so what is broadcast is bounded by the number of languages.
 """
 
 from __future__ import annotations
@@ -25,44 +28,80 @@ ORDER = 3
 #: Training reads at most so many labelled documents of a language, and so many bytes of them. Of a text
 #: longer than PIECES * PIECE characters it reads as many pieces of PIECE characters, spread over the text.
 SAMPLE_DOCS, SAMPLE_BYTES, PIECES, PIECE = 400, 1_500_000, 4, 8192
-#: Costs (bytes times languages) that are looked up at once; no array of a worker grows with a batch or a text.
-STEP = 1 << 20
+#: A language's tables in a model.
+MODEL_BYTES = 8 << 20
+#: Bytes of texts that are scored at once; no array of a worker grows with a batch or a text.
+STEP = 1 << 18
 #: A text is in none of the languages if bytes drawn at random explain it better by this many bits.
 DOUBT = 64.0
 
 
+class Table:
+    """One language's frozen tree as arrays, over the bytes that it has; class 0 is every other byte."""
+
+    def __init__(self, tree: dict[tuple, Counter], order: int, classes: np.ndarray, limit: int):
+        own = sorted({c for counts in tree.values() for c in counts} | {c for context in tree for c in context})
+        local = {c: k + 1 for k, c in enumerate(own)}
+        self.n = len(own) + 1
+        at = np.zeros(int(classes.max()) + 1, np.uint8 if self.n <= 256 else np.int16)
+        at[own] = np.arange(1, self.n)
+        self.classes = at[classes]
+        # a context has a row of costs, and one of steps for each longer length; it is left out before the shorter ones it ends in
+        kept = sorted(tree, key=lambda c: (-sum(tree[c].values()), len(c), c))
+        size = np.cumsum([4 * self.n * (1 + order - len(c)) for c in kept])
+        kept = kept[: int(np.searchsorted(size, limit, "right"))]
+        known = sorted({(), *kept}, key=lambda c: (len(c), c))
+        number = {c: k for k, c in enumerate(known)}
+        self.cost = np.empty((len(known), self.n), np.float32)
+        first = [sum(len(c) < k for c in known) for k in range(order + 2)]
+        # steps[k]: from a context of k symbols to one of k + 1 by the symbol before it; shorter ones stay as they are
+        self.steps = [np.repeat(np.arange(first[k + 1], dtype=np.int32)[:, None], self.n, 1) for k in range(order)]
+        for c in known:
+            row = self.cost[number[c]]
+            if c:
+                self.steps[len(c) - 1][number[c[1:]], local[c[0]]] = number[c]
+                row[:] = self.cost[number[c[1:]]]
+            else:
+                # below order 0 every byte that the language has not seen is equally likely
+                row[:] = np.log2(256.0)
+            counts = tree.get(c)
+            if counts:
+                total, kinds = sum(counts.values()), len(counts)
+                row += np.float32(np.log2((total + kinds) / kinds))
+                many = np.fromiter(counts.values(), np.float64, kinds)
+                row[[local[x] for x in counts]] = np.log2((total + kinds) / many)
+
+    @property
+    def bytes(self) -> int:
+        return self.cost.nbytes + sum(s.nbytes for s in self.steps)
+
+    def costs(self, data: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Bits of each byte; pos is its place in its text. What is before a text counts as class 0."""
+        s = self.classes[data]
+        state = np.zeros(len(data), np.int32)
+        for k, step in enumerate(self.steps, 1):
+            before = np.zeros_like(s)
+            before[k:] = s[:-k] if len(s) > k else 0
+            before[pos < k] = 0
+            state = step.ravel().take(state * np.int32(self.n) + before)
+        return self.cost.ravel().take(state * np.int32(self.n) + s)
+
+
 class Model:
-    """Frozen trees of several languages as arrays: symbol classes, states by the last ORDER symbols, costs in bits."""
+    """Frozen trees of several languages: symbol classes, and a table for each language."""
 
-    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
+    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER, limit: int = MODEL_BYTES):
         self.langs, self.order = sorted(texts), order
         seen = sorted({b for part in texts.values() for t in part for b in set(t)})
         # class 0 is every byte that no language has seen; its cost is the same for all of them
-        self.classes, n = np.zeros(256, np.int32), len(seen) + 1
-        self.classes[seen] = np.arange(1, n)
-        self.n, unseen = n, 256 - len(seen)
-        trees = [self._tree(texts[lang], order) for lang in self.langs]
-        # every context that a language knows, longest last, as a tuple of classes
-        known = sorted({c for tree in trees for c in tree}, key=lambda c: (len(c), c))
-        number = {c: k for k, c in enumerate(known)}
-        self.cost = np.empty((len(known), n, len(trees)), np.float32)
-        for j, tree in enumerate(trees):
-            self._costs(tree, known, number, j, unseen)
-        # state of the last `order` symbols: that of the longest known suffix
-        parent = np.zeros(n**0, np.int32)
-        for k in range(1, order + 1):
-            state = np.tile(parent, n)
-            for c in known:
-                if len(c) == k:
-                    state[self._code(c)] = number[c]
-            parent = state
-        self.state = parent
-
-    def _code(self, context: tuple) -> int:
-        out = 0
-        for c in context:
-            out = out * self.n + c
-        return out
+        self.classes = np.zeros(256, np.int32)
+        self.classes[seen] = np.arange(1, len(seen) + 1)
+        self.n = len(seen) + 1
+        self.tables = [Table(self._tree(texts[lang], order), order, self.classes, limit) for lang in self.langs]
+
+    @property
+    def bytes(self) -> int:
+        return sum(t.bytes for t in self.tables)
 
     def _tree(self, texts: list[bytes], order: int) -> dict[tuple, Counter]:
         tree: dict[tuple, Counter] = defaultdict(Counter)
@@ -83,43 +122,16 @@ class Model:
                     tree[tuple(digits[:0:-1])][digits[0]] += many
         return tree
 
-    def _costs(self, tree: dict, known: list, number: dict, j: int, unseen: int) -> None:
-        # below order 0 every byte that the language has not seen is equally likely
-        for c in known:
-            own = self.cost[number[c], :, j]
-            if c:
-                own[:] = self.cost[number[c[1:]] if c[1:] in number else self._suffix(c[1:], number), :, j]
-            else:
-                own[:] = np.log2(256.0)
-            counts = tree.get(c)
-            if counts:
-                total, kinds = sum(counts.values()), len(counts)
-                own += np.float32(np.log2((total + kinds) / kinds))
-                at = np.fromiter(counts, np.int64, kinds)
-                many = np.fromiter(counts.values(), np.float64, kinds)
-                own[at] = np.log2((total + kinds) / many)
-
-    @staticmethod
-    def _suffix(c: tuple, number: dict) -> int:
-        while c not in number:
-            c = c[1:]
-        return number[c]
-
     def lengths(self, data: np.ndarray, starts: np.ndarray, skip: int = 0) -> np.ndarray:
         """Code lengths in bits, (texts, languages), of the non-empty texts that start at `starts` in data; the first `skip` bytes are context only."""
-        s = self.classes[data]
         ends = np.append(starts[1:], len(data))
         pos = np.arange(len(data), dtype=np.int32) - np.repeat(starts, ends - starts).astype(np.int32)
-        code = np.zeros(len(data), np.int32)
-        for k in range(self.order, 0, -1):
-            # a text's first bytes have fewer before them: class 0 stands for what is not there
-            before = np.zeros(len(data), np.int32)
-            before[k:] = s[:-k] if len(s) > k else 0
-            before[pos < k] = 0
-            code = code * self.n + before
-        bits = self.cost.reshape(-1, len(self.langs))[self.state[code].astype(np.int64) * self.n + s]
-        bits[:skip] = 0
-        return np.add.reduceat(bits, starts, axis=0, dtype=np.float64)
+        out = np.empty((len(starts), len(self.tables)))
+        for j, table in enumerate(self.tables):
+            bits = table.costs(data, pos)
+            bits[:skip] = 0
+            out[:, j] = np.add.reduceat(bits, starts, dtype=np.float64)
+        return out
 
     def decide(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The language with the shortest code and its posterior probability under equal priors."""
@@ -160,7 +172,7 @@ def _decide(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.nd
     if not model.langs:
         return pred, score, gain
     letters = pa.compute.fill_null(pa.compute.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
-    step = max(4096, STEP // len(model.langs))
+    step = STEP
     for lo, n, data, offsets in batches_of(texts, step):
         if len(data) > step:
             # a very long text in steps that overlap by the order

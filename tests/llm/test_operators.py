@@ -283,6 +283,14 @@ def test_language_id(spark, monkeypatch):
                 context = context[1:]
         want.append(bits)
     assert np.allclose(m.lengths(np.frombuffer(text, np.uint8), np.array([0]))[0], want, rtol=1e-5)
+    # languages with alphabets of their own: size in proportion to their number, each within its bound
+    words = {f"l{k:02d}": [bytes(97 + (b - 97 + k) % 26 for b in b"thequickbrownfoxjumpsoverthelazydog" * 5)] for k in range(24)}
+    few, many = (op03_langid.Model({k: words[k] for k in sorted(words)[:n]}) for n in (4, 24))
+    assert many.bytes <= 6.5 * few.bytes
+    assert [many.langs[k] for k in many.decide(np.concatenate([many.lengths(np.frombuffer(words[x][0], np.uint8), np.array([0])) for x in many.langs]))[0]] == many.langs
+    small = op03_langid.Model(words, limit=10_000)
+    assert max(t.bytes for t in small.tables) <= 10_000 < min(t.bytes for t in many.tables)
+    assert (np.isfinite(small.lengths(np.frombuffer(b"any", np.uint8), np.array([0])))).all()
 
 
 def test_lines(spark):
