@@ -1,28 +1,23 @@
-"""MinHash near-dedup by a chosen-path set similarity join.
+"""MinHash near-dedup: minwise trees, and an exact prefix join where they leave large nodes.
 
 1. Every document becomes a set of shingle hashes. The hashes are dealt into SKETCH ranges, and the
    least one of each range is a minwise token; a set's tokens agree with another's in about as large
    a share of the ranges as the sets' similarity. Documents with the same digest are one class with
    one representative.
-2. Chosen-path trees: each tree deals the representatives out by one minwise token, taken by an order
-   of the ranges of its own. A node that is too large has a pivot, one of its documents, and
-   branches by a few ranges that the node chooses: each document follows those of its tokens there
-   that the pivot has not. What a document shares with the pivot, most of the node shares, and it
-   splits nothing; pairs that are more alike than the node is also share tokens that few others have.
-   For the same reason a branch that keeps most of its node is given up. Small nodes are compared
-   exhaustively, by sketches or, where both sets are small, exactly. The documents of a large node
-   are also dealt into tiles that the pivot is in, which finds large groups of near copies. No step
-   compares all documents of a large node. Independent trees are repeated to the target recall.
+2. Trees: each deals the representatives out to nodes by one minwise token, taken by an order of the
+   ranges of its own. Small nodes are compared exhaustively, by sketches or, where both sets are
+   small, exactly. The documents of a large node are dealt into tiles that the node's pivot, one of
+   its documents, is in, which finds large groups of near copies. Independent trees are repeated to
+   the target recall.
 3. The pairs that the trees propose make families; a family's documents meet, with their whole
    sets, in one task and are linked by exact similarity. A family too large for one task is cut
    into tiles that share a pivot; where that leaves documents of a node apart, the node's documents
    meet with their whole sets, so the cuts lose no pair that the trees proposed.
-4. What the branches of a large node have missed is found by the rest of whole sets. Of the documents
-   of the trees' first nodes that are too large and still hold several parts, those of different parts
-   that share a shingle of NODE sets at most are paired, whatever else they share; and each is paired
-   with the smallest set of its node, for pairs that share only what the node has in common. Pairs are
-   confirmed exactly. So a pair is missed only if it shares nothing but shingles that over NODE sets
-   have, these are not the same in both, and neither branches nor smallest sets bring it together.
+4. Large nodes that still hold several parts are joined exactly, by prefixes of whole sets. In one
+   order of all shingles, frequent ones last, two sets as alike as the threshold share one of the
+   first few of each. So the documents of different parts that share such a shingle are paired,
+   however many have it: long lists are cut into tiles so that every pair meets in one. Pairs whose
+   places in the order rule them out aren't made. Pairs are confirmed exactly.
 """
 
 from __future__ import annotations
@@ -38,11 +33,12 @@ from pyspark.sql import functions as F
 from . import common
 from .shingles import batches_of, shingle_sets
 
-#: Ranges of hashes of a sketch; every other one also keeps a token of 32 bits, for branching.
-SKETCH, TOKENS = 128, 64
-#: Independent trees. A node up to NODE documents is compared exhaustively; larger ones branch by CHOSEN ranges, DEEPEST times
-#: at most, and a branch that keeps more than DENSE of its node is given up.
-TREES, NODE, CHOSEN, DEEPEST, DENSE = 10, 128, 12, 2, 0.5
+#: Ranges of hashes of a sketch.
+SKETCH = 128
+#: Independent trees. A node, or a list of documents with a shingle, of up to NODE documents is compared in one piece.
+TREES, NODE = 10, 128
+#: At most so many shingles count as frequent and come last, by their counts; the order decides what the join costs, not what it finds.
+FREQUENT = 1 << 17
 #: Pairs whose sketches estimate a similarity of threshold - MARGIN are checked exactly.
 MARGIN = 0.18
 #: Sets up to this size are compared exactly wherever sketches would be: in small sets, shingles that fall in one range count for much.
@@ -56,7 +52,7 @@ _ORDER = np.stack([np.random.Generator(np.random.PCG64([6, t])).permutation(SKET
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles, digest of the set, its trees' tokens, its tokens for branching, its sketch and, of a small set, 32 bits of each hash."""
+    """doc_id, n_shingles, digest of the set, its trees' tokens, its sketch and, of a small set, 32 bits of each hash."""
     for batch in batches:
         for lo, n, data, offsets in batches_of(batch.column(1)):
             h, at = shingle_sets(data, offsets)
@@ -79,13 +75,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in ends]
             low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             few = [low[a:b].tobytes() if b - a <= FEW else b"" for a, b in ends]
-            marks = np.ascontiguousarray(least[:, :: SKETCH // TOKENS])
             cols = [
                 batch.column(0).slice(lo, n), pa.array(size), pa.array(digest, pa.binary()),
                 pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * TREES, pa.array(roots.ravel())),
-                pa.array([x.tobytes() for x in marks], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(few, pa.binary()),
+                pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(few, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "digest", "roots", "marks", "sketch", "few"])
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "digest", "roots", "sketch", "few"])
 
 
 def _estimates(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
@@ -152,14 +147,15 @@ def _pairs_of(groups: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
             yield own[lo : lo + each][:, x].ravel(), own[lo : lo + each][:, y].ravel()
 
 
-def _alike(table: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a bucket's nodes that sizes and sketches, or small sets themselves, let through."""
+def _alike(table: pa.Table, threshold: float, wanted=lambda x, y: True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Wanted pairs of rows of a bucket's nodes that sizes and sketches, or small sets themselves, let through."""
     percent, n = round(100 * threshold), table.column("n").to_numpy()
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
     few = table.column("few").to_pylist()
     for x, y in _pairs_of(_groups(table, "key")):
         # sizes alone rule many pairs out
         fit = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
+        fit &= wanted(x, y)
         x, y = x[fit], y[fit]
         a, b = sketch[x], sketch[y]
         same, any_ = ((a == b) & (a > 0)).sum(1), ((a > 0) | (b > 0)).sum(1)
@@ -183,38 +179,55 @@ def _propose(threshold: float):
 
 
 def _across(threshold: float):
-    """Pairs (a, b) of one bucket of lists whose documents don't hang together yet and may be alike."""
+    """Members (hub, rep, inside) of one bucket of lists: for any two documents of different parts that may be alike, the larger part and both of them."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep, comp = table.column("rep").to_numpy(), table.column("comp").to_numpy()
-        found = [np.zeros((0, 2), np.int64)]
-        for x, y in _alike(table, threshold):
-            apart = comp[x] != comp[y]
-            found.append(np.unique(np.sort(np.stack([rep[x[apart]], rep[y[apart]]], 1), axis=1), axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        rep, comp, c, rich = (table.column(x).to_numpy(zero_copy_only=False) for x in ("rep", "comp", "c", "rich"))
+        found = [np.zeros((0, 3), np.int64)]
+        for x, y in _alike(table, threshold, lambda x, y: (comp[x] != comp[y]) & (rich[x] | rich[y])):
+            swap = (c[y] > c[x]) | ((c[y] == c[x]) & (comp[y] < comp[x]))
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            for z, inside in ((x, 1), (y, 0)):
+                found.append(np.unique(np.stack([comp[x], rep[z], np.full(len(z), inside)], 1), axis=0))
+        rows = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"hub": rows[:, 0], "rep": rows[:, 1], "inside": rows[:, 2] > 0})
 
     return run
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, c: shingles of whole sets, counted within a slice of texts."""
+    """h, c: the shingles that a slice of texts has in more than one set, counted."""
     for batch in batches:
         for _, _, data, offsets in batches_of(batch.column(2), common.BATCH_BYTES):
             h, c = np.unique(shingle_sets(data, offsets)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1])], ["h", "c"])
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, rep, comp: a row for each shingle of each set but those that a slice alone shows in more than NODE sets."""
-    for batch in batches:
-        rep, comp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for lo, n, data, offsets in batches_of(batch.column(2), common.BATCH_BYTES):
-            h, at = shingle_sets(data, offsets)
-            _, own, c = np.unique(h, return_inverse=True, return_counts=True)
-            some = c[own] <= NODE
-            doc = lo + np.repeat(np.arange(n), np.diff(at))[some]
-            yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(rep[doc]), pa.array(comp[doc])], ["h", "rep", "comp"])
+def _prefixes(percent: int, often: np.ndarray, count: np.ndarray):
+    """h, rep, comp, rich: the first shingles of each set, one of which any set as alike as `percent` has among its first ones too.
+
+    `often` are the frequent shingles, sorted, which come last by their count. A set of n shingles
+    shares percent * n / 100 at least, so the first of them in the order has no more than the rest before it. It is
+    `rich` if so much follows that the other set may be as large: two sets are alike only if one is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, comp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, n, data, offsets in batches_of(batch.column(2), common.BATCH_BYTES):
+                h, at = shingle_sets(data, offsets)
+                size, h = np.diff(at), h.view(np.int64)
+                doc, all_ = np.repeat(np.arange(n), size), np.repeat(size, size)
+                if len(often):
+                    k = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                    h = h[np.lexsort((np.where(often[k] == h, count[k], 0), doc))]
+                left = all_ - (np.arange(len(h)) - np.repeat(at[:-1], size))
+                first = 100 * left >= percent * all_
+                rich = (100 + percent) * left >= 2 * percent * all_
+                doc = lo + doc[first]
+                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(rep[doc]), pa.array(comp[doc]), pa.array(rich[first])], ["h", "rep", "comp", "rich"])
+
+    return run
 
 
 def _exact(threshold: float):
@@ -283,45 +296,17 @@ def _exact(threshold: float):
 
 
 def _nodes(reps: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """Members (key, rep) of all nodes to compare exhaustively and of the tiles of larger ones; members of the trees' first nodes that are larger."""
+    """Members (key, rep) of all nodes to compare exhaustively and of the tiles of larger ones; members of the larger ones."""
     root = reps.select("rep", F.posexplode("roots").alias("tree", "token"))
-    level = root.select(F.xxhash64(F.lit(0), "tree", "token").alias("key"), "rep", F.lit(None).cast("long").alias("above"))
-    level, rows, out = common.store(level, "level"), total * TREES, []
-    for depth in range(DEEPEST + 1):
-        size = level.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("pivot"), F.max("above").alias("above"))
-        size = size.filter((F.col("c") > 1) & (F.col("above").isNull() | (F.col("c") <= NODE) | (F.col("c") <= DENSE * F.col("above"))))
-        size = common.store(size.select("key", "c", "pivot", F.col("c").alias("k")), "sizes")
-        met = common.store(common.skew_join(level.select("key", "rep"), size, ["key"], "k", rows), "met")
-        # a node of NODE documents or less is one tile; the pivot is in every tile
-        tiles = F.ceil(F.col("c") / NODE).cast("int")
-        tile = F.when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", "rep"), tiles).cast("int")))
-        out.append(met.select("key", "rep", F.explode(tile).alias("tile")).select(F.xxhash64("key", "tile").alias("key"), "rep"))
-        over = met.filter(F.col("c") > NODE)
-        first = over.select("key", "rep") if depth == 0 else first
-        if depth == DEEPEST or not over.take(1):
-            break
-        heads = reps.select(F.col("rep").alias("pivot"), F.col("marks").alias("head"))
-        heads = common.store(size.filter(F.col("c") > NODE).join(heads, "pivot").select("key", "head", "k"), "heads")
-        over = common.skew_join(over.select("key", "rep", "c"), heads, ["key"], "k", rows)
-        # the node chooses the ranges, so its documents branch by the same ones; its documents are spread over all tasks before
-        at = F.xxhash64(F.lit(depth), "key")
-        stride = 2 * F.pmod(F.shiftright(at, 32), F.lit(TOKENS // 2)) + 1
-        place = lambda j: F.pmod(F.pmod(at, F.lit(TOKENS)) + j * stride, F.lit(TOKENS)).cast("int")
-        token = lambda marks, j: F.substring(F.col(marks), place(j) * 4 + 1, F.lit(4))
-        own = lambda j: (token("marks", j) != token("head", j)) & (token("marks", j) != F.lit(bytes(4)))
-        spread = over.hint("merge").join(reps.select("rep", "marks"), "rep")
-        chosen = spread.select("key", "rep", "c", "marks", F.explode(F.filter(F.sequence(F.lit(1), F.lit(CHOSEN)), own)).alias("j"))
-        key = F.xxhash64(F.lit(depth + 1), "key", place(F.col("j")), token("marks", F.col("j")))
-        level = common.store(chosen.select(key.alias("key"), "rep", F.col("c").alias("above")), "level")
-        rows = level.count()
-    return _all(out), first
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    level = common.store(root.select(F.xxhash64(F.lit(0), "tree", "token").alias("key"), "rep"), "level")
+    size = level.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("pivot")).filter("c > 1")
+    size = common.store(size.withColumn("k", F.col("c")), "sizes")
+    met = common.store(common.skew_join(level, size, ["key"], "k", total * TREES), "met")
+    # a node of NODE documents or less is one tile; the pivot is in every tile
+    tiles = F.ceil(F.col("c") / NODE).cast("int")
+    tile = F.when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", "rep"), tiles).cast("int")))
+    nodes = met.select("key", "rep", F.explode(tile).alias("tile")).select(F.xxhash64("key", "tile").alias("key"), "rep")
+    return nodes, met.filter(F.col("c") > NODE).select("key", "rep")
 
 
 @common.settled
@@ -333,21 +318,21 @@ def near_groups(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id"
     stand alone. Rows that repeat an id take part alike. Each row with a null id takes part as a
     document of its own that comes after all ids: its component_id is the least id of its component,
     or null if that has no id at all, and then one row of the component is kept. Texts of any length take part with
-    all their shingles. A pair of a large node may be missed only if it shares no shingle that NODE sets or fewer
-    have and the common shingles of the two differ; README has figures. An empty table gives an empty result.
+    all their shingles. A pair may be missed only if no tree has it in one node, or if its sketches differ by far more than
+    its sets do; README has figures. An empty table gives an empty result.
     """
     common.bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     source, own_id = common.with_ids(source)
-    schema = "doc_id long, n_shingles long, digest binary, roots array<long>, marks binary, sketch binary, few binary"
+    schema = "doc_id long, n_shingles long, digest binary, roots array<long>, sketch binary, few binary"
     signed = common.store(source.mapInArrow(_signed, schema), "signed")
     some = signed.filter("n_shingles > 0")
     # equal sets are one class; its least id stands for it
     classes = some.groupBy("digest").agg(
-        F.min(F.struct("doc_id", "n_shingles", "roots", "marks", "sketch", "few")).alias("r"), F.count("*").alias("copies")
+        F.min(F.struct("doc_id", "n_shingles", "roots", "sketch", "few")).alias("r"), F.count("*").alias("copies")
     )
     reps = common.store(
-        classes.select("digest", "copies", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), "r.roots", "r.marks", "r.sketch", "r.few"), "reps"
+        classes.select("digest", "copies", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), "r.roots", "r.sketch", "r.few"), "reps"
     )
     total = reps.count()
     nodes, large = _nodes(reps, total)
@@ -406,8 +391,8 @@ def _confirm(source: DataFrame, reps: DataFrame, nodes: DataFrame, large: DataFr
     if not apart.take(1):
         return links
     own = common.store(apart.select("rep", "comp").distinct(), "own")
-    pairs = _small_ends(apart, reps, threshold).unionByName(_sharing(own, text, reps, threshold))
-    return links.unionByName(check(_hubs(common.store(pairs.distinct(), "pairs"), own, reps)))
+    hubs = _sharing(own, text, reps, threshold).distinct()
+    return links.unionByName(check(_hubs(common.store(hubs, "hubs"), own, reps)))
 
 
 def _parts(reps: DataFrame, links: DataFrame) -> DataFrame:
@@ -423,49 +408,68 @@ def _apart(large: DataFrame, parts: DataFrame, rows: int) -> DataFrame:
     return common.store(common.skew_join(held, mixed.select("key", "k"), ["key"], "k", rows), "apart")
 
 
-def _small_ends(apart: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): each document and the one of its node with the smallest set.
-
-    Where documents share nothing but what all of the node have, whoever is alike to any is alike to that one.
-    """
-    sized = common.store(apart.join(reps.select("rep", "n"), "rep"), "sized")
-    end = sized.groupBy("key").agg(F.min(F.struct("n", "rep", "comp")).alias("e"), F.count("*").alias("k"))
-    met = common.skew_join(sized, end, ["key"], "k", sized.count())
-    fit = (F.col("comp") != F.col("e.comp")) & (100 * F.col("e.n") >= round(100 * threshold) * F.col("n"))
-    return met.filter(fit).select(F.col("e.rep").alias("a"), F.col("rep").alias("b"))
-
-
 def _sharing(own: DataFrame, text: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): documents of different parts that share a shingle which NODE sets at most have, and may be alike by sizes and sketches.
+    """Members (hub, rep, inside), as _across gives them, of documents that share a shingle among the first ones of both, and may be alike by sizes and sketches.
 
-    What a large node has in common is in more sets than that and is left out, so rows are as many
-    as the rest of whole sets. Lists with the same documents are compared once.
+    Lists with the same documents are compared once; those of more than NODE documents in tiles.
     """
+    percent = round(100 * threshold)
     sets = own.join(text, "rep").select("rep", "comp", "text")
-    counts = sets.mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("k")).filter("k > 1")
-    counts = common.store(counts, "counts")
-    limit = common.hot_limit(own.join(reps.select("rep", "n"), "rep").agg(F.sum("n")).first()[0])
-    rows = sets.mapInArrow(_listed, "h long, rep long, comp long")
-    # fewer than 1 / HOT_SHARE shingles are in so many sets; they stay out of the shuffle
-    rows = rows.join(F.broadcast(counts.filter(F.col("k") > limit).select("h")), "h", "left_anti")
-    rows = rows.join(counts.filter(F.col("k") <= NODE).select("h"), "h")
-    lists = rows.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("rep", "comp"))).alias("l"))
-    lists = lists.filter(F.exists("l", lambda m: m["comp"] != F.col("l")[0]["comp"])).groupBy("l").agg(F.min("h").alias("key"))
-    met = common.store(lists.select("key", F.inline("l")), "lists")
-    met = met.join(reps.select("rep", "n", "sketch", "few"), "rep").withColumn("bucket", F.pmod("key", F.lit(common.buckets(met.count(), NODES_AT_ONCE))))
-    return met.groupBy("bucket").applyInArrow(lambda t: _across(threshold)(t), "a long, b long")
-
-
-def _hubs(pairs: DataFrame, own: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, rep, comp, sketch): tiles of a document and those it is paired with."""
-    size = pairs.groupBy("a").agg(F.count("*").alias("c"))
-    size = size.withColumn("tiles", F.ceil(F.col("c") / FAMILY).cast("int")).withColumn("k", F.col("c")).drop("c")
-    size = common.store(size, "hubs")
-    met = common.skew_join(pairs, size, ["a"], "k", pairs.count())
-    ends = met.select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("tiles"))).alias("key"), F.col("b").alias("rep"))
-    heads = size.select("a", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-    heads = heads.select(F.xxhash64("a", F.col("tile").cast("long")).alias("key"), F.col("a").alias("rep"))
-    return common.store(ends.unionByName(heads).join(own, "rep").join(reps.select("rep", "sketch"), "rep").select("key", "rep", "comp", "sketch"), "ends")
+    limit = max(NODE, (own.join(reps.select("rep", "n"), "rep").agg(F.sum("n")).first()[0] or 0) // FREQUENT)
+    often = sets.mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") > limit)
+    often = often.toArrow().sort_by("h")
+    first = _prefixes(percent, often.column("h").to_numpy(), often.column("c").to_numpy())
+    rows = common.store(sets.mapInArrow(first, "h long, rep long, comp long, rich boolean"), "prefixes")
+    size = rows.groupBy("h").agg(F.count("*").alias("k"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.bool_or("rich").alias("some"))
+    size = common.store(size.filter("x != y and some").select("h", "k", F.col("k").alias("c")), "shared")
+    met = common.store(common.skew_join(rows, size, ["h"], "k", rows.count()), "shares")
+    lists = met.filter(F.col("c") <= NODE).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("rep", "comp", "rich"))).alias("l"))
+    lists = lists.groupBy("l").agg(F.min("h").alias("key")).select("key", F.inline("l"))
+    met = common.store(lists.unionByName(_tiled(met.filter(F.col("c") > NODE).drop("c"))), "lists")
+    part = own.groupBy("comp").agg(F.count("*").alias("c"))
+    known = own.join(part, "comp").select("rep", "c").join(reps.select("rep", "n", "sketch", "few"), "rep")
+    met = met.join(known, "rep").withColumn("bucket", F.pmod("key", F.lit(common.buckets(met.count(), NODES_AT_ONCE))))
+    return met.groupBy("bucket").applyInArrow(lambda t: _across(threshold)(t), "hub long, rep long, inside boolean")
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """(key, rep, comp, rich): long lists cut into tiles in which any two rows of different parts meet, one of which is rich.
+
+    Most of a long list may be one part, whose rows needn't meet each other: rich rows of other parts
+    meet all rows, and rich rows of the largest part meet the other parts' rows that aren't rich.
+    """
+    part = rows.groupBy("h", "comp").agg(F.count("*").alias("c"), F.count_if("rich").alias("r"))
+    part = part.groupBy("h").agg(F.max(F.struct("c", "comp", "r")).alias("m"), F.sum("c").alias("k"), F.sum("r").alias("r"))
+    tiles = lambda c: F.ceil(c / NODE).cast("int")
+    few, most, main = F.col("r") - F.col("m.r"), F.col("m.r"), F.col("m.comp").alias("main")
+    poor = F.col("k") - F.col("r") - F.col("m.c") + F.col("m.r")
+    part = part.select("h", "k", main, tiles(few).alias("few"), tiles(F.col("k")).alias("all"), tiles(most).alias("most"), tiles(poor).alias("poor"))
+    met = common.skew_join(rows, common.store(part, "long"), ["h"], "k", rows.count())
+    other = F.col("comp") != F.col("main")
+    own = lambda n: F.pmod(F.xxhash64("h", "rep"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    at = lambda grid, x, y: F.struct(F.lit(grid).alias("grid"), x.alias("x"), y.alias("y"))
+    across = lambda n, grid, f: F.transform(upto(n), lambda t: at(grid, *f(t)))
+    none = F.array().cast("array<struct<grid:int,x:int,y:int>>")
+    column = across("few", 0, lambda t: (t, own("all")))
+    row = F.when(other & F.col("rich"), across("all", 0, lambda t: (own("few"), t))).otherwise(none)
+    rest = F.when(~other & F.col("rich"), across("poor", 1, lambda t: (own("most"), t))).when(other & ~F.col("rich"), across("most", 1, lambda t: (t, own("poor")))).otherwise(none)
+    out = met.select("h", "rep", "comp", "rich", F.explode(F.array_distinct(F.concat(column, row, rest))).alias("t"))
+    return out.select(F.xxhash64("h", "t.grid", "t.x", "t.y").alias("key"), "rep", "comp", "rich")
+
+
+def _hubs(rows: DataFrame, own: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, rep, comp, sketch): tiles in which each hub's own documents meet the others that may be alike to one of them."""
+    size = rows.groupBy("hub").agg(F.count_if("inside").alias("x"), F.count_if(~F.col("inside")).alias("y"), F.count("*").alias("k"))
+    tiles = lambda c: F.ceil(F.col(c) * 2 / FAMILY).cast("int")
+    size = common.store(size.select("hub", tiles("x").alias("x"), tiles("y").alias("y"), "k"), "hub_sizes")
+    met = common.skew_join(rows, size, ["hub"], "k", rows.count())
+    mine = F.pmod(F.xxhash64("hub", "rep"), F.when(F.col("inside"), F.col("x")).otherwise(F.col("y"))).cast("int")
+    other = F.sequence(F.lit(0), F.when(F.col("inside"), F.col("y")).otherwise(F.col("x")) - 1)
+    met = met.select("hub", "rep", "inside", mine.alias("mine"), F.explode(other).alias("other"))
+    key = F.when(F.col("inside"), F.xxhash64("hub", "mine", "other")).otherwise(F.xxhash64("hub", "other", "mine"))
+    met = met.select(key.alias("key"), "rep").join(own, "rep").join(reps.select("rep", "sketch"), "rep")
+    return common.store(met.select("key", "rep", "comp", "sketch"), "ends")
 
 
 def _own_text(held: DataFrame, reps: DataFrame) -> DataFrame:

@@ -35,3 +35,24 @@ def test_template_alone_links_the_smallest(spark):
     linked = {k for k, m in more.items() if k == 5001 or 100 * 296 >= 75 * (296 + m + 296 + 30 - 296)}
     assert len(linked) > 1
     assert got == {k: min(linked) if k in linked else k for k in more}
+
+
+def test_pairs_that_share_only_frequent_shingles(spark, monkeypatch):
+    # documents of 18 of 24 passages, kept apart by a word of their own: no shingle of two documents is rare, and who
+    # shares 17 passages (1122 shingles of 1278 each) is linked, who shares 16 (1056) isn't
+    monkeypatch.setattr(op06_minhash, "NODE", 8)
+    r = random.Random(1)
+    passages, taken = [_words(r, 70) for _ in range(24)], []
+    for _ in range(150):
+        own = r.sample(range(24), 18)
+        taken += [set(own), {*own[1:], r.choice([k for k in range(24) if k not in own])}]
+    docs = [(k, " ".join(w for p in sorted(t) for w in [*passages[p], *_words(r, 1)])) for k, t in enumerate(taken)]
+    want = list(range(len(docs)))
+    for x in range(len(docs)):
+        for y in range(x):
+            if len(taken[x] & taken[y]) >= 17 and want[x] != want[y]:
+                low, high = sorted((want[x], want[y]))
+                want = [low if k == high else k for k in want]
+    r.shuffle(docs)
+    got = {x.doc_id: x.component_id for x in op06_minhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want))
