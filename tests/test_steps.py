@@ -122,3 +122,16 @@ def test_cases_in_rows_are_cases_by_signals(spark):
     new = [repr(sorted(r.asDict(True).items())) for r in resolve.consolidated(made).withColumn("agreement", F.array_sort(F.map_entries("agreement"))).collect()]
     assert len(old) == 150 and sorted(old) == sorted(new)
     assert sorted(resolve.signals(made).collect()) == sorted(resolve.signals(bundle).collect())
+
+
+@pytest.mark.parametrize("field", ["fee_status"])
+def test_one_field_makes_no_filter(spark, field):
+    """Of a plan that asks for one field Spark infers no filter, which it would write out once more for each mention down to the sources."""
+    none = ", ".join(f"'{k}', array()" for k in resolve.KEYS if k != field)
+    one = "array(named_struct('confidence', 0.5D, 'source_id', 'text_stream_0', 'order', id, 'value', 'x', 'tag', '', 'text', true))"
+    of = ", ".join(f"{k}:{resolve._CANDIDATES}" for k in resolve.KEYS)
+    cases = spark.range(3).selectExpr("string(id) AS case_id", f"cast(named_struct({none}, '{field}', CASE WHEN id > 0 THEN {one} ELSE array() END) AS struct<{', '.join(f'{k}:{resolve._CANDIDATES}' for k in [x for x in resolve.KEYS if x != field] + [field])}>) AS s")
+    cases = cases.select("case_id", F.struct(*[F.col(f"s.{k}").alias(k) for k in resolve.KEYS]).cast(f"struct<{of}>").alias("signals"))
+    got = resolve.consolidated(cases).select(field)
+    assert "Filter" not in _plan(got)
+    assert sorted(r[0] for r in got.collect()) == [{"risk_flags": "none"}.get(field, ""), "x", "x"]
