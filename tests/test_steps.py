@@ -124,7 +124,7 @@ def test_cases_in_rows_are_cases_by_signals(spark):
     assert sorted(resolve.signals(made).collect()) == sorted(resolve.signals(bundle).collect())
 
 
-@pytest.mark.parametrize("field", ["fee_status", "sponsor_id"])
+@pytest.mark.parametrize("field", ["fee_status", "sponsor_id", "risk_flags"])
 def test_one_field_makes_no_filter(spark, field):
     """Of a plan that asks for one field Spark infers no filter, which it would write out once more for each mention down to the sources."""
     none = ", ".join(f"'{k}', array()" for k in resolve.KEYS if k != field)
